@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lintlake.functions.text import any_of, ecma
+from lintlake.functions.text import ecma
 from lintlake.operators.rules import LineRule, Options, SCOPES, lines_before, lines_from
 
 
@@ -19,27 +19,25 @@ def _level(line: Column) -> Column:
 
 
 def _skips_level(lines: Column, i: Column) -> Column:
-    before = lines_before(lines, i, 20, "\n")
-    level = _level(F.col("line"))
-    return any_of(*[
-        (level == k) & ~before.rlike(ecma(rf"<h{k - 1}\b", True)) for k in (3, 4, 5, 6)
-    ])
+    level = _level(F.get(lines, i))
+    above = F.concat(F.lit("(?i)<h"), (level - 1).cast("string"), F.lit("(?![A-Za-z0-9_])"))
+    return (level > 2) & ~F.regexp_like(lines_before(lines, i, 20, "\n"), above)
 
 
 LINE_RULES = (
     LineRule("img-alt", "markup", ecma(r"<img\b", True), ("<img",),
-             unless=(ecma(r"\balt\s*=", True),), k2=0),
+             unless=(ecma(r"\balt\s*=", True),), k2=0, fold=True),
     LineRule("label-for-input", "markup", ecma(r"<input\b", True), ("<input",),
              unless=(ecma(r"type\s*=\s*['\"](?:hidden|submit|reset|button|image)['\"]"),
-                     ecma(r"\b(?:aria-label|aria-labelledby|id)\s*=")), k2=1),
+                     ecma(r"\b(?:aria-label|aria-labelledby|id)\s*=")), k2=1, fold=True),
     LineRule("interactive-element-semantics", "markup", ecma(r"<div\b[^>]*onClick", True),
-             ("<div",), unless=(ecma(r"role\s*="), "tabIndex"), k2=2),
+             ("<div",), unless=(ecma(r"role\s*="), "tabIndex"), k2=2, fold=True),
     LineRule("button-aria-label", "markup", ecma(r"<button\b[^>]*>", True), ("<button",),
-             unless=(ecma(r">.*?</button>"),), near=_silent_button, k2=3),
+             unless=(ecma(r">.*?</button>"),), near=_silent_button, k2=3, fold=True),
     LineRule("html-has-lang", "markup", ecma(r"<html\b", True), ("<html",),
-             unless=(ecma(r"\blang\s*="),), k2=4),
+             unless=(ecma(r"\blang\s*="),), k2=4, fold=True),
     LineRule("heading-order", "markup", ecma(r"<h[1-6]\b", True),
-             tuple(f"<h{k}" for k in range(1, 7)), near=_skips_level,
+             ("<h",), fold=True, near=_skips_level,
              count=_level, name=lambda line: _level(line) - 1, k2=5),
     LineRule("focus-visible", "markup", ecma(r"outline\s*:\s*0|outline\s*:\s*none"),
              ("outline",), unless=("focus-visible",), k2=6),

@@ -22,7 +22,7 @@ def _stale(lines: Column, i: Column) -> Column:
 
 
 LINE_RULES = (
-    LineRule("exhaustive-deps", "react", ecma(r"useEffect\s*\("), ("useEffect",), near=_stale),
+    LineRule("exhaustive-deps", "react", ecma(r"useEffect\s*\("), ("Effect",), near=_stale),
     LineRule("no-sync-fs", "code", "readFileSync|writeFileSync|existsSync|mkdirSync", ("Sync",)),
 )
 

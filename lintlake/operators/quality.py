@@ -11,9 +11,8 @@ from lintlake.operators.rules import FileRule, LineRule, repeated_evidence, sort
 
 LINE_RULES = (
     LineRule("no-console", "code", ecma(CONSOLE), ("console.",), k2=0),
-    LineRule("no-debugger", "code", ecma(DEBUGGER), ("debugger",), k2=1),
-    LineRule("no-todo", "code", ecma(TODO, ignore_case=True),
-             ("todo", "fixme", "hack", "xxx", "temp", "bug"), k2=2),
+    LineRule("no-debugger", "code", ecma(DEBUGGER), ("gger",), k2=1),
+    LineRule("no-todo", "code", ecma(TODO, ignore_case=True), ("//",), k2=2),
 )
 
 MAX_FILE_LINES = 500

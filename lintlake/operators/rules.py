@@ -67,7 +67,8 @@ SCOPES: dict[str, Callable[[Options], Column]] = {
 class LineRule:
     """A pattern on one line, with guards.
 
-    `hint` is a set of literal words (any case) of which a hit always holds one.
+    `hint` holds literal words of which the text of a hit always contains one; lower-case words
+    are compared with the lower-cased text when `fold` is set. Good words start with a rare byte.
     `near` looks at neighbours: it gets the line array and the 0-based index.
     """
 
@@ -81,10 +82,16 @@ class LineRule:
     count: Callable[[Column], Column] | None = None
     over: int | None = None
     name: Callable[[Column], Column] | None = None
+    fold: bool = False
     k2: int = 0
 
+    def possible(self) -> Column:
+        """Whether a file can hold a hit at all: its path is in scope and a hint occurs."""
+        text = F.col("folded") if self.fold else F.col("content")
+        return F.col(f"in_{self.scope}") & any_of(*[F.contains(text, F.lit(w)) for w in self.hint])
+
     def condition(self, line: Column, lines: Column, i: Column) -> Column:
-        out = F.col(f"in_{self.scope}") & line.rlike(self.match)
+        out = F.col(f"on_{INDEX[self.kind]}") & line.rlike(self.match)
         for pattern in self.unless:
             out = out & ~line.rlike(pattern)
         if self.comments:
@@ -96,39 +103,41 @@ class LineRule:
         return out
 
 
-def hint_regex(rules: Sequence[LineRule]) -> str:
-    words = dict.fromkeys(w for r in rules for w in r.hint)
-    return "(?i)" + "|".join(f"\\Q{w}\\E" for w in words)
-
-
 def apply_line_rules(
     files: DataFrame, rules: Sequence[LineRule], options: Options = Options()
 ) -> DataFrame:
-    """Evidence rows of all given line rules, in one pass."""
-    scopes = dict.fromkeys(r.scope for r in rules)
-    windowed = any(r.near for r in rules)
-    line, i = F.col("line"), F.col("i")
-    lines = F.col("lines")
-    flagged = files.where(has_content()).select(
-        "repo_id", "path", "content",
-        *[SCOPES[s](options).alias(f"in_{s}") for s in scopes],
-    ).where(any_of(*[F.col(f"in_{s}") for s in scopes]))
-    kept = ["repo_id", "path", *[f"in_{s}" for s in scopes]]
-    if windowed:
-        flagged = flagged.withColumn("lines", split_lines(F.col("content")))
-        kept.append("lines")
-        exploded = flagged.select(*kept, F.posexplode("lines").alias("i", "line"))
-    else:
-        exploded = flagged.select(
-            *kept, F.posexplode(split_lines(F.col("content"))).alias("i", "line")
+    """Evidence rows of all given line rules, in one pass.
+
+    Substring tests on the whole text decide per file which rules can hit; lines are cut only for
+    files with such a rule, and only those rules run on them. The rules run inside a `transform`
+    over the lines: dozens of patterns unrolled into one generated method would outgrow what the
+    JVM compiles, and only lines with a finding become rows.
+    """
+    flags = [f"on_{INDEX[r.kind]}" for r in rules]
+    # Scopes and folded text are columns of their own, so that each is computed once per file. No
+    # filter on them: it would be pushed below and compute them twice.
+    flagged = (
+        files.where(has_content())
+        .select(
+            "repo_id", "path", "content",
+            *[SCOPES[s](options).alias(f"in_{s}") for s in dict.fromkeys(r.scope for r in rules)],
+            *([F.lower("content").alias("folded")] if any(r.fold for r in rules) else []),
         )
-    hits = F.array(
-        *[F.when(r.condition(line, lines, i), F.lit(INDEX[r.kind])) for r in rules]
-    )
-    rows = (
-        exploded.where(line.rlike(hint_regex(rules)))
-        .select("repo_id", "path", i, line, F.explode(F.array_compact(hits)).alias("entry"))
+        .select("repo_id", "path", "content", *[r.possible().alias(f) for r, f in zip(rules, flags)])
+        .withColumn("lines", F.when(any_of(*map(F.col, flags)), split_lines(F.col("content"))))
     )
+
+    def on_line(line: Column, i: Column) -> Column:
+        hits = F.array(*[
+            F.when(r.condition(line, F.col("lines"), i), F.lit(INDEX[r.kind])) for r in rules
+        ])
+        return F.transform(
+            F.array_compact(hits),
+            lambda entry: F.struct(entry.alias("entry"), i.alias("i"), line.alias("line")),
+        )
+
+    rows = flagged.select("repo_id", "path", F.inline(F.flatten(F.transform("lines", on_line))))
+    line, i = F.col("line"), F.col("i")
     entry = F.col("entry")
     pick = lambda attr, kind: _by_entry(
         entry, {r.kind: getattr(r, attr)(line) for r in rules if getattr(r, attr)}, kind

@@ -11,49 +11,51 @@ from lintlake.operators.catalogue import (
 from lintlake.operators.issues import evidence, found
 from lintlake.operators.rules import FileRule, LineRule
 
+# Words of which a hit holds one, lower case where the pattern ignores case.
 _SECRET_HINTS = (
-    ("AKIA", "AIPA", "ASIA", "AROA"),
-    ("secret",),
-    ("AIza",),
+    ("KIA", "IPA", "SIA", "ROA"),
+    ("key",),
+    ("Iza",),
     ("gho_", "ghp_", "ghs_", "ghu_"),
-    ("sk_live_",),
-    ("pk_live_",),
-    ("api_key", "api-key", "apikey"),
-    ("secret",),
+    ("_live_",),
+    ("_live_",),
+    ("key",),
+    ("jwt",),
     ("pass", "pwd"),
     ("://",),
-    ("PRIVATE KEY",),
+    ("PRIVATE",),
     ("pass", "pwd"),
     ("SG.",),
     ("xox",),
-    ("firebaseConfig",),
+    ("firebaseconfig",),
 )
+_XSS_HINTS = (("HTML",), ("HTML",), ("document.",), (".html",), ("HTML",))
+_EVAL_HINTS = (("val",), ("Function",), ("Timeout",), ("Interval",))
 
 LINE_RULES = (
     *(
-        LineRule(f"secret-{k}", "secrets", ecma(p, ci), hint, comments=("//", "#"))
+        LineRule(f"secret-{k}", "secrets", ecma(p, ci), hint, comments=("//", "#"), fold=ci)
         for k, ((_, p, ci, _), hint) in enumerate(zip(SECRETS, _SECRET_HINTS))
     ),
     *(
-        LineRule(f"sql-{k}", "secure", ecma(p, True), ("query", "execute", "run", "exec"))
-        for k, p in enumerate(SQL_INJECTION)
+        LineRule(f"sql-{k}", "secure", ecma(p, True), hint, fold=True)
+        for k, (p, hint) in enumerate(
+            zip(SQL_INJECTION, (("query", "xecute", "run"), ("query", "xecute", "run"), ("xec",)))
+        )
     ),
     *(
         LineRule(f"xss-{k}", "secure", ecma(p), hint)
-        for k, (p, hint) in enumerate(
-            zip(XSS, (("innerHTML",), ("outerHTML",), ("document.write",), (".html",),
-                      ("dangerouslySetInnerHTML",)))
-        )
+        for k, (p, hint) in enumerate(zip(XSS, _XSS_HINTS))
     ),
     *(
-        LineRule(f"command-{k}", "secure", ecma(p, ci), ("exec", "spawn"))
-        for k, (p, ci) in enumerate(COMMAND_INJECTION)
+        LineRule(f"command-{k}", "secure", ecma(p, ci), hint, fold=ci)
+        for k, ((p, ci), hint) in enumerate(
+            zip(COMMAND_INJECTION, (("xec", "pawn"), ("child_process",)))
+        )
     ),
     *(
         LineRule(f"eval-{k}", "secure", ecma(p), hint, comments=("//",))
-        for k, (p, hint) in enumerate(
-            zip(UNSAFE_EVAL, (("eval",), ("Function",), ("setTimeout",), ("setInterval",)))
-        )
+        for k, (p, hint) in enumerate(zip(UNSAFE_EVAL, _EVAL_HINTS))
     ),
 )
 

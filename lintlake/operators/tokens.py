@@ -50,12 +50,17 @@ def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def tokens(spread: DataFrame) -> DataFrame:
-    """`(repo_id, path, pos, tok, line_no, start)`; comments are single tokens.
+def tokens(spread: DataFrame, whole: tuple[str, ...] = ("/*", "//", "\"", "'", "`")) -> DataFrame:
+    """`(repo_id, path, pos, tok, size, line_no, start)`; comments are single tokens.
 
-    `start` is the 0-based character offset.
+    `start` is the 0-based character offset and `size` the length. Comments and strings not named
+    in `whole` are cut to their first mark, so that long texts do not travel through windows.
     """
-    raw, tok = F.col("raw"), F.regexp_replace("raw", r"^\s++", "")
+    raw, body = F.col("raw"), F.ltrim(F.col("raw"), F.lit(" \t\n\x0b\f\r"))
+    short = body
+    for mark in ("/*", "//", "\"", "'", "`"):
+        if mark not in whole:
+            short = F.when(F.startswith(body, F.lit(mark)), F.lit(mark)).otherwise(short)
     so_far = Window.partitionBy(*_FILE).orderBy("pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -65,59 +70,62 @@ def tokens(spread: DataFrame) -> DataFrame:
             F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), 0)).alias("pos", "raw"),
         )
         .select(
-            *_FILE, "pos", tok.alias("tok"),
-            F.length(raw).alias("size"), _newlines(raw).alias("breaks"),
+            *_FILE, "pos", short.alias("tok"), F.length(body).alias("size"),
+            F.length(raw).alias("span"), _newlines(raw).alias("breaks"),
+            _newlines(body).alias("own"),
         )
         .select(
-            *_FILE, "pos", "tok",
-            (1 + F.sum("breaks").over(so_far) - _newlines(F.col("tok"))).cast("int")
-            .alias("line_no"),
-            (F.sum("size").over(so_far) - F.length("tok")).cast("int").alias("start"),
+            *_FILE, "pos", "tok", "size",
+            (1 + F.sum("breaks").over(so_far) - F.col("own")).cast("int").alias("line_no"),
+            (F.sum("span").over(so_far) - F.col("size")).cast("int").alias("start"),
         )
     )
 
 
 def is_comment() -> Column:
-    return F.col("tok").startswith("//") | F.col("tok").startswith("/*")
+    return F.startswith("tok", F.lit("//")) | F.startswith("tok", F.lit("/*"))
 
 
 def _step(opening: str, closing: str) -> Column:
     return F.when(F.col("tok") == opening, 1).when(F.col("tok") == closing, -1).otherwise(0)
 
 
-def code_tokens(spread: DataFrame) -> DataFrame:
-    """Tokens without comments, with neighbours and bracket levels.
+def code_tokens(spread: DataFrame, whole: tuple[str, ...] = (), around: bool = False) -> DataFrame:
+    """Tokens without comments, with their neighbours and bracket levels.
 
     `depth` counts all open brackets before the token. `kind` and `level` name a bracket's pair
-    group: partners are neighbours inside `(file, kind, level)`.
+    group: partners are neighbours inside `(file, kind, level)`. `around` adds the tokens further
+    away as structs `b1`..`b4`.
     """
     by_pos = Window.partitionBy(*_FILE).orderBy("pos")
-    before = by_pos.rowsBetween(Window.unboundedPreceding, -1)
     upto = by_pos.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = _step("{", "}") + _step("(", ")") + _step("[", "]")
     tok = F.col("tok")
+    opens = tok.isin("{", "(", "[")
     kind = F.when(tok.isin("{", "}"), "{").when(tok.isin("(", ")"), "(").when(
         tok.isin("[", "]"), "["
     )
-    opens = tok.isin("{", "(", "[")
-
-    def level(o: str, c: str) -> Column:
-        return F.sum(_step(o, c)).over(upto) - F.when(opens, 1).otherwise(0)
-
+    brackets = {"{": "}", "(": ")", "[": "]"}
+    sums = {f"d{k}": F.sum(_step(o, c)).over(upto) for k, (o, c) in enumerate(brackets.items())}
+    own = F.when(opens, 1).when(kind.isNotNull(), -1).otherwise(0)
+    here = F.when(kind == "{", F.col("d0")).when(kind == "(", F.col("d1")).otherwise(F.col("d2"))
+    near = {
+        "prev1": F.lag("tok", 1).over(by_pos),
+        "next1": F.lead("tok", 1).over(by_pos),
+    }
+    if around:
+        spot = F.struct("tok", "start", "line_no", (F.col("start") + F.col("size")).alias("stop"))
+        near |= {f"b{k}": F.lag(spot, k).over(by_pos) for k in (1, 2, 3, 4)}
+        near["next2"] = F.lead("tok", 2).over(by_pos)
     return (
-        tokens(spread)
+        tokens(spread, whole)
         .where(~is_comment())
         .select(
-            "*",
-            F.coalesce(F.sum(total).over(before), F.lit(0)).cast("int").alias("depth"),
-            kind.alias("kind"),
-            F.when(kind == "{", level("{", "}")).when(kind == "(", level("(", ")"))
-            .when(kind == "[", level("[", "]")).cast("int").alias("level"),
-            opens.alias("opens"),
-            F.lag("tok", 1).over(by_pos).alias("prev1"),
-            F.lag("tok", 2).over(by_pos).alias("prev2"),
-            F.lead("tok", 1).over(by_pos).alias("next1"),
+            "*", kind.alias("kind"), opens.alias("opens"),
+            *[v.alias(k) for k, v in (sums | near).items()],
         )
+        .withColumn("depth", (F.col("d0") + F.col("d1") + F.col("d2") - own).cast("int"))
+        .withColumn("level", (here - opens.cast("int")).cast("int"))
+        .drop("d0", "d1", "d2")
     )
 
 
@@ -159,109 +167,90 @@ def function_spans(spread: DataFrame) -> DataFrame:
     after = Window.partitionBy(*_FILE, "depth").orderBy(F.col("pos").desc()).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    tok = F.col("tok")
-    closes = F.col("kind").isNotNull() & ~F.col("opens")
-    stop = F.col("start") + F.length("tok")
-    paired = (
-        code_tokens(spread)
-        .withColumn("stop", stop)
+    tok, opens = F.col("tok"), F.col("opens")
+    closes = F.col("kind").isNotNull() & ~opens
+    starter = tok.isin(*STARTERS) & (F.col("b1.line_no") < F.col("line_no"))
+    spot = F.struct("opens", "start", "line_no", (F.col("start") + F.col("size")).alias("stop"))
+    # Only brackets, separators and heads go on; neighbours are already in the row.
+    marks = (
+        code_tokens(spread, around=True)
+        .where(F.col("kind").isNotNull() | tok.isin("=>", "function", ",", ";") | starter)
+        .select(
+            *_FILE, "pos", "tok", "start", "line_no", "depth", "opens", "kind",
+            "b1", "b2", "b3", "b4", "next1", "next2",
+            (closes | tok.isin(",", ";") | starter).alias("ends"),
+            F.when(opens, F.lead(spot).over(pair)).alias("fwd"),
+            F.when(closes, F.lag(spot).over(pair)).alias("bwd"),
+        )
         .withColumns({
-            "mate_stop": F.when(
-                F.col("opens") & ~F.lead("opens").over(pair), F.lead("stop").over(pair)
-            ),
-            "mate_end": F.when(
-                F.col("opens") & ~F.lead("opens").over(pair), F.lead("line_no").over(pair)
-            ),
-            "mate_start": F.when(closes & F.lag("opens").over(pair), F.lag("start").over(pair)),
-            "mate_line": F.when(closes & F.lag("opens").over(pair), F.lag("line_no").over(pair)),
+            "fwd": F.when(~F.col("fwd.opens"), F.col("fwd")),
+            "bwd": F.when(F.col("bwd.opens"), F.col("bwd")),
         })
     )
-    back = lambda c, k: F.lag(c, k).over(by_pos)
-    placed = paired.select(
-        *_FILE, "pos", "tok", "start", "stop", "line_no", "depth", "prev1", "prev2", "next1",
-        "opens", "kind", "mate_stop", "mate_end",
-        closes.alias("closes"),
-        back("tok", 3).alias("prev3"),
-        back("tok", 4).alias("prev4"),
-        *[back("start", k).alias(f"start{k}") for k in (1, 2, 3)],
-        *[back("line_no", k).alias(f"line{k}") for k in (1, 2, 3, 4)],
-        *[back("mate_start", k).alias(f"open_start{k}") for k in (1, 3)],
-        *[back("mate_line", k).alias(f"open_line{k}") for k in (1, 3)],
-        back("stop", 1).alias("prev_stop"),
-        F.lead("mate_stop").over(by_pos).alias("next_mate_stop"),
-        F.lead("mate_end").over(by_pos).alias("next_mate_end"),
-        F.lead("tok", 2).over(by_pos).alias("next2"),
-    )
-    new_line = F.col("line1") < F.col("line_no")
-    ends = tok.isin(",", ";") | F.col("closes") | (tok.isin(*STARTERS) & new_line)
-    body = (tok == "{") & F.col("mate_stop").isNotNull()
-    nearest = lambda cond, c: F.last(F.when(cond, F.col(c)), ignorenulls=True).over(after)
-    heads = placed.where(
-        tok.isin("=>", "function", "{", ",", ";") | F.col("closes") | tok.isin(*STARTERS)
-    ).select(
-        "*",
-        nearest(ends, "prev_stop").alias("expr_stop"),
-        nearest(ends, "line1").alias("expr_end"),
-        nearest(body, "mate_stop").alias("body_stop"),
-        nearest(body, "mate_end").alias("body_end"),
-        nearest(body, "pos").alias("body_pos"),
-        nearest(tok == ";", "pos").alias("semi_pos"),
+    body = (tok == "{") & F.col("fwd").isNotNull()
+    nearest = lambda cond, c: F.last(F.when(cond, c), ignorenulls=True).over(after)
+    heads = (
+        marks.select(
+            *_FILE, "pos", "tok", "start", "line_no", "depth", "b1", "b2", "b3", "b4",
+            "next1", "next2", "ends", "fwd",
+            F.lag("bwd").over(by_pos).alias("params"),
+            F.lead("fwd").over(by_pos).alias("block"),
+        )
+        .select(
+            *_FILE, "pos", "tok", "start", "line_no", "depth", "b1", "b2", "b3", "b4",
+            "next1", "next2", "params", "block",
+            nearest(F.col("ends"), F.col("b1")).alias("end"),
+            nearest(body, F.struct("pos", "fwd")).alias("body"),
+            nearest(tok == ";", F.col("pos")).alias("semi"),
+        )
+        .where(tok.isin("=>", "function"))
     )
 
     # A declaration starts at its first modifier and follows a finished statement.
-    mod = lambda k: F.coalesce(F.col(f"prev{k}").isin(*MODIFIERS), F.lit(False))
+    mod = lambda k: F.coalesce(F.col(f"b{k}.tok").isin(*MODIFIERS), F.lit(False))
     used = F.when(mod(1) & mod(2) & mod(3), 3).when(mod(1) & mod(2), 2).when(mod(1), 1).otherwise(0)
-    at = lambda c, d: F.when(used == 3, F.col(c + "3")).when(used == 2, F.col(c + "2")).when(
-        used == 1, F.col(c + "1")
-    ).otherwise(F.col(d))
-    lead_in = F.when(used == 3, F.col("prev4")).when(used == 2, F.col("prev3")).when(
-        used == 1, F.col("prev2")
-    ).otherwise(F.col("prev1"))
-    lead_line = F.when(used == 3, F.col("line4")).when(used == 2, F.col("line3")).when(
-        used == 1, F.col("line2")
-    ).otherwise(F.col("line1"))
+    first = lambda field: F.when(used == 3, F.col(f"b3.{field}")).when(
+        used == 2, F.col(f"b2.{field}")
+    ).when(used == 1, F.col(f"b1.{field}")).otherwise(F.col(field))
+    lead_in = F.when(used == 3, F.col("b4")).when(used == 2, F.col("b3")).when(
+        used == 1, F.col("b2")
+    ).otherwise(F.col("b1"))
     finished = (
         lead_in.isNull()
-        | lead_in.isin(";", "}")
-        | ((lead_line < at("line", "line_no")) & lead_in.rlike(r"[A-Za-z0-9_$)\]'\"`]\z"))
+        | lead_in["tok"].isin(";", "}")
+        | ((lead_in["line_no"] < first("line_no"))
+           & lead_in["tok"].rlike(r"[A-Za-z0-9_$)\]'\"`]\z"))
     )
     declared = (
-        (tok == "function") & (F.col("depth") == 0) & finished & F.col("body_stop").isNotNull()
-        & (F.col("semi_pos").isNull() | (F.col("semi_pos") > F.col("body_pos")))
+        (tok == "function") & (F.col("depth") == 0) & finished & F.col("body").isNotNull()
+        & (F.col("semi").isNull() | (F.col("semi") > F.col("body.pos")))
     )
     word = r"^[A-Za-z_$]"
     name = F.when(F.col("next1") == "*", F.col("next2")).otherwise(F.col("next1"))
-    functions = heads.where(declared).select(
-        *_FILE, F.lit("function").alias("kind"),
-        F.when(name.rlike(word), name).otherwise("anonymous").alias("name"),
-        "pos", at("start", "start").alias("start"), F.col("body_stop").alias("stop"),
-        at("line", "line_no").alias("line_no"), F.col("body_end").alias("end_line"),
-    )
 
     # Parameters end right before the arrow, or before a one-word return type.
-    bare = F.col("prev1").rlike(word)
-    annotated = bare & (F.col("prev2") == ":") & (F.col("prev3") == ")")
-    block = F.col("next1").isin("{", "(") & F.col("next_mate_stop").isNotNull()
-    arrows = heads.where((tok == "=>") & F.col("prev1").isNotNull()).select(
-        *_FILE, F.lit("arrow").alias("kind"), F.lit("anonymous").alias("name"), "pos",
-        F.coalesce(
-            F.when(F.col("prev1") == ")", F.col("open_start1")),
-            F.when(annotated, F.col("open_start3")),
-            F.col("start1"),
-        ).alias("start"),
-        F.when(block, F.col("next_mate_stop")).otherwise(
-            F.coalesce("expr_stop", F.lit(2147483647))
-        ).alias("stop"),
-        F.coalesce(
-            F.when(F.col("prev1") == ")", F.col("open_line1")),
-            F.when(annotated, F.col("open_line3")),
-            F.col("line1"),
-        ).alias("line_no"),
-        F.when(block, F.col("next_mate_end")).otherwise(
-            F.coalesce("expr_end", "line_no")
-        ).alias("end_line"),
+    closed = (F.col("b1.tok") == ")") | (
+        F.col("b1.tok").rlike(word) & (F.col("b2.tok") == ":") & (F.col("b3.tok") == ")")
+    )
+    block = F.col("next1").isin("{", "(") & F.col("block").isNotNull()
+    arrow = tok == "=>"
+    head = lambda field: F.coalesce(
+        F.when(closed, F.col(f"params.{field}")), F.col(f"b1.{field}")
+    )
+    return heads.where((arrow & F.col("b1").isNotNull()) | declared).select(
+        *_FILE,
+        F.when(arrow, "arrow").otherwise("function").alias("kind"),
+        F.when(~arrow & name.rlike(word), name).otherwise("anonymous").alias("name"),
+        "pos",
+        F.when(arrow, head("start")).otherwise(first("start")).alias("start"),
+        F.when(~arrow, F.col("body.fwd.stop"))
+        .when(block, F.col("block.stop"))
+        .otherwise(F.coalesce("end.stop", F.lit(2147483647))).alias("stop"),
+        F.when(arrow, head("line_no")).otherwise(first("line_no")).alias("line_no"),
+        F.when(~arrow, F.col("body.fwd.line_no"))
+        .when(block, F.col("block.line_no"))
+        .otherwise(F.coalesce("end.line_no", "line_no")).alias("end_line"),
     )
-    return functions.unionByName(arrows)
 
 
 def complexity_of(text: Column) -> Column:
@@ -329,7 +318,7 @@ def unused_evidence(files: DataFrame, options: Options = Options()) -> DataFrame
         (F.col("depth") == 0) & F.col("prev1").isin("const", "let", "var") & ~tok.startswith("`")
     )
     return (
-        code_tokens(spread)
+        code_tokens(spread, whole=("`",))
         .select(*_FILE, "pos", "line_no", declares.alias("declares"), F.explode(names).alias("name"))
         .groupBy(*_FILE, "name")
         .agg(
