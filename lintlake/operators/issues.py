@@ -111,10 +111,13 @@ def unpack(rows: DataFrame, items: Column, *extra: str | Column) -> DataFrame:
 
 
 def render(rows: DataFrame) -> DataFrame:
-    """Evidence rows to issues. Optional columns: `shift` (added to the phase), `ord_path`."""
-    have = set(rows.columns)
-    shift = F.col("shift") if "shift" in have else F.lit(0)
-    ord_path = F.coalesce("ord_path", "path") if "ord_path" in have else F.col("path")
+    """Evidence rows to issues. All columns but `repo_id`, `path` and `entry` may be missing;
+    `shift` is added to the phase, `ord_path` takes the place of the path in the order."""
+    optional = {"line": "int", "n": "bigint", "name": "string", "text": "string", "k1": "int",
+                "k2": "int", "shift": "int", "ord_path": "string"}
+    missing = {c: F.lit(None).cast(t) for c, t in optional.items() if c not in rows.columns}
+    rows = rows.withColumns(missing) if missing else rows
+    shift, ord_path = F.col("shift"), F.coalesce("ord_path", "path")
     rows = rows.withColumn("_c", F.get(_constants(), F.col("entry")))
     entry, trimmed = F.col("entry"), js_trim(F.col("text"))
     arguments = (

@@ -100,6 +100,10 @@ FILE_RULES = (
 )
 
 
+def _starts_with(name: str):
+    return lambda dep: dep.startswith(name)
+
+
 def heavy_dependencies(manifests: DataFrame) -> DataFrame:
     """Listed packages among the run-time dependencies, matched by name or by prefix.
 
@@ -109,7 +113,7 @@ def heavy_dependencies(manifests: DataFrame) -> DataFrame:
     names = F.map_keys("deps")
     hits = [
         F.when(
-            F.exists(names, lambda d, name=name: d.startswith(name)),
+            F.exists(names, _starts_with(name)),
             evidence(f"heavy-{k}", k1=0),
         )
         for k, (name, _, _) in enumerate(HEAVY_DEPENDENCIES)

@@ -39,6 +39,13 @@ FILE_RULES = {
 }
 
 
+def with_shift(evidence: DataFrame) -> DataFrame:
+    """Markup findings in components come after those in templates."""
+    markup = [INDEX[r.kind] for r in accessibility.LINE_RULES]
+    late = F.when(F.col("entry").isin(*markup), accessibility.is_component()).otherwise(0)
+    return evidence.withColumn("shift", late)
+
+
 def text_evidence(
     files: DataFrame,
     categories: tuple[str, ...] = CATEGORIES,
@@ -53,13 +60,7 @@ def text_evidence(
         whole += frameworks.PACKS[pack][1]
     frames = []
     if lines:
-        found = apply_line_rules(files, lines, options)
-        is_markup = F.col("entry").isin(
-            *[INDEX[r.kind] for r in accessibility.LINE_RULES]
-        )
-        frames.append(
-            found.withColumn("shift", F.when(is_markup, accessibility.is_component()).otherwise(0))
-        )
+        frames.append(with_shift(apply_line_rules(files, lines, options)))
     if whole:
         frames.append(apply_file_rules(files, whole, options))
     return frames

@@ -8,9 +8,11 @@ root files, which need the list of repositories.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lintlake.session import ensure_checkpoint_dir
 from verification.snippets import ADVISORIES, PAGE_TAILS, ROOT_FILES, SNIPPETS
 
 BLOCK = 40
@@ -33,7 +35,27 @@ def _repo(block: Column) -> Column:
     )
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file table: derived once per session, then read back as Parquet, so that queries get a
+    real scan with column pruning. It lies in the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        ensure_checkpoint_dir(spark)
+        folder = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+        derived = derive_files(spark, sf_dir)
+        # A small input may come as one split; a large one already has enough of them.
+        parallel = spark.sparkContext.defaultParallelism
+        if derived.rdd.getNumPartitions() < 2 * parallel:
+            derived = derived.repartition(2 * parallel)
+        derived.write.parquet(folder)
+        _written[key] = folder
+    return spark.read.schema("repo_id string, path string, content string").parquet(_written[key])
+
+
+def derive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [s.__dict__ for s in SNIPPETS]
     snippets = F.from_json(
         F.lit(json.dumps(rows)),
@@ -66,7 +88,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tails = F.array(*map(F.lit, PAGE_TAILS))
     pages = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("w"), F.floor(F.col("page_id") / 25).cast("string")).alias("repo_id"),
-        F.concat(F.lit("site/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
+        F.concat(
+            F.lit("site/p"), F.col("page_id").cast("string"),
+            F.when(F.col("page_id") % 3 == 0, ".vue").otherwise(".html"),
+        ).alias("path"),
         F.concat("html", F.get(tails, (F.col("page_id") % len(PAGE_TAILS)).cast("int")))
         .alias("content"),
     )
@@ -126,7 +151,8 @@ files AS MATERIALIZED (
         FROM documents GROUP BY 1) b, root_rows
   WHERE block % every = rest
   UNION ALL
-  SELECT 'w' || CAST(page_id // 25 AS VARCHAR), 'site/p' || CAST(page_id AS VARCHAR) || '.html',
+  SELECT 'w' || CAST(page_id // 25 AS VARCHAR), 'site/p' || CAST(page_id AS VARCHAR)
+           || CASE WHEN page_id % 3 = 0 THEN '.vue' ELSE '.html' END,
          html || tail
   FROM pages JOIN page_tails ON k = page_id % {len(PAGE_TAILS)}
 )"""
