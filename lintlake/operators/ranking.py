@@ -24,11 +24,11 @@ def top_k(frame: DataFrame, keys: tuple[str, ...], order: list[Column], k: int)
 
 def by_severity() -> list[Column]:
     """Stable order of a report: severity first, then the order in which issues were emitted."""
-    return [severity_rank(F.col("severity")), F.col("ord"), F.col("id")]
+    return [severity_rank(F.col("severity")), *in_order()]
 
 
 def in_order() -> list[Column]:
-    return [F.col("ord"), F.col("id")]
+    return [F.col("ord"), F.col("id"), F.col("description")]
 
 
 def top_issues(issues: DataFrame, k: int = SHOWN["markdown"]) -> DataFrame:

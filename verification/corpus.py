@@ -35,6 +35,12 @@ def _repo(block: Column) -> Column:
     )
 
 
+def session_folder(spark: SparkSession, name: str) -> str:
+    """New folder for a table of this session, below the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 _written: dict[tuple[str, str], str] = {}
 
 
@@ -43,8 +49,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     real scan with column pruning. It lies in the checkpoint folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        ensure_checkpoint_dir(spark)
-        folder = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+        folder = session_folder(spark, "files")
         derived = derive_files(spark, sf_dir)
         # A small input may come as one split; a large one already has enough of them.
         parallel = spark.sparkContext.defaultParallelism

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lintlake.functions.grades import grade_band, score_band, score_to_grade
+from lintlake.functions.grades import (
+    BAND_CUTS, GRADE_CUTS, grade_band, score_band, score_to_grade,
+)
 from lintlake.functions.versions import version_key
 from lintlake.operators import (
     advisories as adv, architecture, fixes, frameworks, graph, insights, performance, ranking,
@@ -17,10 +19,13 @@ from lintlake.operators.facts import repo_facts
 from lintlake.operators.issues import count_by_rule, min_severity, render, union_all
 from lintlake.operators.rules import Options, apply_file_rules, apply_first_per_file, apply_line_rules
 from lintlake.plans import auditing
-from lintlake.schema import AUDIT_WEIGHTS, BARE_WEIGHTS, CATEGORIES
+from lintlake.schema import AUDIT_WEIGHTS, BARE_WEIGHTS, CATEGORIES, PENALTIES, SEVERITY_RANK
 from lintlake.sources import files as src
+from lintlake.sources.sinks import read_issues, write_issues
 from verification import rule_sql as rs
-from verification.corpus import ADVISORIES_SQL, FILES_SQL, LINES_SQL, advisories, files, q, table
+from verification.corpus import (
+    ADVISORIES_SQL, FILES_SQL, LINES_SQL, advisories, files, q, session_folder, table,
+)
 from verification.sqltools import (
     CODE, IS_TEST_FILE, ISSUE_COLUMNS, MARKUP, NOT_IGNORED, NOT_TEST, SECURE_WALK, VISIBLE,
     WALKED, redact, walk,
@@ -179,7 +184,8 @@ def _evidence_of(f: DataFrame, wanted: set[str]) -> list[DataFrame]:
     if lines:
         frames.append(auditing.with_shift(apply_line_rules(f, lines)))
     if whole:
-        frames.append(apply_file_rules(f, whole))
+        rows = apply_file_rules(f, whole)
+        frames.append(rows.where(F.col("entry").isin(*[INDEX[k] for k in sorted(wanted)])))
     if wanted & {"max-lines-per-function", "complexity"}:
         rows = tokens.function_evidence(f)
         frames.append(rows.where(F.col("entry").isin(*[INDEX[k] for k in wanted])))
@@ -360,7 +366,7 @@ def _version_sql(column: str) -> str:
     )
 
 
-ADVISORY_SQL = f"""{FILES_SQL}, {ADVISORIES_SQL},
+_ADVISORY_CTES = f"""{ADVISORIES_SQL},
 keyed AS (SELECT *, {_version_sql('range')} AS v FROM {rs.DEPS}),
 ranged AS (SELECT *, {_version_sql('introduced')} AS lo, {_version_sql('fixed')} AS hi FROM advisories),
 matched AS (
@@ -370,6 +376,7 @@ matched AS (
   FROM keyed k JOIN ranged r ON r.name = k.name
   WHERE (lo IS NULL OR v >= lo) AND (hi IS NULL OR v < hi)
 )"""
+ADVISORY_SQL = f"{FILES_SQL}, {_ADVISORY_CTES}"
 
 
 def _advisory_issues(spark: SparkSession, sf: str) -> DataFrame:
@@ -402,7 +409,7 @@ def _vulnerabilities(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "secret_metadata",
-    f"""WITH {rs.BASE}, {ADVISORY_SQL.replace(FILES_SQL + ', ', '', 1)},
+    f"""WITH {rs.BASE}, {_ADVISORY_CTES},
     both_kinds AS (
       SELECT repo_id, 1 AS s, 0 AS v FROM ({' UNION ALL '.join(rs.rule_issues(k.key) for k in kinds_of('security', 'no-hardcoded-secrets'))})
       UNION ALL SELECT repo_id, 0, 1 FROM matched)
@@ -538,3 +545,481 @@ for _column in ("has_tests", "has_typescript", "node_version"):
         _column, f"WITH {_KNOWN_SQL} SELECT repo_id, {_column} FROM ({_STACK_SELECT})",
         lambda f, c=_column: _stack(f).select("repo_id", c),
     )
+
+# ---- the issue table of a full audit ---------------------------------------------------------------
+
+_tables: dict[tuple[str, str], str] = {}
+
+
+def issue_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues of a full audit, written once per session and read back, as `audit` does it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _tables:
+        folder = session_folder(spark, "issues")
+        write_issues(
+            auditing.collect_issues(files(spark, sf), advisories=advisories(spark), plugins=False),
+            folder,
+        )
+        _tables[key] = folder
+    return read_issues(spark, _tables[key])
+
+
+_ADVISORY_ROWS = """SELECT repo_id, 'security' AS category, severity, 'npm-audit' AS rule,
+  'Vulnerable Dependency: ' || name AS title, 'package.json' AS file, CAST(NULL AS INTEGER) AS line,
+  repo_id || ':security-npm-' || name AS id,
+  coalesce(title, 'Security vulnerability in ' || name) AS description,
+  CASE WHEN fix_available THEN 'Run: npm audit fix'
+    ELSE 'Update or replace the dependency manually' END AS fix_text,
+  CAST(NULL AS VARCHAR) AS fix_before, CAST(NULL AS VARCHAR) AS fix_after,
+  coalesce(fix_available, FALSE) AS automated, 1 AS cat, 1 AS phase, name AS opath, 0 AS grp,
+  0 AS k1, 0 AS k2 FROM matched"""
+_AUDIT_KEYS = [k.key for k in CATALOGUE if k.cat < 6]
+_ISSUE_UNION = "\nUNION ALL\n".join([*(rs.rule_issues(k) for k in _AUDIT_KEYS), _ADVISORY_ROWS])
+FULL_SQL = (
+    f"{rs.BASE}{_SPANS}, {rs.CYCLES}, {_ADVISORY_CTES}, "
+    f"issues AS MATERIALIZED ({_ISSUE_UNION})"
+)
+
+_POINTS = " ".join(
+    f"WHEN '{c}' THEN CASE severity " + " ".join(f"WHEN '{s}' THEN {p}" for s, p in points.items())
+    + " ELSE 0 END"
+    for c, points in PENALTIES.items()
+)
+_SCANNED = {"quality": CODE, "security": SECURE_WALK, "performance": CODE, "accessibility": MARKUP,
+            "testing": CODE, "architecture": WALKED}
+_PENALTY_SUMS = f"""(SELECT repo_id, category, sum(CAST(CASE category {_POINTS} END AS DOUBLE)) AS p,
+  count(*) AS issues, {', '.join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in SEVERITY_RANK)},
+  count(*) FILTER (automated) AS fixable FROM issues GROUP BY 1, 2)"""
+RESULTS_SQL = f"""results AS MATERIALIZED (
+  SELECT g.repo_id, g.category, g.files_scanned,
+    greatest(0.0, least(100.0, CASE
+      WHEN g.category IN ('quality', 'testing', 'architecture') AND files_scanned = 0 THEN 100.0
+      WHEN g.category = 'quality' THEN 100 - coalesce(p, 0) / greatest(files_scanned, 1) * 2
+      WHEN g.category = 'testing' THEN
+        least(CAST(100 AS DOUBLE), coalesce(coverage, 100) * CAST(1.2 AS DOUBLE))
+          - coalesce(p, 0) * CAST(0.3 AS DOUBLE)
+      ELSE 100 - coalesce(p, 0) END)) AS score,
+    {', '.join(f"coalesce({c}, 0) AS {c}" for c in ('issues', *SEVERITY_RANK, 'fixable'))}
+  FROM ({' UNION ALL '.join(
+      f"SELECT repo_id, '{c}' AS category, count(*) FILTER ({cond}) AS files_scanned FROM files GROUP BY 1"
+      for c, cond in _SCANNED.items())}) g
+  LEFT JOIN {_PENALTY_SUMS} USING (repo_id, category)
+  LEFT JOIN {rs.COVERAGE} c ON c.repo_id = g.repo_id
+)"""
+SCORED_SQL = f"{FULL_SQL}, {RESULTS_SQL}"
+_GRADE = lambda c: "CASE " + " ".join(
+    f"WHEN {c} >= {low} THEN '{g}'" for low, g in GRADE_CUTS
+) + " ELSE 'F' END"
+_BAND = lambda c: "CASE " + " ".join(
+    f"WHEN {c} >= {low} THEN '{g}'" for low, g in BAND_CUTS
+) + " ELSE 'bad' END"
+_RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 5 END"
+_ORD = "cat, phase, opath, grp, k1, k2, id, description"
+_SUBS = f"""(SELECT repo_id, category, CAST(floor(score + 0.5) AS BIGINT) AS score,
+  {_GRADE('score')} AS grade, issues AS issue_count, critical AS critical_count,
+  high AS high_count FROM results)"""
+
+
+def _overall_sql(weights: dict[str, float], source: str = "results") -> str:
+    pick = lambda c: f"CAST(max(floor(score + 0.5)) FILTER (category = '{c}') AS DOUBLE)"
+    parts = " + ".join(f"{pick(c)} * CAST({w} AS DOUBLE)" for c, w in weights.items())
+    total = " + ".join(f"CAST({w} AS DOUBLE)" for w in weights.values())
+    return (
+        f"(SELECT repo_id, CAST(floor(({parts}) / ({total}) + 0.5) AS BIGINT) AS overall "
+        f"FROM {source} GROUP BY 1)"
+    )
+
+
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    f = files(spark, sf)
+    return scoring.scan_results(
+        repo_facts(f), scoring.issue_totals(issue_table(spark, sf)), testing.coverage(f)
+    )
+
+
+def over_results(name: str, sql: str, run: Callable[[DataFrame], DataFrame]) -> None:
+    query(name, f"WITH {SCORED_SQL} {sql}")(lambda spark, sf: run(_results(spark, sf)))
+
+
+def over_issues(name: str, sql: str, run: Callable[[DataFrame], DataFrame]) -> None:
+    query(name, f"WITH {FULL_SQL} {sql}")(lambda spark, sf: run(issue_table(spark, sf)))
+
+
+_SECRET_UNION = " UNION ALL ".join(
+    rs.rule_issues(k.key) for k in kinds_of("security", "no-hardcoded-secrets")
+)
+
+
+@query(
+    "security_grades",
+    f"""WITH {rs.BASE} SELECT r.repo_id, coalesce(n, 0) AS secrets, score, {_GRADE('score')} AS grade
+    FROM (SELECT repo_id, coalesce(n, 0) AS n,
+        CAST(greatest(0, least(100, 100 - coalesce(p, 0))) AS DOUBLE) AS score
+      FROM (SELECT DISTINCT repo_id FROM files) LEFT JOIN (
+        SELECT repo_id, count(*) AS n, sum(CASE severity WHEN 'critical' THEN 20 ELSE 12 END) AS p
+        FROM ({_SECRET_UNION}) GROUP BY 1) USING (repo_id)) r""",
+)
+def _security_grades(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets, score and grade per repository: text to grade in one plan."""
+    f = files(spark, sf)
+    rules = [r for r in security.LINE_RULES if r.kind.startswith("secret-")]
+    totals = scoring.issue_totals(render(apply_line_rules(f, rules)))
+    results = scoring.scan_results(
+        repo_facts(f), totals, testing.coverage(f), categories=("security",)
+    )
+    return results.select(
+        "repo_id", F.col("issues").alias("secrets"), "score",
+        score_to_grade(F.col("score")).alias("grade"),
+    )
+
+
+for _category in CATEGORIES:
+    query(
+        f"audit_{_category}",
+        f"WITH {FULL_SQL} SELECT repo_id, rule, severity, count(*) AS n FROM issues "
+        f"WHERE category = '{_category}' GROUP BY ALL",
+    )(
+        lambda spark, sf, c=_category: auditing.run_scanner(
+            files(spark, sf), c, advisories=advisories(spark)
+        ).groupBy("repo_id", "rule", "severity").agg(F.count("*").alias("n"))
+    )
+over_issues(
+    "run_scanner",
+    f"SELECT {', '.join(ISSUE_COLUMNS)} FROM issues WHERE category = 'accessibility'",
+    lambda i: flat(i.where("category = 'accessibility'")),
+)
+over_issues("issues", f"SELECT {', '.join(ISSUE_COLUMNS)} FROM issues", flat)
+over_results(
+    "category_score", "SELECT repo_id, category, files_scanned, score FROM results",
+    scoring.category_score,
+)
+over_results("sub_scores", f"SELECT * FROM {_SUBS}", scoring.sub_scores)
+over_results(
+    "overall_score",
+    f"SELECT repo_id, overall, {_GRADE('overall')} AS grade FROM {_overall_sql(AUDIT_WEIGHTS)}",
+    scoring.overall_score,
+)
+over_results(
+    "score_to_grade",
+    f"SELECT repo_id, category, score, {_GRADE('score')} AS grade FROM results",
+    lambda r: r.select("repo_id", "category", "score", score_to_grade(F.col("score")).alias("grade")),
+)
+over_results(
+    "score_band",
+    f"SELECT repo_id, category, {_BAND('score')} AS band, left({_GRADE('score')}, 1) AS letter FROM results",
+    lambda r: r.select(
+        "repo_id", "category", score_band(F.col("score")).alias("band"),
+        grade_band(score_to_grade(F.col("score"))).alias("letter"),
+    ),
+)
+
+
+def _overrides(f: DataFrame) -> DataFrame:
+    """Weights set by the repositories that have many tests."""
+    return repo_facts(f).where("n_tests > 3").select(
+        "repo_id", F.lit("security").alias("category"), F.lit(0.5).alias("weight")
+    )
+
+
+_WEIGHTS_SQL = f"""(SELECT repo_id, category,
+  CASE WHEN category = 'security' AND n_tests > 3 THEN 0.5 ELSE w END AS weight
+  FROM {rs.FACTS}, (VALUES {', '.join(f"('{c}', CAST({w} AS DOUBLE))" for c, w in AUDIT_WEIGHTS.items())}) d(category, w))"""
+over_files(
+    "resolve_weights", f"WITH {FILES_SQL} SELECT * FROM {_WEIGHTS_SQL}",
+    lambda f: scoring.resolve_weights(_overrides(f), repo_facts(f)),
+)
+
+
+@query(
+    "overall_score_with_overrides",
+    f"""WITH {SCORED_SQL}, weighted AS (
+      SELECT repo_id, {', '.join(f"CAST(max(floor(score + 0.5)) FILTER (category = '{c}') AS DOUBLE) AS s_{c}, max(weight) FILTER (category = '{c}') AS w_{c}" for c in CATEGORIES)}
+      FROM results JOIN {_WEIGHTS_SQL} USING (repo_id, category) GROUP BY 1)
+    SELECT repo_id, overall, {_GRADE('overall')} AS grade FROM (SELECT repo_id, CAST(floor(
+      ({' + '.join(f"s_{c} * w_{c}" for c in CATEGORIES)})
+      / ({' + '.join(f"w_{c}" for c in CATEGORIES)}) + 0.5) AS BIGINT) AS overall FROM weighted)""",
+)
+def _overridden(spark: SparkSession, sf: str) -> DataFrame:
+    f = files(spark, sf)
+    weights = scoring.resolve_weights(_overrides(f), repo_facts(f))
+    return scoring.overall_score(_results(spark, sf), weights)
+
+
+over_results(
+    "audit_summary",
+    f"""SELECT repo_id, CAST(sum(files_scanned) AS BIGINT) AS total_files,
+      CAST(sum(issues) AS BIGINT) AS total_issues,
+      {', '.join(f"CAST(sum({s}) AS BIGINT) AS {s}_issues" for s in SEVERITY_RANK)},
+      {', '.join(f"CAST(sum(issues) FILTER (category = '{c}') AS BIGINT) AS {c}" for c in CATEGORIES)}
+    FROM results GROUP BY 1""",
+    lambda r: scoring.audit_summary(r).select(
+        "*", *[F.col("categories")[c].alias(c) for c in CATEGORIES]
+    ).drop("categories"),
+)
+over_issues(
+    "severity_rollup",
+    "SELECT category, severity, count(*) AS n FROM issues GROUP BY ROLLUP (category, severity)",
+    scoring.severity_rollup,
+)
+over_results(
+    "gate",
+    "SELECT repo_id, bool_or(critical > 0) AS audit_fails, "
+    "bool_or(critical > 0 OR high > 0) AS scanner_fails FROM results GROUP BY 1",
+    scoring.gate,
+)
+over_results(
+    "fixable_count", "SELECT repo_id, CAST(sum(fixable) AS BIGINT) AS fixable FROM results GROUP BY 1",
+    scoring.fixable_count,
+)
+over_results(
+    "score_trend",
+    f"""SELECT repo_id, run_ts, overall, CASE WHEN before IS NULL OR overall = before THEN 'stable'
+      WHEN overall > before THEN 'improving' ELSE 'declining' END AS trend
+    FROM (SELECT *, lag(overall) OVER (PARTITION BY repo_id ORDER BY run_ts) AS before FROM (
+      SELECT repo_id, 1 AS run_ts, overall FROM {_overall_sql(AUDIT_WEIGHTS)}
+      UNION ALL SELECT repo_id, 2, overall FROM {_overall_sql(BARE_WEIGHTS)}))""",
+    lambda r: scoring.score_trend(
+        scoring.overall_score(r).withColumn("run_ts", F.lit(1)).unionByName(
+            scoring.overall_score(r, BARE_WEIGHTS).withColumn("run_ts", F.lit(2))
+        )
+    ),
+)
+
+
+@query(
+    "audit",
+    f"""WITH {SCORED_SQL} SELECT s.repo_id, overall, {_GRADE('overall')} AS grade, total_files,
+      total_issues, critical_issues, audit_fails
+    FROM {_overall_sql(AUDIT_WEIGHTS)} s JOIN (
+      SELECT repo_id, CAST(sum(files_scanned) AS BIGINT) AS total_files,
+        CAST(sum(issues) AS BIGINT) AS total_issues, CAST(sum(critical) AS BIGINT) AS critical_issues,
+        bool_or(critical > 0) AS audit_fails FROM results GROUP BY 1) USING (repo_id)""",
+)
+def _audit(spark: SparkSession, sf: str) -> DataFrame:
+    run = auditing.audit(
+        files(spark, sf), advisories=advisories(spark),
+        issue_table=session_folder(spark, "audit"),
+    )
+    return (
+        run.scores.join(run.summary, "repo_id").join(scoring.gate(run.results), "repo_id")
+        .select("repo_id", "overall", "grade", "total_files", "total_issues", "critical_issues",
+                "audit_fails")
+    )
+
+
+# ---- ranking ----------------------------------------------------------------------------------------
+
+_top = lambda keys, order, k, where="TRUE": (
+    f"(SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rank FROM issues "
+    f"WHERE {where} QUALIFY rank <= {k})"
+)
+_BY_SEVERITY = f"{_RANK}, {_ORD}"
+_SHOW = ("repo_id", "category", "rank", "severity", "id", "description")
+_shown = lambda rows: rows.select(*_SHOW)
+for _report, _k in ranking.SHOWN.items():
+    over_issues(
+        "top_issues" if _report == "markdown" else f"top_issues_{_report}",
+        f"SELECT repo_id, category, CAST(rank AS INTEGER) AS rank, severity, id, description "
+        f"FROM {_top('repo_id, category', _BY_SEVERITY, _k)}",
+        lambda i, k=_k: _shown(ranking.top_issues(i, k)),
+    )
+over_issues(
+    "hidden_counts",
+    "SELECT repo_id, category, CAST(30 AS INTEGER) AS shown, count(*) AS total, "
+    "count(*) - 30 AS hidden FROM issues GROUP BY ALL HAVING count(*) > 30",
+    lambda i: ranking.hidden_counts(scoring.issue_totals(i)),
+)
+_SERIOUS = "severity IN ('critical', 'high')"
+over_issues(
+    "suggested_fixes",
+    "SELECT repo_id, category, CAST(rank AS INTEGER) AS rank, severity, id, description FROM "
+    + _top("repo_id, category", _BY_SEVERITY, 5, f"{_SERIOUS} AND fix_text IS NOT NULL"),
+    lambda i: _shown(ranking.suggested_fixes(i)),
+)
+over_issues(
+    "critical_list",
+    "SELECT repo_id, category, CAST(rank AS INTEGER) AS rank, severity, id, description FROM "
+    + _top("repo_id", _ORD, 5, "severity = 'critical'"),
+    lambda i: _shown(ranking.critical_list(i)),
+)
+over_results(
+    "category_table",
+    f"SELECT repo_id, category, score, grade, issue_count AS issues, critical_count AS critical "
+    f"FROM {_SUBS}",
+    lambda r: ranking.category_table(scoring.sub_scores(r)),
+)
+
+# ---- prompts and replies ------------------------------------------------------------------------------
+
+_PLACE = "file || CASE WHEN line > 0 THEN ':' || CAST(line AS VARCHAR) ELSE '' END"
+_STACK_ONLY = _KNOWN_SQL.replace(FILES_SQL + ",", "", 1)
+_SUB_LINES = f"""(SELECT repo_id, string_agg('- ' || category || ': ' || CAST(score AS VARCHAR) || '/100 ('
+  || CAST(issue_count AS VARCHAR) || ' issues)', chr(10) ORDER BY list_position(
+  [{', '.join(q(c) for c in CATEGORIES)}], category)) AS subs FROM {_SUBS} GROUP BY 1)"""
+
+
+@query(
+    "insight_prompt",
+    f"""WITH {SCORED_SQL}, {_STACK_ONLY}
+    SELECT s.repo_id, {q(insights.REVIEW_INTRO)} || '- Overall Score: ' || CAST(overall AS VARCHAR)
+      || '/100 (Grade: ' || {_GRADE('overall')} || ')' || chr(10) || '- Total Issues: '
+      || CAST(CAST(n AS BIGINT) AS VARCHAR) || ' (' || CAST(CAST(c AS BIGINT) AS VARCHAR) || ' critical, '
+      || CAST(CAST(h AS BIGINT) AS VARCHAR) || ' high)' || chr(10) || '- Stack: ' || k."primary" || ' '
+      || k.frameworks || chr(10) || chr(10) || '## Sub-scores' || chr(10) || subs || chr(10) || chr(10)
+      || '## Top Critical/High Issues' || chr(10) || coalesce(bullets, 'No critical issues found.')
+      || {q(insights.REVIEW_TASK)} AS prompt
+    FROM {_overall_sql(AUDIT_WEIGHTS)} s
+    JOIN (SELECT repo_id, sum(issues) AS n, sum(critical) AS c, sum(high) AS h FROM results GROUP BY 1) t
+      USING (repo_id)
+    JOIN {_SUB_LINES} l USING (repo_id) JOIN ({_STACK_SELECT}) k USING (repo_id)
+    LEFT JOIN (SELECT repo_id, string_agg('- [' || upper(severity) || '] ' || title || ': '
+        || description || ' (' || {_PLACE} || ')', chr(10) ORDER BY rank) AS bullets
+      FROM {_top('repo_id', _ORD, 20, _SERIOUS)} GROUP BY 1) b USING (repo_id)""",
+)
+def _insight_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    f, results = files(spark, sf), _results(spark, sf)
+    return insights.insight_prompt(
+        issue_table(spark, sf), scoring.overall_score(results), scoring.sub_scores(results),
+        scoring.audit_summary(results), _stack(f),
+    )
+
+
+over_issues(
+    "security_prompt",
+    f"""SELECT repo_id, 'You are a security expert. Review these security issues and provide '
+      || 'remediation guidance:' || chr(10) || chr(10) || string_agg('- ' || title || ' (' || {_PLACE}
+      || ')', chr(10) ORDER BY rank) || {q(insights.SECURITY_TASK)} AS prompt
+    FROM {_top('repo_id', _ORD, 20, _SERIOUS + " AND category = 'security'")} GROUP BY 1""",
+    insights.security_prompt,
+)
+over_issues(
+    "refactor_prompt",
+    f"""SELECT repo_id, id, {q(insights.REFACTOR_INTRO)} || title || chr(10) || chr(10) || 'Code:'
+      || chr(10) || '```' || chr(10) || fix_before || chr(10) || '```' || {q(insights.REFACTOR_TASK)}
+      AS prompt FROM issues WHERE fix_before IS NOT NULL""",
+    insights.refactor_prompt,
+)
+
+
+def _replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Model replies made from the conversations: prose, full JSON, and JSON without fields."""
+    text = F.col("text")
+    insight = F.struct(F.lit("security").alias("category"), text.alias("summary"))
+    full = F.to_json(F.struct(
+        text.alias("overallSummary"),
+        F.array(F.lit("a"), F.col("role"), F.lit("c"), F.lit("d"), F.lit("e"), F.lit("f"))
+        .alias("priorityActions"),
+        F.array(insight, insight, insight, insight).alias("insights"),
+        F.lit("2 days").alias("estimatedFixTime"),
+    ))
+    part = F.to_json(F.struct(F.array(F.col("role")).alias("priorityActions")))
+    kind = F.col("turn") % 3
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn",
+        F.when(kind == 0, text).when(kind == 1, full).otherwise(part).alias("raw"),
+    )
+
+
+_REPLY_SQL = """SELECT conv_id, turn,
+  CASE turn % 3 WHEN 0 THEN left(text, 500) WHEN 1 THEN text ELSE 'No summary provided.' END
+    AS overall_summary,
+  CASE turn % 3 WHEN 1 THEN '2 days' ELSE 'Unknown' END AS estimated_fix_time,
+  CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'a,' || role || ',c,d,e{more}' ELSE role END AS actions,
+  CAST(CASE turn % 3 WHEN 1 THEN {n} ELSE 0 END AS INTEGER) AS n_insights FROM conversations"""
+_reply_columns = lambda d: d.select(
+    "conv_id", "turn", "overall_summary", "estimated_fix_time",
+    F.array_join("priority_actions", ",").alias("actions"), F.size("insights").alias("n_insights"),
+)
+
+
+@query("parse_insights", _REPLY_SQL.format(more=",f", n=4))
+def _parse(spark: SparkSession, sf: str) -> DataFrame:
+    return _reply_columns(insights.parse_insights(_replies(spark, sf)))
+
+
+@query("top_insights", _REPLY_SQL.format(more="", n=3))
+def _top_insights(spark: SparkSession, sf: str) -> DataFrame:
+    return _reply_columns(insights.top_insights(insights.parse_insights(_replies(spark, sf))))
+
+
+# ---- fixes -------------------------------------------------------------------------------------------
+
+_INSERTED = " ".join(
+    f"WHEN {q(rule)} THEN regexp_replace(line_text, {q(tag + chr(92) + 'b')}, {q(new)})"
+    for rule, (tag, new) in fixes.INSERTED.items()
+)
+_SP = r"\s\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+_INDENT = r"[ \t\f\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{feff}]*"
+_PLAIN = r"[^\n\r\x{2028}\x{2029}]*"
+CHANGES_SQL = f"""{FULL_SQL}, changes AS MATERIALIZED (
+  SELECT * FROM (SELECT i.repo_id, i.file AS path, i.line AS line_no, l.line AS original,
+    CASE i.rule
+      WHEN 'no-console' THEN regexp_replace(line_text, '^({_INDENT})({_PLAIN})(\\r?)$',
+        '\\1// \\2{fixes.CONSOLE_TAIL}\\3')
+      WHEN 'no-debugger' THEN regexp_replace(regexp_replace(line_text, '\\bdebugger\\b[{_SP}]*;?', ''),
+        '[{_SP}]+$', '')
+      {_INSERTED} END AS replacement,
+    i.rule, cat, phase, opath, grp, k1, k2
+  FROM issues i JOIN (SELECT *, line AS line_text FROM lines) l
+    ON l.repo_id = i.repo_id AND l.path = i.file AND l.line_no = i.line
+  WHERE i.automated AND i.line IS NOT NULL) WHERE replacement IS NOT NULL
+)"""
+FIXED_SQL = f"""{CHANGES_SQL}, fixed AS MATERIALIZED (
+  SELECT repo_id, path, string_agg(coalesce(replacement, line), chr(10) ORDER BY line_no) AS content
+  FROM lines LEFT JOIN (
+    SELECT repo_id, path, line_no, replacement FROM changes
+    QUALIFY row_number() OVER (PARTITION BY repo_id, path, line_no
+      ORDER BY cat DESC, phase DESC, opath DESC, grp DESC, k1 DESC, k2 DESC) = 1) c
+    USING (repo_id, path, line_no)
+  WHERE (repo_id, path) IN (SELECT (repo_id, path) FROM changes)
+  GROUP BY 1, 2
+)"""
+
+
+def _changes(spark: SparkSession, sf: str) -> DataFrame:
+    return fixes.build_fix_plan(issue_table(spark, sf), files(spark, sf))
+
+
+over_issues(
+    "split_fixable",
+    "SELECT id, description, TRUE AS fixable FROM issues WHERE automated AND line IS NOT NULL "
+    "UNION ALL SELECT id, description, FALSE FROM issues WHERE NOT (coalesce(automated, FALSE) "
+    "AND line IS NOT NULL)",
+    lambda i: (lambda parts: parts[0].select("id", "description", F.lit(True).alias("fixable"))
+               .unionByName(parts[1].select("id", "description", F.lit(False).alias("fixable"))))(
+        fixes.split_fixable(i)
+    ),
+)
+query(
+    "build_fix_plan",
+    f"WITH {CHANGES_SQL} SELECT repo_id, path, line_no, original, replacement, rule FROM changes",
+)(lambda spark, sf: _changes(spark, sf).drop("ord"))
+query("apply_fixes", f"WITH {FIXED_SQL} SELECT repo_id, path, content FROM fixed")(
+    lambda spark, sf: fixes.apply_fixes(files(spark, sf), _changes(spark, sf))
+)
+query(
+    "fix_summary",
+    f"WITH {CHANGES_SQL} SELECT repo_id, path, count(*) AS issues_fixed, count(*) AS lines_changed, "
+    "count(DISTINCT line_no) AS distinct_lines FROM changes GROUP BY 1, 2",
+)(lambda spark, sf: fixes.fix_summary(_changes(spark, sf)))
+query(
+    "fix_totals",
+    f"""WITH {CHANGES_SQL} SELECT m.repo_id, manual, coalesce(fixes, 0) AS fixes,
+      coalesce(n_files, 0) AS files
+    FROM (SELECT repo_id, count(*) FILTER (NOT (coalesce(automated, FALSE) AND line IS NOT NULL))
+        AS manual FROM issues GROUP BY 1) m
+    LEFT JOIN (SELECT repo_id, count(*) AS fixes, count(DISTINCT path) AS n_files FROM changes
+      GROUP BY 1) USING (repo_id)""",
+)(lambda spark, sf: fixes.fix_totals(issue_table(spark, sf), _changes(spark, sf)))
+query(
+    "revert_console_fix",
+    f"""WITH {FIXED_SQL} SELECT repo_id, path, string_agg(CASE WHEN regexp_matches(line, pattern)
+        THEN regexp_replace(line, pattern, '\\1\\2\\3') ELSE line END, chr(10) ORDER BY i) AS content
+    FROM (SELECT repo_id, path, unnest(l) AS line, generate_subscripts(l, 1) AS i,
+        '^({_INDENT})// ({_PLAIN}) // TODO: use a proper logger(\\r?)$' AS pattern
+      FROM (SELECT repo_id, path, string_split(content, chr(10)) AS l FROM fixed
+        WHERE path LIKE 'src/%' AND path LIKE '%.ts'))
+    GROUP BY 1, 2 HAVING bool_or(regexp_matches(line, pattern))""",
+)(lambda spark, sf: fixes.revert_console_fix(
+    fixes.apply_fixes(files(spark, sf), _changes(spark, sf))
+))

@@ -114,7 +114,7 @@ SNIPPETS: tuple[Snippet, ...] = (
             "const Page = lazy(() => import('./APage'));\nimport Late from '../views/LateView';\n/*",
             "*/\nuseEffect(() => {\n  fetch('/api/a').then(set);\n}, []);\nfetch(\"/api/a\");\n"
             "axios.get('/api/b'); axios.post(`/api/b`);\nfetch('/api/c');\n"
-            "useEffect(() => {}, [dep]);\n" +
+            "useEffect(() => {}, [dep]);\n<a href=\"http://x\">x</a>\n<a  href='/in'>in</a>\n" +
             "const [s, set] = useState(0);\n" * 6),
     Snippet("src/ui/", 0, ".tsx",
             "<div onClick={go}>a</div>\n<div role=\"button\" onClick={go}>b</div>\n"
