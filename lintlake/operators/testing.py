@@ -9,7 +9,7 @@ from lintlake.functions.paths import base_name, dir_name, join_path
 from lintlake.functions.text import ecma
 from lintlake.operators.catalogue import CRITICAL_MODULES, TEST_BLOCK
 from lintlake.operators.issues import entry_of, evidence, found, union_all
-from lintlake.operators.rules import FileRule, Options, SCOPES, apply_file_rules
+from lintlake.operators.rules import FileRule, Options, SCOPES
 
 FIRST_UNTESTED = 20  # fixed value: untested files reported one by one
 
@@ -154,11 +154,10 @@ FILE_RULES = (
 def testing_evidence(
     files: DataFrame, facts: DataFrame, options: Options = Options()
 ) -> DataFrame:
-    covered = coverage(files, options)
+    """Findings that need all files of a repository (`FILE_RULES` need one)."""
     return union_all([
         untested_evidence(source_coverage(files, options)),
-        coverage_evidence(covered),
-        apply_file_rules(files, FILE_RULES, options),
+        coverage_evidence(coverage(files, options)),
         no_tests_evidence(facts),
     ])
 

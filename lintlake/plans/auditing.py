@@ -66,20 +66,30 @@ def text_evidence(
     return frames
 
 
-def collect_issues(
+def file_issues(
     files: DataFrame,
     categories: tuple[str, ...] = CATEGORIES,
     options: Options = Options(),
     packs: tuple[str, ...] = (),
-    advisories: DataFrame | None = None,
-    plugins: bool = True,
 ) -> DataFrame:
-    """Issues of the chosen categories as one lazy frame."""
+    """Issues that depend on one file only."""
     frames = text_evidence(files, categories, options, packs)
-    facts = repo_facts(files, options)
-    manifests = parse_manifest(files)
     if "quality" in categories:
         frames.append(tokens.typed_evidence(files, options))
+    if "testing" in categories:
+        frames.append(apply_file_rules(files, testing.FILE_RULES, options))
+    return render(union_all(frames))
+
+
+def repo_issues(
+    files: DataFrame,
+    categories: tuple[str, ...] = CATEGORIES,
+    options: Options = Options(),
+    advisories: DataFrame | None = None,
+) -> DataFrame | None:
+    """Issues that need all files of a repository."""
+    facts, manifests = repo_facts(files, options), parse_manifest(files)
+    frames = []
     if "performance" in categories:
         frames.append(performance.heavy_dependencies(manifests))
     if "testing" in categories:
@@ -87,14 +97,27 @@ def collect_issues(
     if "architecture" in categories:
         frames.append(architecture.structure_evidence(facts))
         frames.append(import_cycles(files, options))
-    issues = [render(union_all(frames))]
+    issues = [render(union_all(frames))] if frames else []
     if "security" in categories and advisories is not None:
         issues.append(advisory_join(extract_deps(manifests), advisories))
-    if plugins:
-        extra = run_plugins(files)
-        if extra is not None:
-            issues.append(extra)
-    return union_all(issues)
+    return union_all(issues) if issues else None
+
+
+def collect_issues(
+    files: DataFrame,
+    categories: tuple[str, ...] = CATEGORIES,
+    options: Options = Options(),
+    packs: tuple[str, ...] = (),
+    advisories: DataFrame | None = None,
+    plugins: bool = True,
+) -> DataFrame:
+    """Issues of the chosen categories as one lazy frame."""
+    parts = [
+        file_issues(files, categories, options, packs),
+        repo_issues(files, categories, options, advisories),
+        run_plugins(files) if plugins else None,
+    ]
+    return union_all([p for p in parts if p is not None])
 
 
 def run_scanner(

@@ -21,7 +21,8 @@ from lintlake.operators.rules import Options, apply_file_rules, apply_first_per_
 from lintlake.plans import auditing
 from lintlake.schema import AUDIT_WEIGHTS, BARE_WEIGHTS, CATEGORIES, PENALTIES, SEVERITY_RANK
 from lintlake.sources import files as src
-from lintlake.sources.sinks import read_issues, write_issues
+from lintlake.sources.sinks import read_issues, write_issues, write_report_json
+from lintlake.streaming import watch
 from verification import rule_sql as rs
 from verification.corpus import (
     ADVISORIES_SQL, FILES_SQL, LINES_SQL, advisories, files, q, session_folder, table,
@@ -1023,3 +1024,106 @@ query(
 )(lambda spark, sf: fixes.revert_console_fix(
     fixes.apply_fixes(files(spark, sf), _changes(spark, sf))
 ))
+
+# ---- streaming ----------------------------------------------------------------------------------------
+
+
+@query(
+    "match_changed",
+    f"""WITH {CHANGES_SQL} SELECT id, description FROM issues
+    WHERE (repo_id, file) IN (SELECT (repo_id, path) FROM changes)""",
+)
+def _match_changed(spark: SparkSession, sf: str) -> DataFrame:
+    changed = _changes(spark, sf).select("repo_id", "path").distinct()
+    return watch.match_changed(issue_table(spark, sf), changed).select("id", "description")
+
+
+def _versions(spark: SparkSession, sf: str) -> str:
+    """Folder with two versions of every file, a tenth of a second apart; the later one counts."""
+    folder = session_folder(spark, "versions")
+    rows = files(spark, sf)
+    at = F.timestamp_seconds(F.coalesce(F.octet_length("content"), F.lit(0)))
+    early = rows.select("repo_id", "path", F.concat("content", F.lit("x")).alias("content"),
+                        at.alias("mtime"))
+    late = rows.select("*", (at + F.expr("interval 100 milliseconds")).alias("mtime"))
+    early.unionByName(late).write.parquet(folder)
+    return folder
+
+
+def _run_stream(stream: DataFrame, spark: SparkSession) -> DataFrame:
+    """Run a stream over all input into a table and read it back."""
+    target, state = session_folder(spark, "stream"), session_folder(spark, "state")
+    (
+        stream.writeStream.format("parquet").option("path", target)
+        .option("checkpointLocation", state).outputMode("append")
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+    return spark.read.schema(stream.schema).parquet(target)
+
+
+@query("stream_files", f"WITH {FILES_SQL} SELECT repo_id, path, content FROM files")
+def _stream_files(spark: SparkSession, sf: str) -> DataFrame:
+    stream = watch.stream_files(spark, _versions(spark, sf))
+    return watch.latest_versions(_run_stream(stream, spark)).select("repo_id", "path", "content")
+
+
+@query(
+    "debounce",
+    f"""WITH {FILES_SQL} SELECT repo_id, path, content FROM files
+    WHERE coalesce(strlen(content), 0) < (SELECT max(strlen(content)) FROM files)""",
+)
+def _debounce(spark: SparkSession, sf: str) -> DataFrame:
+    """All input is one batch, so exactly the bursts before the latest change are closed."""
+    stream = watch.debounce(watch.stream_files(spark, _versions(spark, sf)), lateness="0 seconds")
+    return _run_stream(stream.select("repo_id", "path", "content"), spark)
+
+
+@query("stream_issues", f"WITH {TEXT_SQL} SELECT id, severity, description FROM issues")
+def _stream_issues(spark: SparkSession, sf: str) -> DataFrame:
+    folder = session_folder(spark, "changed")
+    files(spark, sf).withColumn("mtime", F.timestamp_seconds(F.lit(0))).write.parquet(folder)
+    stream = watch.stream_issues(watch.stream_files(spark, folder))
+    return _run_stream(stream.select("id", "severity", "description"), spark)
+
+
+@query(
+    "stream_refresh",
+    f"WITH {SCORED_SQL} SELECT repo_id, overall, {_GRADE('overall')} AS grade "
+    f"FROM {_overall_sql(AUDIT_WEIGHTS)}",
+)
+def _stream_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    refresh = watch.Refresh(session_folder(spark, "watch"), advisories=advisories(spark))
+    stream = watch.stream_files(spark, _versions(spark, sf))
+    watch.stream_refresh(stream, refresh, session_folder(spark, "state")).awaitTermination()
+    return refresh.scores(spark)
+
+
+# ---- sinks ---------------------------------------------------------------------------------------------
+
+
+@query(
+    "write_issues",
+    f"WITH {FULL_SQL} SELECT category, count(*) AS n FROM issues GROUP BY 1",
+)
+def _write_issues(spark: SparkSession, sf: str) -> DataFrame:
+    folder = session_folder(spark, "written")
+    write_issues(issue_table(spark, sf), folder)
+    return read_issues(spark, folder).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(
+    "write_report_json",
+    f"""WITH {SCORED_SQL} SELECT s.repo_id, overall, {_GRADE('overall')} AS grade, total_issues
+    FROM {_overall_sql(AUDIT_WEIGHTS)} s JOIN (SELECT repo_id, CAST(sum(issues) AS BIGINT)
+      AS total_issues FROM results GROUP BY 1) USING (repo_id)""",
+)
+def _write_report(spark: SparkSession, sf: str) -> DataFrame:
+    folder = session_folder(spark, "reports")
+    run = auditing.score_audit(files(spark, sf), issue_table(spark, sf))
+    write_report_json(run.reports(), folder)
+    schema = ("path string, score struct<score:long,grade:string>, "
+              "summary struct<total_issues:long>")
+    return spark.read.schema(schema).json(folder).select(
+        F.col("path").alias("repo_id"), F.col("score.score").alias("overall"), "score.grade",
+        "summary.total_issues",
+    )
