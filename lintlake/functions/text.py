@@ -11,6 +11,10 @@ _WORD = "[A-Za-z0-9_]"
 _EDGE = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
+def _is_word(c: str) -> bool:
+    return c == "_" or (c.isascii() and c.isalnum())
+
+
 def ecma(pattern: str, ignore_case: bool = False, dot_all: bool = False) -> str:
     """Java regex that matches what `pattern` matches in ECMAScript.
 
@@ -27,10 +31,15 @@ def ecma(pattern: str, ignore_case: bool = False, dot_all: bool = False) -> str:
             out.append(SPACE if in_class else f"[{SPACE}]")
             i += 2
         elif two == r"\b" and not in_class:
-            follows = pattern[i + 2 : i + 3]
-            starts_word = follows.isalnum() or follows == "_"
-            out.append(f"(?<!{_WORD})(?={_WORD})" if starts_word else _EDGE)
-            i += 2
+            follows, then = pattern[i + 2 : i + 3], pattern[i + 3 : i + 4]
+            before = pattern[i - 1 : i] if pattern[i - 2 : i - 1] != "\\" else ""
+            if _is_word(follows) and then not in ("*", "+", "?", "{"):
+                # The letter comes first, so that a scan tests it and not two look-arounds.
+                out.append(f"{follows}(?<!{_WORD}{follows})")
+                i += 3
+            else:
+                out.append(f"(?!{_WORD})" if _is_word(before) else _EDGE)
+                i += 2
         elif pattern[i] == "\\":
             out.append(two)
             i += 2

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lintlake.functions.text import ecma
+from lintlake.functions.text import any_of, ecma
 from lintlake.operators.catalogue import COMPLEXITY
 from lintlake.operators.issues import entry_of, union_all
 from lintlake.operators.rules import Options
@@ -36,14 +36,26 @@ _FILE = ("repo_id", "path")
 
 
 def spread_by_file(files: DataFrame) -> DataFrame:
-    """One shuffle of whole texts by file; all later steps keep this partitioning."""
-    return files.where(has_content()).select(*_FILE, "content").repartition(*_FILE)
+    """One shuffle of whole texts by file; all later steps keep this partitioning.
+
+    The number of partitions is the session's `spark.sql.shuffle.partitions`, given explicitly:
+    left to itself, adaptive execution would merge partitions by the size of the packed texts,
+    while each task works on many times as many tokens.
+    """
+    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.where(has_content()).select(*_FILE, "content").repartition(partitions, *_FILE)
 
 
-def typed_sources(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """Spread TypeScript sources. All token rules start from this one plan, so in a query that
-    holds several of them Spark reuses a single exchange."""
-    return spread_by_file(files.where(options.walk(("ts", "tsx"), tests=False)))
+def typed_sources(
+    files: DataFrame, options: Options = Options(), keep: Column | None = None
+) -> DataFrame:
+    """Spread TypeScript sources.
+
+    `keep` drops files that cannot hold a finding. It is tested after the path and before the
+    shuffle, as cutting tokens costs far more than either.
+    """
+    chosen = options.walk(("ts", "tsx"), tests=False)
+    return spread_by_file(files.where(chosen if keep is None else chosen & keep))
 
 
 def _newlines(text: Column) -> Column:
@@ -171,13 +183,14 @@ def function_spans(spread: DataFrame) -> DataFrame:
     closes = F.col("kind").isNotNull() & ~opens
     starter = tok.isin(*STARTERS) & (F.col("b1.line_no") < F.col("line_no"))
     spot = F.struct("opens", "start", "line_no", (F.col("start") + F.col("size")).alias("stop"))
+    is_head = tok.isin("=>", "function")
     # Only brackets, separators and heads go on; neighbours are already in the row.
     marks = (
         code_tokens(spread, around=True)
         .where(F.col("kind").isNotNull() | tok.isin("=>", "function", ",", ";") | starter)
         .select(
-            *_FILE, "pos", "tok", "start", "line_no", "depth", "opens", "kind",
-            "b1", "b2", "b3", "b4", "next1", "next2",
+            *_FILE, "pos", "tok", "start", "line_no", "depth", "opens", "kind", "b1",
+            *[F.when(is_head, F.col(c)).alias(c) for c in ("b2", "b3", "b4", "next1", "next2")],
             (closes | tok.isin(",", ";") | starter).alias("ends"),
             F.when(opens, F.lead(spot).over(pair)).alias("fwd"),
             F.when(closes, F.lag(spot).over(pair)).alias("bwd"),
@@ -203,7 +216,7 @@ def function_spans(spread: DataFrame) -> DataFrame:
             nearest(body, F.struct("pos", "fwd")).alias("body"),
             nearest(tok == ";", F.col("pos")).alias("semi"),
         )
-        .where(tok.isin("=>", "function"))
+        .where(is_head)
     )
 
     # A declaration starts at its first modifier and follows a finished statement.
@@ -261,12 +274,23 @@ def complexity_of(text: Column) -> Column:
     return total
 
 
-def measured_functions(files: DataFrame, options: Options = Options()) -> DataFrame:
+def may_hold_finding() -> Column:
+    """Whether a file can hold a long or complex function at all.
+
+    A function has no more lines and no more branches than its file, so other files need no tokens.
+    """
+    text = F.col("content")
+    return (_newlines(text) >= MAX_FUNCTION_LINES) | (complexity_of(text) > MAX_COMPLEXITY)
+
+
+def measured_functions(
+    files: DataFrame, options: Options = Options(), keep: Column | None = None
+) -> DataFrame:
     """Function spans with line count and complexity.
 
     The text comes back by a join on the file; both sides share the one shuffle of the texts.
     """
-    spread = typed_sources(files, options)
+    spread = typed_sources(files, options, keep)
     text = F.expr("substring(content, start + 1, stop - start)")
     return function_spans(spread).join(spread, list(_FILE)).select(
         *_FILE, "kind", "name", "pos", "line_no", "end_line",
@@ -287,7 +311,7 @@ def function_evidence(files: DataFrame, options: Options = Options()) -> DataFra
         F.when(complexity > MAX_COMPLEXITY, finding("complexity", complexity)),
     ))
     return (
-        measured_functions(files, options)
+        measured_functions(files, options, may_hold_finding())
         .where((n_lines > MAX_FUNCTION_LINES) | (complexity > MAX_COMPLEXITY))
         .select(*_FILE, "name", "kind", "pos", F.col("line_no").alias("line"), F.inline(items))
         .select(
@@ -307,7 +331,9 @@ def unused_evidence(files: DataFrame, options: Options = Options()) -> DataFrame
     Names inside `${...}` of a template count as uses. One aggregation per file and name; it runs
     on the partitioning of the texts.
     """
-    spread = typed_sources(files, options)
+    words = ("const", "let", "var")
+    declaring = any_of(*[F.contains("content", F.lit(w)) for w in words])
+    spread = typed_sources(files, options, declaring)
     tok = F.col("tok")
     holes = F.regexp_extract_all("tok", F.lit(r"\$\{([^}]*)\}"), 1)
     inside = F.flatten(F.transform(holes, lambda h: F.regexp_extract_all(h, F.lit(IDENT), 0)))
@@ -315,7 +341,7 @@ def unused_evidence(files: DataFrame, options: Options = Options()) -> DataFrame
         tok.rlike(r"^[A-Za-z_$]"), F.array(tok)
     )
     declares = (
-        (F.col("depth") == 0) & F.col("prev1").isin("const", "let", "var") & ~tok.startswith("`")
+        (F.col("depth") == 0) & F.col("prev1").isin(*words) & ~tok.startswith("`")
     )
     return (
         code_tokens(spread, whole=("`",))
@@ -333,7 +359,7 @@ def unused_evidence(files: DataFrame, options: Options = Options()) -> DataFrame
 
 def any_evidence(files: DataFrame, options: Options = Options()) -> DataFrame:
     """Uses of `any` in a type position, one finding per file at the first use."""
-    spread = typed_sources(files, options)
+    spread = typed_sources(files, options, F.contains("content", F.lit("any")))
     prev, following = F.col("prev1"), F.col("next1")
     typed = (
         prev.isin(":", "<", "|", "&", "as", "=>", "is", "keyof", "extends", "satisfies")
