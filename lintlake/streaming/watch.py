@@ -127,7 +127,12 @@ class Refresh:
         ).select("repo_id", "v.*")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        # A stream turns adaptive execution off in its session. The work below is plain batch work
+        # and wants it, for merged partitions and split hot keys; the stream gets its setting back.
         spark = batch.sparkSession
+        adaptive = "spark.sql.adaptive.enabled"
+        before = spark.conf.get(adaptive)
+        spark.conf.set(adaptive, "true")
         changed = latest_versions(batch).persist()
         try:
             self._write(changed, "versions", batch_id)
@@ -148,6 +153,7 @@ class Refresh:
             self._write(apply_fixes(changed, plan), "fixed", batch_id)
         finally:
             changed.unpersist()
+            spark.conf.set(adaptive, before)
 
 
 def stream_refresh(
