@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from lintlake.functions.text import ecma
-from lintlake.operators.issues import evidence, found
+from lintlake.operators.issues import entry_of, evidence, found
 from lintlake.operators.rules import FileRule, LineRule, first_line, lines_from
 
 
@@ -44,8 +44,6 @@ def _next_first() -> Column:
     use_img = (img > 0) & ((link == 0) | (img <= link))
     at = F.when(use_img, img).otherwise(link)
     text = F.get(F.col("lines"), at - 1)
-    from lintlake.operators.issues import entry_of
-
     entry = F.when(use_img, entry_of("next-img")).otherwise(entry_of("next-link"))
     return found(at > 0, evidence(entry, line=at, text=text, k1=at))
 

@@ -1,7 +1,6 @@
 """Rules on small files with known findings."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from lintlake.operators import frameworks
 from lintlake.operators.issues import render

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lintlake.functions.grades import (
     BAND_CUTS, GRADE_CUTS, grade_band, score_band, score_to_grade,
@@ -17,7 +17,7 @@ from lintlake.operators import (
 from lintlake.operators.catalogue import CATALOGUE, DESIGN_PATTERNS, INDEX, kinds_of
 from lintlake.operators.facts import repo_facts
 from lintlake.operators.issues import count_by_rule, min_severity, render, union_all
-from lintlake.operators.rules import Options, apply_file_rules, apply_first_per_file, apply_line_rules
+from lintlake.operators.rules import apply_file_rules, apply_first_per_file, apply_line_rules
 from lintlake.plans import auditing
 from lintlake.schema import AUDIT_WEIGHTS, BARE_WEIGHTS, CATEGORIES, PENALTIES, SEVERITY_RANK
 from lintlake.sources import files as src
@@ -986,11 +986,15 @@ over_issues(
     "SELECT id, description, TRUE AS fixable FROM issues WHERE automated AND line IS NOT NULL "
     "UNION ALL SELECT id, description, FALSE FROM issues WHERE NOT (coalesce(automated, FALSE) "
     "AND line IS NOT NULL)",
-    lambda i: (lambda parts: parts[0].select("id", "description", F.lit(True).alias("fixable"))
-               .unionByName(parts[1].select("id", "description", F.lit(False).alias("fixable"))))(
-        fixes.split_fixable(i)
-    ),
+    lambda i: _marked(*fixes.split_fixable(i)),
 )
+
+
+def _marked(fixable: DataFrame, other: DataFrame) -> DataFrame:
+    mark = lambda d, v: d.select("id", "description", F.lit(v).alias("fixable"))
+    return mark(fixable, True).unionByName(mark(other, False))
+
+
 query(
     "build_fix_plan",
     f"WITH {CHANGES_SQL} SELECT repo_id, path, line_no, original, replacement, rule FROM changes",
