@@ -328,8 +328,9 @@ def _links(texts, reps, shingle, percent, symbols, distance) -> DataFrame:
         "rep", "set_key", "sig", "grp", "parts",
         F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("block"),
     )
+    # Texts are shuffled at every size: no plan that changes with the number of candidates.
     full = keep(
-        texts.join(dealt.select(F.col("rep").alias("id")), "id")
+        texts.hint("merge").join(dealt.select(F.col("rep").alias("id")), "id")
         .select("id", "text").mapInArrow(_sets(shingle), "id long, set_key binary, hashes binary")
         .join(dealt.withColumnRenamed("rep", "id"), ["id", "set_key"])
         .select("grp", "block", F.col("id").alias("rep"), "sig", "hashes", "parts"),
