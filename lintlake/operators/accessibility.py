@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lintlake.functions.text import ecma
+from lintlake.functions.text import any_of, ecma
 from lintlake.operators.rules import LineRule, Options, SCOPES, lines_before, lines_from
 
 
@@ -19,11 +19,13 @@ def _level(line: Column) -> Column:
 
 
 def _skips_level(lines: Column, i: Column) -> Column:
-    level = _level(F.get(lines, i))
-    above = F.concat(F.lit("(?i)<h"), (level - 1).cast("string"), F.lit("(?![A-Za-z0-9_])"))
-    return (level > 2) & ~F.regexp_like(lines_before(lines, i, 20, "\n"), above)
+    level, before = _level(F.get(lines, i)), lines_before(lines, i, 20, "\n")
+    # One literal pattern for each level, so that each is compiled once.
+    missing = [(level == n) & ~before.rlike(rf"(?i)<h{n - 1}(?![A-Za-z0-9_])") for n in range(3, 7)]
+    return any_of(*missing)
 
 
+# Patterns and guards of the rules.
 LINE_RULES = (
     LineRule("img-alt", "markup", ecma(r"<img\b", True), ("<img",),
              unless=(ecma(r"\balt\s*=", True),), k2=0, fold=True),

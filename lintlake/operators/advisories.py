@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lintlake.functions.versions import version_key
+from lintlake.functions.versions import KEY_TYPE, package_name, range_keys, version_key
 from lintlake.operators.joins import lookup_join
 from lintlake.schema import FIX_TYPE, ISSUE_COLUMNS, ORD_TYPE
 
@@ -15,22 +15,28 @@ ADVISORY_SCHEMA = (
 
 
 def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Dependencies whose version lies in `[introduced, fixed)`; an empty bound is open.
+    """Dependencies of which a lowest allowed version lies in `[introduced, fixed)`; an empty bound
+    is open.
 
-    A range without a number (`*`, `latest`, a URL) matches no advisory with bounds.
+    A range without a number (`*`, `latest`, a URL) matches only advisories without bounds. An
+    `npm:` alias is looked up under the name of the package that it stands for.
     """
     ranged = advisories.select(
         "*",
         version_key(F.col("introduced")).alias("_from"),
         version_key(F.col("fixed")).alias("_to"),
     )
-    version = F.col("_version")
-    hit = (F.col("_from").isNull() | (version >= F.col("_from"))) & (
-        F.col("_to").isNull() | (version < F.col("_to"))
+    inside = lambda v: (F.col("_from").isNull() | (v >= F.col("_from"))) & (
+        F.col("_to").isNull() | (v < F.col("_to"))
     )
-    return lookup_join(
-        deps.withColumn("_version", version_key(F.col("range"))), ranged, "name", hit
-    ).drop("_from", "_to", "_version")
+    hit = (F.col("_from").isNull() & F.col("_to").isNull()) | F.exists("_versions", inside)
+    keyed = deps.select(
+        *[c for c in deps.columns if c != "name"],
+        package_name(F.col("name"), F.col("range")).alias("name"),
+        F.coalesce(range_keys(F.col("range")), F.array().cast(f"array<{KEY_TYPE}>"))
+        .alias("_versions"),
+    )
+    return lookup_join(keyed, ranged, "name", hit).drop("_from", "_to", "_versions")
 
 
 def advisory_join(deps: DataFrame, advisories: DataFrame) -> DataFrame:

@@ -150,12 +150,13 @@ def refactor_prompt(issues: DataFrame) -> DataFrame:
 
 
 def parse_insights(replies: DataFrame, raw: str = "raw") -> DataFrame:
-    """Model replies to columns. Text that is not JSON becomes the summary, cut at 500."""
+    """Model replies to columns, beside the whole reply. Text that is not JSON becomes the summary,
+    cut at 500; the reply itself stays in its column."""
     text = F.col(raw)
     is_json = F.try_parse_json(text).isNotNull()
     reply = F.from_json(text, REPLY_TYPE)
     return replies.withColumns({"_json": is_json, "_r": reply}).select(
-        *[c for c in replies.columns if c != raw],
+        *replies.columns,
         F.when(F.col("_json"), F.coalesce("_r.overallSummary", F.lit("No summary provided.")))
         .otherwise(F.left(text, F.lit(500))).alias("overall_summary"),
         F.coalesce("_r.priorityActions", F.array().cast("array<string>"))

@@ -23,10 +23,12 @@ from lintlake.sources.files import (
 
 @dataclass(frozen=True)
 class Options:
-    """What a scan may be told: extra ignore globs and whether dotfiles count."""
+    """What a scan may be told: extra ignore globs, whether dotfiles count, and how many untested
+    files of a repository are reported one by one (None: all). More of them lower its score."""
 
     ignore: tuple[str, ...] = ()
     include_dotfiles: bool = False
+    first_untested: int | None = 20
 
     def walk(self, exts: Sequence[str], tests: bool = True) -> Column:
         return walk_condition(exts, self.ignore, tests, include_dotfiles=self.include_dotfiles)

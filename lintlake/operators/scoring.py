@@ -178,6 +178,16 @@ def severity_rollup(issues: DataFrame) -> DataFrame:
     return issues.rollup("category", "severity").agg(F.count("*").alias("n"))
 
 
+def plugin_results(totals: DataFrame) -> DataFrame:
+    """Rows for the summary and the gate from the totals of plugin categories: their issues count,
+    their files and scores do not."""
+    return totals.where(F.col("category").startswith("plugin:")).select(
+        "repo_id", "category", F.lit(0).cast("bigint").alias("files_scanned"),
+        F.lit(None).cast("double").alias("score"),
+        "issues", "critical", "high", "medium", "low", "info", "fixable",
+    )
+
+
 def gate(results: DataFrame) -> DataFrame:
     """Failure flags: a full audit fails on any critical issue, one scanner on critical or high."""
     return results.groupBy("repo_id").agg(

@@ -11,7 +11,6 @@ from lintlake.operators.catalogue import CRITICAL_MODULES, TEST_BLOCK
 from lintlake.operators.issues import entry_of, evidence, found, union_all
 from lintlake.operators.rules import FileRule, Options, SCOPES
 
-FIRST_UNTESTED = 20  # fixed value: untested files reported one by one
 
 
 def candidate_paths(path: Column) -> Column:
@@ -90,17 +89,20 @@ def coverage(files: DataFrame, options: Options = Options()) -> DataFrame:
     )
 
 
-def untested_evidence(coverage_rows: DataFrame) -> DataFrame:
-    """Critical untested files, and the others among the first twenty untested in path order.
+def untested_evidence(
+    coverage_rows: DataFrame, limit: int | None = Options.first_untested
+) -> DataFrame:
+    """Critical untested files, and the others among the first `limit` untested in path order.
 
-    The limit is a ranked filter, so each map task keeps at most twenty rows per repository.
+    The limit is a ranked filter, so each map task keeps at most that many rows per repository;
+    None reports all of them.
     """
     open_files = coverage_rows.where(~F.col("tested"))
     first = (
         open_files.withColumn(
             "rn", F.row_number().over(Window.partitionBy("repo_id").orderBy("path"))
         )
-        .where(F.col("rn") <= FIRST_UNTESTED)
+        .where(F.lit(True) if limit is None else F.col("rn") <= limit)
         .where(~F.col("critical"))
     )
     name = candidate_paths(F.col("path"))[0].alias("name")
@@ -156,12 +158,19 @@ def testing_evidence(
 ) -> DataFrame:
     """Findings that need all files of a repository (`FILE_RULES` need one)."""
     return union_all([
-        untested_evidence(source_coverage(files, options)),
+        untested_evidence(source_coverage(files, options), options.first_untested),
         coverage_evidence(coverage(files, options)),
         no_tests_evidence(facts),
     ])
 
 
+def untested_critical(files: DataFrame, options: Options = Options()) -> DataFrame:
+    """The untested files of critical paths, one row each."""
+    return source_coverage(files, options).where(~F.col("tested") & F.col("critical")).select(
+        "repo_id", "path"
+    )
+
+
 def testing_metadata(
     files: DataFrame, facts: DataFrame, options: Options = Options()
 ) -> DataFrame:

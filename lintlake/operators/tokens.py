@@ -328,10 +328,16 @@ IDENT = r"[A-Za-z_$][A-Za-z0-9_$]*"
 def unused_evidence(files: DataFrame, options: Options = Options()) -> DataFrame:
     """Top-level variables whose name occurs once in the file.
 
-    Names inside `${...}` of a template count as uses. One aggregation per file and name; it runs
-    on the partitioning of the texts.
+    Every declarator of a statement counts, and every name that a destructuring pattern binds: names
+    after `{`, `[`, `,`, `:` or `...` in the brackets of the pattern, but for keys before a colon and
+    default values. Commas inside a type annotation declare nothing. Names inside `${...}` of a
+    template count as uses. One aggregation per file and name; it runs on the partitioning of the
+    texts.
     """
     words = ("const", "let", "var")
+    order = Window.partitionBy(*_FILE).orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     declaring = any_of(*[F.contains("content", F.lit(w)) for w in words])
     spread = typed_sources(files, options, declaring)
     tok = F.col("tok")
@@ -340,11 +346,35 @@ def unused_evidence(files: DataFrame, options: Options = Options()) -> DataFrame
     names = F.when(tok.startswith("`"), inside).when(
         tok.rlike(r"^[A-Za-z_$]"), F.array(tok)
     )
-    declares = (
-        (F.col("depth") == 0) & F.col("prev1").isin(*words) & ~tok.startswith("`")
+    top, prev = F.col("depth") == 0, F.col("prev1")
+    # What the last token of each kind was: a declaration or the start of something else; the
+    # separator, type mark or value of a declarator; an opened pattern.
+    inside = F.when(top & tok.isin(*words), "d").when(top & tok.isin(";", *STARTERS), "s")
+    phase = F.when(top & tok.isin(*words, "="), "v").when(
+        top & (tok == ":") & F.col("prev2").isin(*words, ","), "t"
     )
-    return (
+    marked = (
         code_tokens(spread, whole=("`",))
+        .withColumn("prev2", F.lag("tok", 2).over(order))
+        .withColumns({
+            "inside": F.last(inside, ignorenulls=True).over(upto),
+            "phase": F.last(phase, ignorenulls=True).over(before),
+        })
+    )
+    starts = prev.isin(*words) | (
+        (prev == ",") & (F.col("inside") == "d") & (F.col("phase") == "v")
+    )
+    opened = F.when(top, F.when(tok.isin("{", "[") & starts, "p").otherwise("x"))
+    marked = marked.withColumn("pattern", F.last(opened, ignorenulls=True).over(upto))
+    bound = (
+        (F.col("depth") > 0) & (F.col("pattern") == "p") & F.coalesce(F.col("next1") != ":", F.lit(True))
+        & (prev.isin("{", "[", ",", ":") | ((prev == ".") & (F.col("prev2") == ".")))
+    )
+    declares = F.coalesce(
+        ((top & starts & ~tok.isin(*words)) | bound) & tok.rlike(r"^[A-Za-z_$]"), F.lit(False)
+    )
+    return (
+        marked
         .select(*_FILE, "pos", "line_no", declares.alias("declares"), F.explode(names).alias("name"))
         .groupBy(*_FILE, "name")
         .agg(

@@ -16,15 +16,18 @@ from lintlake.operators.facts import repo_facts
 from lintlake.operators.graph import import_cycles
 from lintlake.operators.issues import render, union_all
 from lintlake.operators.plugins import run_plugins
-from lintlake.operators.rules import Options, apply_file_rules, apply_line_rules
+from lintlake.operators.rules import FileRule, Options, apply_file_rules, apply_line_rules
 from lintlake.operators.scoring import (
-    audit_summary, issue_totals, overall_score, scan_results, sub_scores,
+    audit_summary, gate, issue_totals, overall_score, plugin_results, resolve_weights, scan_results,
+    sub_scores,
 )
 from lintlake.operators.stack import detect_stack
 from lintlake.schema import AUDIT_WEIGHTS, CATEGORIES
 from lintlake.sources.files import extract_deps, parse_manifest
 from lintlake.sources.sinks import read_issues, write_issues, write_report_json
 
+REPORT_VERSION = "1"  # of the report rows of this library
+
 LINE_RULES = {
     "quality": quality.LINE_RULES,
     "security": security.LINE_RULES,
@@ -51,8 +54,10 @@ def text_evidence(
     categories: tuple[str, ...] = CATEGORIES,
     options: Options = Options(),
     packs: tuple[str, ...] = (),
+    more: tuple[FileRule, ...] = (),
 ) -> list[DataFrame]:
-    """Line rules of all chosen categories in one pass over the texts, file rules in another."""
+    """Line rules of all chosen categories in one pass over the texts, file rules, with those of
+    `more`, in another."""
     lines = [r for c in categories for r in LINE_RULES.get(c, ())]
     whole = [r for c in categories for r in FILE_RULES.get(c, ())]
     for pack in packs:
@@ -61,8 +66,8 @@ def text_evidence(
     frames = []
     if lines:
         frames.append(with_shift(apply_line_rules(files, lines, options)))
-    if whole:
-        frames.append(apply_file_rules(files, whole, options))
+    if whole or more:
+        frames.append(apply_file_rules(files, [*whole, *more], options))
     return frames
 
 
@@ -73,11 +78,10 @@ def file_issues(
     packs: tuple[str, ...] = (),
 ) -> DataFrame:
     """Issues that depend on one file only."""
-    frames = text_evidence(files, categories, options, packs)
+    more = tuple(testing.FILE_RULES) if "testing" in categories else ()
+    frames = text_evidence(files, categories, options, packs, more)
     if "quality" in categories:
         frames.append(tokens.typed_evidence(files, options))
-    if "testing" in categories:
-        frames.append(apply_file_rules(files, testing.FILE_RULES, options))
     return render(union_all(frames))
 
 
@@ -111,11 +115,12 @@ def collect_issues(
     advisories: DataFrame | None = None,
     plugins: bool = True,
 ) -> DataFrame:
-    """Issues of the chosen categories as one lazy frame."""
+    """Issues of the chosen categories as one lazy frame. Plugins run here, each on its own, so that
+    one that fails at run time takes only its own issues along."""
     parts = [
         file_issues(files, categories, options, packs),
         repo_issues(files, categories, options, advisories),
-        run_plugins(files) if plugins else None,
+        run_plugins(files, isolate=True) if plugins else None,
     ]
     return union_all([p for p in parts if p is not None])
 
@@ -164,7 +169,9 @@ class Audit:
     sub_scores: DataFrame
     scores: DataFrame
     summary: DataFrame
+    gate: DataFrame
     stack: DataFrame
+    weights: DataFrame
 
     def reports(self) -> DataFrame:
         """One nested row per repository. Issues stay in their own table, as a repository may
@@ -174,9 +181,21 @@ class Audit:
                 "category", "score", "files_scanned", "issues", "critical", "high"
             ))).alias("results")
         )
+        parts = self.sub_scores.join(self.weights, ["repo_id", "category"], "left").groupBy(
+            "repo_id"
+        ).agg(
+            F.map_from_entries(F.sort_array(F.collect_list(F.struct(
+                "category",
+                F.struct(
+                    "score", "grade", F.coalesce("weight", F.lit(0.0)).alias("weight"),
+                    "issue_count", "critical_count", "high_count",
+                ),
+            )))).alias("categories")
+        )  # one entry per category
         return (
             self.scores.withColumnRenamed("overall", "score")
-            .join(self.summary, "repo_id")
+            .join(parts, "repo_id")
+            .join(self.summary.withColumnRenamed("categories", "issue_counts"), "repo_id")
             .join(self.stack, "repo_id")
             .join(results, "repo_id")
             .select(
@@ -184,9 +203,13 @@ class Audit:
                 F.uuid().alias("id"),
                 F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
                 .alias("timestamp"),
-                F.struct("score", "grade").alias("score"),
+                F.lit(REPORT_VERSION).alias("version"),
+                F.struct("score", "grade", "categories").alias("score"),
                 F.struct(*[c for c in self.stack.columns if c != "repo_id"]).alias("stack"),
-                F.struct(*[c for c in self.summary.columns if c != "repo_id"]).alias("summary"),
+                F.struct(*[
+                    F.col("issue_counts").alias(c) if c == "categories" else F.col(c)
+                    for c in self.summary.columns if c != "repo_id"
+                ]).alias("summary"),
                 "results",
             )
         )
@@ -203,20 +226,26 @@ def score_audit(
     options: Options = Options(),
     weights: dict[str, float] | DataFrame = AUDIT_WEIGHTS,
 ) -> Audit:
-    """Scores of an issue table."""
+    """Scores of an issue table. Issues of plugins count in summary and gate, not in scores."""
     facts = repo_facts(files, options)
-    known = issues.where(F.col("category").isin(*categories))
-    results = scan_results(
-        facts, issue_totals(known), testing.coverage(files, options), categories
-    )
+    totals = issue_totals(issues)
+    results = scan_results(facts, totals, testing.coverage(files, options), categories)
+    counted = results.unionByName(plugin_results(totals))
+    if not isinstance(weights, DataFrame):
+        none = "repo_id string, category string, weight double"
+        by_repo = resolve_weights(files.sparkSession.createDataFrame([], none), facts, weights)
+    else:
+        by_repo = weights
     return Audit(
         issues=issues,
         facts=facts,
         results=results,
         sub_scores=sub_scores(results),
         scores=overall_score(results, weights),
-        summary=audit_summary(results),
+        summary=audit_summary(counted),
+        gate=gate(counted),
         stack=detect_stack(facts, parse_manifest(files)),
+        weights=by_repo,
     )
 
 

@@ -34,26 +34,35 @@ def read_files(
     location: str,
     fmt: str = "binaryFile",
     path_glob: str | None = None,
+    ignore_corrupt: bool = False,
 ) -> DataFrame:
     """Load files of many repositories as rows.
 
-    `binaryFile` expects `<location>/<repo_id>/<path...>`; each executor reads its own files.
-    Any other format must hold the columns of `FILES_SCHEMA`.
+    `binaryFile` expects `<location>/<repo_id>/<path...>`, a folder and no glob; each executor reads
+    its own files. Bytes that are no UTF-8 become U+FFFD. Every file is a row, because rules on
+    structure need its path; `path_glob` keeps large binaries from being loaded, and
+    `ignore_corrupt` leaves out files that cannot be read. Any other format must hold the columns of
+    `FILES_SCHEMA`.
     """
     if fmt != "binaryFile":
         return spark.read.format(fmt).schema(FILES_SCHEMA).load(location)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if any(c in location for c in "*?[]{}"):
+        raise ValueError(f"location must be a folder: {location}")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "ignoreCorruptFiles", ignore_corrupt
+    )
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
-    root = location.rstrip("/").split("://")[-1].split(":", 1)[-1]
-    tail = F.expr(
-        "url_decode(replace(substring_index(_metadata.file_path, "
-        f"'{root.replace(chr(39), chr(92) + chr(39))}/', -1), '+', '%2B'))"
-    )
+    # The full path of the root, of which only the place at the front is cut.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(location)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.makeQualified(folder).toUri().getPath().rstrip("/")
+    whole = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    tail = F.regexp_replace(whole, rf"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?\Q{root}\E/+", "")
     return reader.load(location).select(
         F.substring_index(tail, "/", 1).alias("repo_id"),
         F.regexp_replace(tail, r"^[^/]*/", "").alias("path"),
-        F.decode("content", "UTF-8").alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("modificationTime").alias("mtime"),
     )
 
@@ -184,14 +193,24 @@ def parse_manifest(files: DataFrame) -> DataFrame:
 
 
 def extract_deps(manifests: DataFrame) -> DataFrame:
-    """One row per dependency; on a name in both maps the development entry wins."""
+    """One row per dependency; on a name in both maps the development entry wins, and of a name that
+    one map repeats the last entry."""
     only = F.map_filter("deps", lambda k, v: ~F.map_contains_key("dev_deps", k))
     entry = lambda dev: lambda e: F.struct(
         e["key"].alias("name"), e["value"].alias("range"), F.lit(dev).alias("is_dev")
     )
+
+    def last(entries: Column) -> Column:
+        """Parsed JSON keeps repeated names; they are rare, so only then is each compared."""
+        names = F.transform(entries, lambda e: e["key"])
+        after = lambda i: F.slice(entries, i + 2, F.size(entries))
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), entries).otherwise(
+            F.filter(entries, lambda e, i: ~F.exists(after(i), lambda x: x["key"] == e["key"]))
+        )
+
     rows = F.concat(
-        F.transform(F.map_entries(only), entry(False)),
-        F.transform(F.map_entries("dev_deps"), entry(True)),
+        F.transform(last(F.map_entries(only)), entry(False)),
+        F.transform(last(F.map_entries("dev_deps")), entry(True)),
     )
     return manifests.select("repo_id", F.inline(rows))
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def write_issues(issues: DataFrame, location: str, mode: str = "overwrite") -> None:
-    """Issue table, one directory per category. No repartition: a writer task makes at most one
-    file per category, and a hot repository stays spread over its tasks."""
-    issues.write.mode(mode).partitionBy("category").parquet(location)
+    """Issue table, one directory per category. Rows are rebalanced by category first: adaptive
+    execution merges small categories into few files and splits large ones."""
+    issues.hint("rebalance", "category").write.mode(mode).partitionBy("category").parquet(location)
 
 
 def write_report_json(reports: DataFrame, location: str, mode: str = "overwrite") -> None:

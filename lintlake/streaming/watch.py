@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -28,17 +29,21 @@ def stream_files(
     return reader.load(location)
 
 
-def debounce(stream: DataFrame, settle: str = SETTLE, lateness: str = "10 seconds") -> DataFrame:
-    """Last version of each burst of changes to a file.
+def debounce(
+    stream: DataFrame, emit: Callable[[DataFrame, int], None], checkpoint: str, **trigger
+) -> StreamingQuery:
+    """Give `emit` the last version of every file that changed since the last trigger.
 
-    A burst ends after `settle` without a change; versions older than the watermark are dropped.
+    Changes settle by arrival, not by their own times: the trigger waits `SETTLE`, and what came in
+    meanwhile counts once. There is no watermark, so a repository that lags behind, a backfill or a
+    copy with old times loses nothing, and nothing is held back at the end. An old version may
+    follow a newer one in a later batch; `latest_versions` over both settles that by time.
     """
-    last = F.max_by("content", F.struct("mtime", F.coalesce("content", F.lit(""))))
     return (
-        stream.withWatermark("mtime", lateness)
-        .groupBy("repo_id", "path", F.session_window("mtime", settle).alias("burst"))
-        .agg(last.alias("content"), F.max("mtime").alias("mtime"))
-        .select("repo_id", "path", "content", "mtime")
+        stream.writeStream.foreachBatch(lambda batch, n: emit(latest_versions(batch), n))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": SETTLE}))
+        .start()
     )
 
 
@@ -59,9 +64,10 @@ def match_changed(issues: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def latest_versions(versions: DataFrame, *order: str) -> DataFrame:
-    """Newest row per file; one row per file and map task is shuffled."""
+    """Newest row per file; one row per file and map task is shuffled. Of versions with the same
+    time the greater text counts, so that a repeated batch gives the same rows."""
     rest = [c for c in versions.columns if c not in ("repo_id", "path")]
-    order = order or ("mtime",)
+    order = order or ("mtime", "content")
     newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("v")
     return versions.groupBy("repo_id", "path").agg(newest).select("repo_id", "path", "v.*")
 
@@ -160,9 +166,4 @@ def stream_refresh(
     stream: DataFrame, refresh: Refresh, checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Keep issues, scores and fixed versions up to date with a stream of file versions."""
-    return (
-        stream.writeStream.foreachBatch(refresh)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    return debounce(stream, refresh, checkpoint, **(trigger or {"availableNow": True}))

@@ -14,73 +14,45 @@ def found(issues, *columns):
     )
 
 
-COMPONENT = """import React from 'react';
-
-const leftover = 1;
-
-function wide(x: any): any {
-  return x;
+# One small text for each rule, with the findings that its definition gives: (rule, severity, line).
+CASES = {
+    "unused": ("let kept = 3, spare = 4;\nrun(kept);\nconst _quiet = 5;\n",
+               [("no-unused-vars", "low", 1)]),
+    "pattern": ("const { a, b: c, ...d } = load(), [e, f = 1] = a;\nlet g: Map<string, h> = e, i = g ? d : 2, j;\n",
+                [("no-unused-vars", "low", 1), ("no-unused-vars", "low", 1), ("no-unused-vars", "low", 2),
+                 ("no-unused-vars", "low", 2)]),
+    "any": ("export type Bag = Map<string, any>;\nexport let some: any;\n",
+            [("no-explicit-any", "low", 1), ("no-unused-vars", "low", 2)]),
+    "switch": ("export function pick(k) {\n  switch (k) {\n"
+               + "".join(f"    case {n}: go({n});\n" for n in range(11)) + "  }\n}\n",
+               [("complexity", "medium", 1)]),
+    "deep": ("export const f = [[{ a: { b: { c: { d: { e: 1 } } } } }]];\n",
+             [("max-depth", "medium", None), ("no-unused-vars", "low", 1)]),
+    "picture": ("export default () => <p><img src='b.svg' width='3' /></p>;\n",
+                [("img-alt", "high", 1)]),
+    "alert": ("debugger;\nconsole.log('x');\n", [("no-debugger", "medium", 1), ("no-console", "low", 2)]),
 }
 
-function branchy(p: number, q: number) {
-  if (p > 1) {
-    if (q > 1) {
-      if (p > 2) {
-        if (q > 2) {
-          for (let i = 0; i < p; i++) {
-            for (let j = 0; j < q; j++) {
-              console.log(i, j);
-            }
-          }
-        } else { return 1; }
-      } else if (p < 0) { return 2; } else { return 3; }
-    }
-  } else if (q < 0) { return 4; }
-  return 0;
-}
 
-const List = ({ rows }: { rows: string[] }) => (
-  <ul>{rows.map((row) => (
-    <li>{row}</li>
-  ))}</ul>
-);
-const Pic = () => <img src="/a.png" />;
-const Box = ({ go }: { go: () => void }) => (
-  <div onClick={go}>open</div>
-);
-const Load = () => {
-  useEffect(() => {
-    fetch('/api').then((r) => r.json());
-  }, []);
-  return null;
-};
-export { List, Pic, Box, Load, wide, branchy };
-"""
-
-
-def test_component_golden(make_files):
-    issues = file_issues(make_files({"view.tsx": COMPONENT}), packs=("react", "node"))
-    got = found(issues, "rule", "severity", "line")
-    assert got == sorted([
-        ("no-console", "low", 16), ("max-depth", "medium", None), ("complexity", "medium", 9),
-        ("no-unused-vars", "low", 3), ("no-explicit-any", "low", 5),
-        ("no-nested-loops", "medium", 14), ("react-hooks/exhaustive-deps", "medium", 36),
-        ("img-alt", "high", 31), ("interactive-element-semantics", "medium", 33),
-        ("react/key", "medium", 27),
-    ], key=lambda t: tuple(map(str, t)))
+@pytest.mark.parametrize("name", CASES)
+def test_small_texts(make_files, name):
+    text, want = CASES[name]
+    got = found(file_issues(make_files({f"{name}.tsx": text}), packs=("react", "node")),
+                "rule", "severity", "line")
+    assert got == sorted(want, key=lambda t: tuple(map(str, t)))
 
 
 def test_scores_and_gate_of_one_repo(make_files):
     from lintlake import audit
 
-    run = audit(make_files({"view.tsx": COMPONENT}))
+    run = audit(make_files({"alert.ts": CASES["alert"][0]}))
     rows = {r.category: r for r in run.sub_scores.collect()}
-    assert rows["quality"].score == 82  # 100 - 2 * (1 + 3 + 3 + 1 + 1) / 1
-    assert rows["accessibility"].score == 85 and rows["accessibility"].grade == "B"
-    assert rows["testing"].score == 0 and rows["architecture"].score == 98
-    overall = run.scores.collect()[0]
-    assert overall.overall == round(82 * .2 + 100 * .25 + 92 * .2 + 85 * .1 + 0 + 98 * .1)
-    assert run.stack.collect()[0].primary == "typescript"
+    assert rows["quality"].score == 92  # 100 - 2 * (3 + 1) / 1
+    assert rows["testing"].score == 0 and rows["accessibility"].score == 100
+    assert run.scores.count() == 1 and run.stack.collect()[0].primary == "typescript"
+    report = run.reports().collect()[0]
+    assert report.score.categories["quality"].grade == rows["quality"].grade
+    assert report.score.categories["quality"].weight == 0.2 and report.version == "1"
 
 
 @pytest.mark.parametrize(

@@ -73,7 +73,7 @@ def test_advisories_give_the_same_rows_broadcast_or_salted(spark, monkeypatch):
          ("p3", None, None, "low", None, None, None)], ADVISORY_SCHEMA,
     )
     small = match_advisories(deps, table).select("repo_id", "name").collect()
-    monkeypatch.setattr(joins.lookup_join, "__defaults__", (None, "inner", 1))
+    monkeypatch.setattr(joins.lookup_join, "__defaults__", (None, 1))
     salted = match_advisories(deps, table).select("repo_id", "name").collect()
     want = [(f"r{i}", "hot") for i in range(50, 250) if i % 3] + [("r3", "p3")]
     assert sorted(map(tuple, small)) == sorted(map(tuple, salted)) == sorted(want)
@@ -179,6 +179,7 @@ def test_replies(spark):
     rows = [(1, "x" * 600), (2, json.dumps({"overallSummary": "ok", "insights": []})), (3, "{}")]
     got = insights.parse_insights(spark.createDataFrame(rows, "k int, raw string")).collect()
     by = {r.k: r for r in got}
+    assert by[1].raw == "x" * 600
     assert by[1].overall_summary == "x" * 500 and by[1].estimated_fix_time == "Unknown"
     assert by[2].overall_summary == "ok" and by[3].overall_summary == "No summary provided."
 
@@ -234,13 +235,16 @@ def test_debounce_and_refresh(spark, tmp_path):
     def send(rows):
         spark.createDataFrame(rows, FILES_SCHEMA).coalesce(1).write.mode("append").parquet(source)
 
-    def settle(lateness="0 seconds"):
-        stream = debounce(stream_files(spark, source), lateness=lateness)
-        (stream.writeStream.format("parquet").option("path", str(tmp_path / "settled"))
-         .option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True)
-         .start().awaitTermination())
-        rows = spark.read.parquet(str(tmp_path / "settled")).collect()
-        return sorted((r.path, r.content) for r in rows)
+    batches = []
+
+    def settle():
+        batches.clear()
+        debounce(
+            stream_files(spark, source, max_files_per_trigger=1),
+            lambda rows, _: batches.append(sorted((r.repo_id, r.path, r.content) for r in rows.collect())),
+            str(tmp_path / "c1"), availableNow=True,
+        ).awaitTermination()
+        return batches
 
     refresh = Refresh(str(tmp_path / "state"))
 
@@ -251,7 +255,7 @@ def test_debounce_and_refresh(spark, tmp_path):
 
     send([("r", "a.ts", "debugger", at(0)), ("r", "a.ts", "debugger;", at(200)),
           ("r", "b.ts", "ok()", at(10_000))])
-    assert settle() == [("a.ts", "debugger;")]
+    assert settle() == [[("r", "a.ts", "debugger;"), ("r", "b.ts", "ok()")]]
     assert update() == [("a.ts", "no-debugger")]
     before = refresh.scores(spark).first().overall
     send([("r", "a.ts", "fine()", at(20_000)), ("r", "b.ts", "console.log(1)", at(20_000)),
@@ -260,3 +264,102 @@ def test_debounce_and_refresh(spark, tmp_path):
     assert refresh.scores(spark).first().overall >= before
     fixed = spark.read.parquet(str(tmp_path / "state/fixed")).where("path = 'b.ts'").first()
     assert fixed.content == "// console.log(1) // TODO: use a proper logger"
+
+
+def test_a_lagging_repository_loses_nothing(spark, tmp_path):
+    """Batches of one file each: times that lie far behind are kept, and so is the last burst."""
+    import datetime as dt
+
+    from lintlake.schema import FILES_SCHEMA
+    from lintlake.streaming import debounce, stream_files
+
+    start = dt.datetime(2024, 1, 1)
+    source, seen = str(tmp_path / "in"), []
+    for repo, seconds in (("a", 300), ("a", 600), ("b", 50), ("a", 900), ("b", 1), ("c", 0)):
+        row = (repo, "x.ts", f"{repo}{seconds}", start + dt.timedelta(seconds=seconds))
+        spark.createDataFrame([row], FILES_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    debounce(
+        stream_files(spark, source, max_files_per_trigger=1),
+        lambda rows, _: seen.extend(r.content for r in rows.collect()),
+        str(tmp_path / "state"), availableNow=True,
+    ).awaitTermination()
+    assert sorted(seen) == ["a300", "a600", "a900", "b1", "b50", "c0"]
+
+
+def test_versions_in_order(spark):
+    ordered = [
+        "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2",
+        "1.0.0-beta.10", "1", "1.0.0.1", "1.0.1", "1.2", "1.2.0.3", "1.10.0", "2.0.0-rc.1", "v2",
+        "20240101120000.1.0", "20240101120000.1.0.1",
+    ]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(ordered)], "k int, v string")
+    assert [r.k for r in rows.orderBy(version_key(F.col("v"))).collect()] == list(range(len(ordered)))
+    same = spark.createDataFrame([("1.2", "1.2.0.0"), ("^01.2", "1.2+build7")], "a string, b string")
+    assert same.where(version_key(F.col("a")) == version_key(F.col("b"))).count() == 2
+
+
+def test_ranges_match_by_each_alternative(spark):
+    deps = spark.createDataFrame(
+        [("r", "p", x, False) for x in (">=1.2 <2 || 3.x", "workspace:^1.5.0", "<2", ">= 0.5", "*")]
+        + [("r", "alias", "npm:p@1.2.3", False), ("r", "other", "npm:@s/q@1.2.3", False)],
+        "repo_id string, name string, range string, is_dev boolean",
+    )
+    table = spark.createDataFrame(
+        [("p", "1.2.0", "1.3.0", "high", "a", None, True), ("p", "3", "3.0.1", "high", "b", None, True),
+         ("p", None, "0.1", "low", "c", None, None), ("p", None, None, "low", "d", None, None),
+         ("@s/q", "1", "2", "low", "e", None, None)], ADVISORY_SCHEMA,
+    )
+    got = {(r.range, r.title) for r in match_advisories(deps, table).collect()}
+    want = {(">=1.2 <2 || 3.x", "a"), (">=1.2 <2 || 3.x", "b"), ("<2", "c"), ("npm:p@1.2.3", "a"),
+            ("npm:@s/q@1.2.3", "e")}
+    assert got == want | {(r.range, "d") for r in deps.where("name in ('p', 'alias')").collect()}
+
+
+def test_plugin_issues_count_in_summary_and_gate(make_files):
+    files = make_files({"a.ts": "fine()"})
+    plugins.register_scan("late", lambda f: f.select(
+        "repo_id", F.col("path").alias("file"), F.lit("critical").alias("severity"),
+        F.raise_error(F.lit("fails in its rows")).cast("string").alias("title")))
+    plugins.register_scan("good", lambda f: f.select(
+        "repo_id", F.col("path").alias("file"), F.lit("critical").alias("severity"),
+        F.lit("t").alias("title")))
+    try:
+        run = audit(files)
+        own = run.issues.where("category like 'plugin:%'").collect()
+        assert [r.category for r in own] == ["plugin:good"]
+        bare = run.results.agg(F.sum("issues"), F.sum("critical")).first()
+        summary = run.summary.first()
+        assert summary.total_issues == bare[0] + 1 and summary.critical_issues == bare[1] + 1
+        assert run.gate.first().audit_fails
+    finally:
+        for name in plugins.registered_scans():
+            plugins.unregister_scan(name)
+
+
+def test_malformed_bytes_and_a_root_that_recurs(spark, tmp_path):
+    from lintlake.sources import read_files
+
+    target = tmp_path / "src" / "r1" / "src" / "lib"
+    target.mkdir(parents=True)
+    (target / "a.ts").write_bytes(b"x\xff\xfey")
+    rows = read_files(spark, str(tmp_path / "src")).collect()
+    assert [(r.repo_id, r.path, r.content) for r in rows] == [("r1", "src/lib/a.ts", "x\ufffd\ufffdy")]
+    with pytest.raises(ValueError):
+        read_files(spark, str(tmp_path / "*"))
+
+
+def test_the_last_of_repeated_names_counts(make_files):
+    from lintlake.sources.files import extract_deps, parse_manifest
+
+    text = '{"dependencies": {"a": "1", "b": "3", "a": "2"}, "devDependencies": {"c": "1", "c": "2"}}'
+    rows = extract_deps(parse_manifest(make_files({"package.json": text}))).collect()
+    assert sorted((r.name, r.range) for r in rows) == [("a", "2"), ("b", "3"), ("c", "2")]
+
+
+def test_untested_files_without_a_limit(make_files):
+    from lintlake.operators.rules import Options
+    from lintlake.plans.auditing import run_scanner
+
+    files = make_files({f"a{k:02d}.ts": "x" for k in range(25)})
+    count = lambda o: run_scanner(files, "testing", options=o).where("severity = 'low'").count()
+    assert (count(Options()), count(Options(first_untested=None))) == (20, 25)

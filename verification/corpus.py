@@ -51,11 +51,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _written:
         folder = session_folder(spark, "files")
         derived = derive_files(spark, sf_dir)
-        # A small input may come as one split; a large one already has enough of them.
-        parallel = spark.sparkContext.defaultParallelism
-        if derived.rdd.getNumPartitions() < 2 * parallel:
-            derived = derived.repartition(2 * parallel)
-        derived.write.parquet(folder)
+        # Rows are spread anew at every size: a small input may come as one split.
+        derived.repartition("repo_id", "path").write.parquet(folder)
         _written[key] = folder
     return spark.read.schema("repo_id string, path string, content string").parquet(_written[key])
 

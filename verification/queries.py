@@ -17,9 +17,13 @@ from lintlake.operators import (
 from lintlake.operators.catalogue import CATALOGUE, DESIGN_PATTERNS, INDEX, kinds_of
 from lintlake.operators.facts import repo_facts
 from lintlake.operators.issues import count_by_rule, min_severity, render, union_all
-from lintlake.operators.rules import apply_file_rules, apply_first_per_file, apply_line_rules
+from lintlake.operators.rules import (
+    apply_file_rules, apply_first_per_file, apply_line_rules, apply_window_rules,
+)
 from lintlake.plans import auditing
-from lintlake.schema import AUDIT_WEIGHTS, BARE_WEIGHTS, CATEGORIES, PENALTIES, SEVERITY_RANK
+from lintlake.schema import (
+    AUDIT_WEIGHTS, BARE_WEIGHTS, CATEGORIES, FILES_SCHEMA, PENALTIES, SEVERITY_RANK,
+)
 from lintlake.sources import files as src
 from lintlake.sources.sinks import read_issues, write_issues, write_report_json
 from lintlake.streaming import watch
@@ -272,7 +276,7 @@ over_files(
 )
 over_files(
     "apply_window_rules", _counts_sql(_WINDOW_KEYS),
-    lambda f: _counted(apply_line_rules(f, [r for r in _LINE if r.near])),
+    lambda f: _counted(apply_window_rules(f, [r for r in _LINE if r.near])),
 )
 over_files(
     "apply_file_rules", _counts_sql(_ALL_FILE_KEYS),
@@ -353,29 +357,112 @@ def _plugins(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("repo_id", "category", "severity", "file", "line")
 
 
+@query(
+    "plugin_scores",
+    f"""WITH {LINES_SQL}, hits AS (SELECT repo_id, count(*) AS n FROM lines
+      WHERE regexp_matches(path, '\\.(ts|tsx|js|jsx)$') AND {VISIBLE}
+        AND NOT regexp_matches(path, '(^|/)(node_modules|dist)/') AND contains(line, 'password=')
+      GROUP BY 1)
+    SELECT repo_id, 'plugin:password' AS category,
+      greatest(CAST(0 AS DOUBLE), 100 - coalesce(n, 0) * CAST(2.5 AS DOUBLE)) AS score
+    FROM (SELECT DISTINCT repo_id FROM files) LEFT JOIN hits USING (repo_id)""",
+)
+def _plugin_scores(spark: SparkSession, sf: str) -> DataFrame:
+    from lintlake.operators.plugins import (
+        plugin_scores, register_scan, run_plugins, unregister_scan,
+    )
+
+    register_scan("password", lambda f: src.explode_lines(f)
+                  .where(F.col("line").contains("password="))
+                  .select("repo_id", F.col("path").alias("file"), F.col("line_no").alias("line"),
+                          F.lit("low").alias("severity"), F.lit("Password").alias("title")))
+    try:
+        f = files(spark, sf)
+        return plugin_scores(f, run_plugins(f), {"low": 2.5})
+    finally:
+        unregister_scan("password")
+
+
+over_files(
+    "cycle_members",
+    f"WITH {FILES_SQL}, filled AS MATERIALIZED (SELECT * FROM files WHERE content <> ''), "
+    f"{rs.CYCLES} SELECT repo_id, label, node, members FROM members",
+    lambda f: graph.strong_components(graph.resolve_imports(f)),
+)
+over_files(
+    "untested_critical",
+    f"WITH {FILES_SQL} SELECT repo_id, path FROM {rs.COVERED} WHERE tested = 0 AND critical",
+    testing.untested_critical,
+)
+
+
+@query(
+    "read_files",
+    """SELECT 'repo=r' || (doc_id % 20) AS repo_id, CAST(doc_id AS VARCHAR) AS file,
+      CASE WHEN doc_id % 7 = 0 THEN chr(65533) ELSE '' END || coalesce(text, '') || chr(10) AS content
+    FROM documents""",
+)
+def _read_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A file per document, a seventh of them with a malformed byte, below a root whose name comes
+    again in the paths."""
+    root = f"{session_folder(spark, 'walk')}/repo=r1"
+    bad = F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("")
+    table(spark, sf, "documents").select(
+        F.concat(bad, F.coalesce("text", F.lit(""))).alias("value"),
+        F.concat(F.lit("r"), (F.col("doc_id") % 20).cast("string")).alias("repo"),
+        F.col("doc_id").alias("file"),
+    ).write.partitionBy("repo", "file").text(root)
+    return src.read_files(spark, root, path_glob="*.txt").select(
+        "repo_id", F.regexp_extract("path", "^file=([0-9]+)/[^/]+$", 1).alias("file"), "content"
+    )
+
+
+
 # ---- security, testing, architecture tables -------------------------------------------------------
 
 def _version_sql(column: str) -> str:
+    """Parts of a version as structs that sort: marks below numbers, longer numbers above shorter."""
     bare = f"regexp_replace({column}, '^[\\s^~>=<v]+', '')"
     core = f"regexp_extract({bare}, '^([0-9]+(?:\\.[0-9]+)*)', 1)"
-    part = lambda i: (
-        f"coalesce(TRY_CAST(string_split({core}, '.')[{i}] AS INTEGER), 0)"
+    pre = f"regexp_extract({bare}, '^[0-9]+(?:\\.[0-9]+)*-([0-9A-Za-z.-]+)', 1)"
+    trimmed = f"regexp_replace({core}, '^0+(?:\\.0+)*$|(?:\\.0+)+$', '')"
+    part = lambda kind, size, text: f"{{'kind': {kind}, 'size': {size}, 'text': {text}}}"
+    digits = "ltrim(x, '0')"
+    fields = lambda text, body: (
+        f"list_transform(list_filter(string_split({text}, '.'), lambda x: x <> ''), lambda x: {body})"
     )
-    return (
-        f"CASE WHEN {core} <> '' THEN [{part(1)}, {part(2)}, {part(3)}, "
-        f"CASE WHEN regexp_matches({bare}, '^[0-9.]+-') THEN 0 ELSE 1 END] END"
+    number = lambda kind: part(kind, f"CAST(length({digits}) AS INTEGER)", digits)
+    field = (
+        f"CASE WHEN regexp_matches(x, '^[0-9]+$') THEN {number(3)} ELSE {part(4, 0, 'x')} END"
     )
-
-
-_ADVISORY_CTES = f"""{ADVISORIES_SQL},
-keyed AS (SELECT *, {_version_sql('range')} AS v FROM {rs.DEPS}),
+    end = (
+        f"CASE WHEN {pre} <> '' THEN list_concat([{part(0, 0, repr(''))}], {fields(pre, field)}) "
+        f"ELSE [{part(1, 0, repr(''))}] END"
+    )
+    return f"CASE WHEN {core} <> '' THEN list_concat({fields(trimmed, number(2))}, {end}) END"
+
+
+_ADVISORY_CTES = rf"""{ADVISORIES_SQL},
+sides AS (
+  SELECT repo_id, CASE WHEN starts_with(trim(range), 'npm:')
+      THEN regexp_extract(range, '^\s*npm:(@?[^@]+)', 1) ELSE name END AS name, range, is_dev,
+    regexp_replace(trim(unnest(string_split(regexp_replace(range,
+      '^\s*(?:workspace:|npm:@?[^@]*@)', ''), '||'))), '([<>=^~]+)\s+', '\1', 'g') AS side
+  FROM {rs.DEPS}),
+lowest AS (
+  SELECT *, CASE WHEN starts_with(side, '<') AND len(c) = 0 THEN '0' ELSE c[1] END AS low
+  FROM (SELECT *, list_filter(string_split_regex(side, '\s+'), lambda x: NOT starts_with(x, '<')) AS c
+        FROM sides)),
+keyed AS (SELECT repo_id, name, range, is_dev, list({_version_sql('low')}) AS vs
+  FROM lowest GROUP BY ALL),
 ranged AS (SELECT *, {_version_sql('introduced')} AS lo, {_version_sql('fixed')} AS hi FROM advisories),
 matched AS (
   SELECT k.repo_id, k.name, k.range, k.is_dev, r.title, r.url, r.fix_available,
     CASE r.severity WHEN 'moderate' THEN 'medium' WHEN 'odd' THEN 'medium' ELSE r.severity END
       AS severity
   FROM keyed k JOIN ranged r ON r.name = k.name
-  WHERE (lo IS NULL OR v >= lo) AND (hi IS NULL OR v < hi)
+  WHERE (lo IS NULL AND hi IS NULL) OR len(list_filter(vs, lambda v: v IS NOT NULL
+    AND (lo IS NULL OR v >= lo) AND (hi IS NULL OR v < hi))) > 0
 )"""
 ADVISORY_SQL = f"{FILES_SQL}, {_ADVISORY_CTES}"
 
@@ -426,9 +513,13 @@ def _secrets(spark: SparkSession, sf: str) -> DataFrame:
 over_files(
     "version_key",
     f"""WITH {FILES_SQL} SELECT repo_id, name, range,
-      array_to_string({_version_sql('range')}, '.') AS version FROM {rs.DEPS}""",
+      array_to_string(list_transform({_version_sql('range')}, lambda k:
+        k.kind || ':' || k.size || ':' || k.text), ' ') AS version FROM {rs.DEPS}""",
     lambda f: src.extract_deps(src.parse_manifest(f)).select(
-        "repo_id", "name", "range", F.array_join(version_key(F.col("range")), ".").alias("version")
+        "repo_id", "name", "range",
+        F.array_join(F.transform(
+            version_key(F.col("range")), lambda k: F.concat_ws(":", k["kind"], k["size"], k["text"])
+        ), " ").alias("version"),
     ),
 )
 over_files(
@@ -684,11 +775,11 @@ for _category in CATEGORIES:
             files(spark, sf), c, advisories=advisories(spark)
         ).groupBy("repo_id", "rule", "severity").agg(F.count("*").alias("n"))
     )
-over_issues(
+query(
     "run_scanner",
-    f"SELECT {', '.join(ISSUE_COLUMNS)} FROM issues WHERE category = 'accessibility'",
-    lambda i: flat(i.where("category = 'accessibility'")),
-)
+    f"WITH {FULL_SQL} SELECT {', '.join(ISSUE_COLUMNS)} FROM issues "
+    "WHERE category = 'accessibility'",
+)(lambda spark, sf: flat(auditing.run_scanner(files(spark, sf), "accessibility")))
 over_issues("issues", f"SELECT {', '.join(ISSUE_COLUMNS)} FROM issues", flat)
 over_results(
     "category_score", "SELECT repo_id, category, files_scanned, score FROM results",
@@ -1034,12 +1125,14 @@ query(
 
 @query(
     "match_changed",
-    f"""WITH {CHANGES_SQL} SELECT id, description FROM issues
-    WHERE (repo_id, file) IN (SELECT (repo_id, path) FROM changes)""",
+    f"""WITH {TEXT_SQL} SELECT id, description FROM issues JOIN (SELECT repo_id, path AS file
+      FROM files WHERE strlen(content) % 3 = 0) USING (repo_id, file)""",
 )
 def _match_changed(spark: SparkSession, sf: str) -> DataFrame:
-    changed = _changes(spark, sf).select("repo_id", "path").distinct()
-    return watch.match_changed(issue_table(spark, sf), changed).select("id", "description")
+    """Issues of the files that a later version has changed."""
+    f = files(spark, sf)
+    changed = f.where(F.octet_length("content") % 3 == 0).select("repo_id", "path")
+    return watch.match_changed(text_issues(f), changed).select("id", "description")
 
 
 def _versions(spark: SparkSession, sf: str) -> str:
@@ -1073,13 +1166,18 @@ def _stream_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "debounce",
-    f"""WITH {FILES_SQL} SELECT repo_id, path, content FROM files
-    WHERE coalesce(strlen(content), 0) < (SELECT max(strlen(content)) FROM files)""",
+    f"WITH {FILES_SQL} SELECT repo_id, path, content FROM files",
 )
 def _debounce(spark: SparkSession, sf: str) -> DataFrame:
-    """All input is one batch, so exactly the bursts before the latest change are closed."""
-    stream = watch.debounce(watch.stream_files(spark, _versions(spark, sf)), lateness="0 seconds")
-    return _run_stream(stream.select("repo_id", "path", "content"), spark)
+    """Every file once, with its later version, in however many batches."""
+    target = session_folder(spark, "settled")
+    watch.debounce(
+        watch.stream_files(spark, _versions(spark, sf)),
+        lambda batch, n: batch.write.mode("overwrite").parquet(f"{target}/batch={n}"),
+        session_folder(spark, "state"), availableNow=True,
+    ).awaitTermination()
+    settled = spark.read.schema(FILES_SCHEMA).parquet(target)
+    return watch.latest_versions(settled.drop("batch")).select("repo_id", "path", "content")
 
 
 @query("stream_issues", f"WITH {TEXT_SQL} SELECT id, severity, description FROM issues")

@@ -398,13 +398,30 @@ measured AS MATERIALIZED (
 _K1 = "pos + CASE kind WHEN 'arrow' THEN 1073741824 ELSE 0 END"
 _TYPE_USE = """tok = 'any' AND (prev1 IN (':', '<', '|', '&', 'as', '=>', 'is', 'keyof', 'extends',
   'satisfies') OR (prev1 = ',' AND next1 = '>') OR (prev1 = '=' AND next1 IN (';', '[', '|')))"""
-_NAMES = """(SELECT repo_id, path, pos, line_no, tok AS name,
-    depth = 0 AND prev1 IN ('const', 'let', 'var') AS declares
-  FROM code_tokens WHERE regexp_matches(tok, '^[A-Za-z_$]')
+_STARTS = """(prev1 IN ('const', 'let', 'var') OR (prev1 = ',' AND inside = 'd' AND phase = 'v'))"""
+_NAMES = f"""(SELECT repo_id, path, pos, line_no, tok AS name, coalesce(
+    (depth = 0 AND {_STARTS} AND tok NOT IN ('const', 'let', 'var'))
+    OR (depth > 0 AND pattern = 'p' AND coalesce(next1 <> ':', TRUE)
+        AND (prev1 IN ('{{', '[', ',', ':') OR (prev1 = '.' AND prev2 = '.'))), FALSE) AS declares
+  FROM (
+    SELECT *, last_value(CASE WHEN depth = 0 THEN CASE WHEN tok IN ('{{', '[') AND {_STARTS}
+        THEN 'p' ELSE 'x' END END IGNORE NULLS) OVER (PARTITION BY repo_id, path ORDER BY pos) AS pattern
+    FROM (
+      SELECT *, last_value(CASE WHEN depth > 0 THEN NULL WHEN tok IN ('const', 'let', 'var') THEN 'd'
+            WHEN tok = ';' OR tok IN ('function', 'export', 'import', 'class', 'if', 'for', 'while',
+              'return', 'type', 'interface', 'switch', 'throw', 'try') THEN 's' END IGNORE NULLS)
+          OVER (PARTITION BY repo_id, path ORDER BY pos) AS inside,
+        last_value(CASE WHEN depth > 0 THEN NULL WHEN tok IN ('const', 'let', 'var', '=') THEN 'v'
+            WHEN tok = ':' AND prev2 IN ('const', 'let', 'var', ',') THEN 't' END IGNORE NULLS)
+          OVER (PARTITION BY repo_id, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+          AS phase
+      FROM (SELECT *, lag(tok, 2) OVER (PARTITION BY repo_id, path ORDER BY pos) AS prev2
+            FROM code_tokens)))
+  WHERE regexp_matches(tok, '^[A-Za-z_$]')
   UNION ALL
   SELECT repo_id, path, pos, line_no, unnest(regexp_extract_all(hole, '[A-Za-z_$][A-Za-z0-9_$]*')),
     FALSE
-  FROM (SELECT *, unnest(regexp_extract_all(tok, '\\$\\{([^}]*)\\}', 1)) AS hole
+  FROM (SELECT *, unnest(regexp_extract_all(tok, '\\$\\{{([^}}]*)\\}}', 1)) AS hole
         FROM code_tokens WHERE starts_with(tok, '`')))"""
 
 TOKEN_RULES: dict[str, str] = {

@@ -183,6 +183,9 @@ ROOT_FILES: tuple[tuple[str, int, int, str | None], ...] = (
     ("package.json", 5, 2, '{"dependencies": {"vue": "latest", "moment-timezone": "0.5.0"}, '
      '"devDependencies": {"vite": "2.0.0", "@playwright/test": "1", "turbo": "1.2.10"}}'),
     ("package.json", 5, 3, '{"dependencies": {broken'),
+    ("package.json", 5, 4, '{"dependencies": {"lodash": ">=4.17.0 <4.17.20 || 5.x", "rxjs": "<6", '
+     '"moment": "workspace:^2.29.1.7", "old-jquery": "npm:jquery@3.4.0", "turbo": "20240101120000.1"}, '
+     '"devDependencies": {"vue": "3.0.0-beta.10", "mocha": ">= 1.2 <2", "vite": "npm:@s/vite@2.0.0-rc.2"}}'),
     ("README.md", 3, 0, "# readme\n"),
     (".env", 2, 0, "PASSWORD='abc123456'\n"),
     (".env.example", 4, 0, "PASSWORD=\n"),
@@ -216,4 +219,9 @@ ADVISORIES = (
     ("rxjs", None, "7.0.0", "odd", "Only pre-releases", None, True),
     ("turbo", None, "1.2.9", "high", "Numbers, not text", None, True),
     ("vue", None, None, "info", "Any version", None, False),
+    ("vue", "3.0.0-beta.9", "3.0.0", "low", "Before the release", None, True),
+    ("moment", "2.29.1.3", "2.29.1.10", "high", "Four parts", None, True),
+    ("turbo", "20240101120000", "20240101120000.2", "low", "Dates", None, True),
+    ("@s/vite", "2.0.0-rc.1", "2.0.0", "low", "Alias", None, True),
+    ("lodash", "5", "5.0.1", "low", "The other side", None, True),
 )
