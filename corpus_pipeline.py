@@ -9,28 +9,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lintlake.llm import (
-    decontamination, line_dedup, near_dedup, source_mixing, toxicity,
-)
+from lintlake.llm import decontamination, line_dedup, near_dedup, source_mixing, toxicity
 from lintlake.llm._store import keep, table
 
 TOXIC_SCORE = 0.3
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC_SCORE. Rows without id are scored too."""
     sample = toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"))
-    return toxicity.drop_toxic(docs, sample, TOXIC_SCORE).select(*COLUMNS)
+    return toxicity.drop_toxic(docs, sample, TOXIC_SCORE)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of lines that an earlier document has."""
-    cut = line_dedup.line_dedup(docs.select(*COLUMNS))
-    changed = F.col("n_removed") > 0
-    return cut.withColumn(
-        "n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(*COLUMNS)
+    cut = line_dedup.line_dedup(docs)
+    if "n_chars" in docs.columns:
+        size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        cut = cut.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,22 +35,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     id stay, as they are in no group, and of repeated rows all stay."""
     found = near_dedup.near_duplicates(docs, shingle=5, percent=80, symbols=48)
     gone = found.where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    gone = found.select("doc_id").distinct()
+    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its size, taken words and training positions, in training order;
     what the mix does not take comes last."""
     mixed = source_mixing.mix_sources(docs, keep_columns=True)
-    return mixed.select(*COLUMNS, "size", "target", "taken", "position", "again").orderBy(
-        F.asc_nulls_last("position"), "doc_id"
-    )
+    return mixed.orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
 STAGES = [

@@ -1,11 +1,12 @@
 """Documents that hold benchmark items, also with other numbers, names or units.
 
 Words become template tokens: numbers, names (capitalised words) and units are typed placeholders,
-all else the word in lower case without the punctuation around it. Windows of WINDOW template tokens
-with at least LITERALS literal ones are joined by hash with those of the items. Windows of a document
-and an item that lie on one diagonal are one alignment; it counts as a find if it covers COVERAGE of
-the item's windows and its slots are consistent: every value of the item stands for one value of the
-document, as it does in a copy and in a question with new parameters.
+all else the word in lower case without the punctuation around it. Windows of WINDOW template
+tokens, or of the words themselves where fewer than LITERALS tokens are literal, are joined by hash
+with those of the items. Windows of a document and an item that lie on one diagonal are one
+alignment; it counts as a find if it covers COVERAGE of the item's windows and its slots are
+consistent: every value of the item stands for one value of the document, as it does in a copy and
+in a question with new parameters.
 
 Items are sent to the tasks in parts of at most PART_WINDOWS windows; each part is one more scan of
 the documents, so a benchmark of any size is compared in full. No text is shuffled.
@@ -46,11 +47,11 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _unit_hashes = np.sort(_hash_words(UNITS))
 
 
-def template(c: _text.Chunk) -> np.ndarray:
-    """Template token of every word: a placeholder, or the hash of the plain word."""
+def template(c: _text.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Template token of every word, a placeholder or the hash of the plain word, and all hashes."""
     buf, starts, ends = c.buf, c.starts.copy(), c.ends.copy()
     if not len(starts):
-        return np.zeros(0, _U)
+        return np.zeros(0, _U), np.zeros(0, _U)
     for _ in range(4):  # punctuation around a word; a word of it alone keeps its last sign
         starts += _PUNCT[buf[starts]] & (starts < ends - 1)
         ends -= _PUNCT[buf[ends - 1]] & (starts < ends - 1)
@@ -60,19 +61,21 @@ def template(c: _text.Chunk) -> np.ndarray:
     # A-Z, and the capitals of Latin-1 in UTF-8
     capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (after >= 0x80) & (after <= 0x9E))
     plain = _text.Chunk(c.row, _text.lower_ascii(buf), starts, ends, c.first)
-    tokens = plain.word_hashes()
+    words = plain.word_hashes()
+    tokens = words.copy()
     tokens[np.isin(tokens, _unit_hashes)] = UNIT
     tokens[capital] = NAME
     tokens[digits[ends] > digits[starts]] = NUMBER
-    return tokens
+    return tokens, words
 
 
-def _windows(tokens: np.ndarray, first: np.ndarray):
-    """(hash, start, row) of the windows with enough literal tokens."""
+def _windows(tokens: np.ndarray, words: np.ndarray, first: np.ndarray):
+    """(hash, start, row) of all windows. Where too few tokens are literal, a template would match
+    anything of its shape; there the words themselves count."""
     h, start, row = _text.windows(tokens, first, WINDOW)
+    exact, _, _ = _text.windows(words, first, WINDOW, seed=11)
     literal = np.concatenate(([0], np.cumsum(tokens > UNIT)))
-    good = literal[start + WINDOW] - literal[start] >= LITERALS
-    return h[good], start[good], row[good]
+    return np.where(literal[start + WINDOW] - literal[start] >= LITERALS, h, exact), start, row
 
 
 class Items:
@@ -84,8 +87,8 @@ class Items:
         self.tokens: list[np.ndarray] = []
         self.words: list[list[bytes]] = []
         for c in _text.chunks(pa.array([t for _, t in items], pa.large_string())):
-            tokens = template(c)
-            h, start, row = _windows(tokens, c.first)
+            tokens, words = template(c)
+            h, start, row = _windows(tokens, words, c.first)
             hashes.append(h)
             where.append(row + c.row)
             at.append(start - c.first[:-1][row])
@@ -139,8 +142,8 @@ def _find(items: Items):
             ids = batch.column(0)
             rows = []
             for c in _text.chunks(batch.column(1)):
-                tokens = template(c)
-                h, start, row = _windows(tokens, c.first)
+                tokens, words = template(c)
+                h, start, row = _windows(tokens, words, c.first)
                 at = np.minimum(np.searchsorted(items.hashes, h), max(len(items.hashes) - 1, 0))
                 hit = np.flatnonzero(items.hashes[at] == h) if len(items.hashes) else []
                 by_row = defaultdict(list)
@@ -166,8 +169,8 @@ def find_contamination(
     """(id, item_id, matched windows, coverage, consistency, first_word, end_word): one row for each
     document and item in it, by its best place.
 
-    Null texts have no words. Items of fewer than WINDOW words, or without a window of LITERALS
-    literal words, cannot be told from chance and are not looked for; items without id neither. Of
+    Null texts have no words. Items of fewer than WINDOW words cannot be told from chance and are
+    not looked for; items without id neither. Of
     items that repeat an id each is looked for. Documents without id take no part; repeated
     documents give repeated rows. Other columns are ignored; an empty table or benchmark gives an empty one.
     """

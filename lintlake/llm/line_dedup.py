@@ -115,22 +115,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = lambda lines, cuts: F.filter(
         lines, lambda _, i: ~F.exists(cuts, lambda c: (i >= c["at"]) & (i < c["at"] + c["n"]))
     )
-    result = _let(F.split(F.col(text_col), "\n", -1), lambda lines: _let(own(lines), lambda c: F.struct(
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    text = F.col("row").getField(text_col)
+    result = _let(F.split(text, "\n", -1), lambda lines: _let(own(lines), lambda c: F.struct(
         F.array_join(kept(lines, c), "\n").alias("text"),
         F.aggregate(c, F.lit(0), lambda n, x: n + x["n"]).alias("n"),
     )))
-    cut = docs.hint("merge").join(
-        cuts.withColumnRenamed("id", "_id"), F.col(id_col).cast("long") == F.col("_id"), "left"
-    ).withColumn("_cut", F.when(F.col("_cuts").isNotNull() & F.col(text_col).isNotNull(), result))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(
-        F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1
+    cut = docs.select(row).hint("merge").join(
+        cuts, F.col("row").getField(id_col).cast("long") == F.col("id"), "left"
+    ).select("row", F.when(F.col("_cuts").isNotNull() & text.isNotNull(), result).alias("cut"))
+    n_lines = F.when(text.isNull(), 0).otherwise(
+        F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     )
-    plain = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return cut.withColumns({
+    added = {
         "n_lines": n_lines.cast("long"),
-        "n_removed": F.coalesce("_cut.n", F.lit(0)).cast("long"),
-        text_col: F.coalesce("_cut.text", text_col),
-    }).select(*plain, "n_lines", "n_removed")
+        "n_removed": F.coalesce("cut.n", F.lit(0)).cast("long"),
+    }
+    plain = [
+        F.coalesce("cut.text", text).alias(c) if c == text_col else F.col("row").getField(c).alias(c)
+        for c in docs.columns if c not in added
+    ]
+    return cut.select(*plain, *(c.alias(name) for name, c in added.items()))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

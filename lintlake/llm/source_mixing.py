@@ -96,7 +96,7 @@ def mix_sources(
     sized = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
-        *([F.struct(*docs.columns).alias("row")] if keep_columns else []),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep_columns else []),
     )
     digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
     sized = sized.withColumn("digest", digest).withColumn(
@@ -137,7 +137,7 @@ def mix_sources(
     }
     front = [F.col("id").alias(id_col)]
     if keep_columns:
-        front = [F.col("row")[c].alias(c) for c in docs.columns if c not in added]
+        front = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in added]
     return placed.select(*front, *(c.alias(name) for name, c in added.items()))
 
 
