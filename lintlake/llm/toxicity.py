@@ -21,9 +21,9 @@ from lintlake.llm._store import table
 
 WINDOW = 16  # words
 LEVEL = 9
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2000, 5000, 16_000
-TOXIC_SHARE = 0.75  # of the sample, builds dictionaries; the rest calibrates
-MIN_CONTEXTS = 4  # different neighbourhoods in which a toxic segment was seen
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 3000, 16_000
+FOLDS = 2  # of the sample, for calibration on texts that a dictionary has not seen
+MIN_CONTEXTS, MIN_SHARE = 4, 0.008  # neighbourhoods of a toxic segment, at least and by toxic text
 MIN_RATIO = 20.0  # of its rate in toxic to that in ordinary text
 SHARED_WORDS, OWN_BYTES = 2500, 16_384
 CUTS = range(1, 8)  # bytes saved by the toxic dictionary
@@ -92,7 +92,8 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     good, good_names, n_good = _contexts(ordinary)
     common = sorted(good, key=lambda w: (good[w], good_names[w]))
     ratio = MIN_RATIO * max(n_bad, 1) / max(n_good, 1)
-    own = [w for w in bad if bad[w] >= MIN_CONTEXTS and bad[w] >= ratio * (good.get(w, 0) + 0.5)]
+    least = max(MIN_CONTEXTS, MIN_SHARE * len(toxic))
+    own = [w for w in bad if bad[w] >= least and bad[w] >= ratio * (good.get(w, 0) + 0.5)]
     own.sort(key=lambda w: (bad[w], names[w]))
     pack = lambda words: b" " + b"  ".join(words) + b" "
     shared = pack([good_names[w] for w in common[-SHARED_WORDS:]])
@@ -115,18 +116,24 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def fit(sample: list[tuple[str, int]]) -> dict | None:
-    """Model from labelled texts, in order of choice; None if either label is missing."""
+    """Model from labelled texts, in order of choice; None if either label is missing.
+
+    Each of FOLDS parts is measured with dictionaries of the other parts, so the calibration sees
+    texts as they will come; the dictionaries that stay are those of the whole sample.
+    """
     sides = [[t for t, y in sample if y == label] for label in (1, 0)]
     if not all(sides):
         return None
-    cut = [max(1, int(len(s) * TOXIC_SHARE)) for s in sides]
-    ordinary, toxic = _dictionaries(sides[0][:cut[0]], sides[1][:cut[1]])
-    pair = _Compressors(ordinary, toxic)
-    # With a single text of a label there is nothing unseen to calibrate on.
-    rest = [s[c:] or s for s, c in zip(sides, cut)]
-    x = np.array([_features(pair.saved(t.encode().split())) for s in rest for t in s])
-    y = np.array([1.0] * len(rest[0]) + [0.0] * len(rest[1]))
-    mean, scale, weights = _logistic(x, y)
+    x, y = [], []
+    for fold in range(FOLDS):
+        rest = [[t for k, t in enumerate(s) if k % FOLDS != fold] or s for s in sides]
+        pair = _Compressors(*_dictionaries(*rest))
+        for label, side in zip((1.0, 0.0), sides):
+            for text in side[fold::FOLDS]:
+                x.append(_features(pair.saved(text.encode().split())))
+                y.append(label)
+    mean, scale, weights = _logistic(np.array(x), np.array(y))
+    ordinary, toxic = _dictionaries(*sides)
     return {"ordinary": ordinary, "toxic": toxic, "mean": mean, "scale": scale, "weights": weights}
 
 
