@@ -50,6 +50,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge and no root has any: then nothing is left to move."""
+    ends = F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")),
+    )).alias("e")
+    nodes = edges.select(ends).select("e.*").groupBy("node").agg(
+        F.sum("up").alias("up"), F.max("root").alias("root")
+    )
+    return nodes.where("up > 1 or up = 1 and root = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge other than the root itself; the root is the
     smallest node of the component. `edges` has two long columns, in any order and repeated at will.
@@ -60,20 +72,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     stars = edges.where(F.col(a) != F.col(b)).mapInArrow(_contract, "u long, v long").distinct()
-    state, seen = keep(stars, "edges"), None
+    state = keep(stars, "edges")
     for _ in range(MAX_ROUNDS):
-        mark = state.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
-        ).first()
-        if mark["n"] == 0 or mark == seen:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        # Every node has one edge, and no root has one: nothing is left to move.
-        roots = state.select(F.col("v").alias("u")).distinct()
-        loose = state.groupBy("u").count().where("count > 1").select("u").unionByName(
-            state.join(roots, "u", "left_semi").select("u")
-        )
-        if loose.isEmpty():
+        if _settled(state):
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = mark
-        state = keep(_small_star(_large_star(state).distinct()).distinct(), "edges")
+        state = keep(_small_star(_large_star(state)).distinct(), "edges")
     raise RuntimeError("components did not settle")
