@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # What `\s` covers in ECMAScript beyond Java's six ASCII characters.
@@ -79,6 +81,11 @@ def redact(line: Column) -> Column:
     return F.regexp_replace(line, r"""['"][A-Za-z0-9+/=_\-]{10,}['"]""", '"[REDACTED]"')
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, also where `body` uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def any_of(*conditions: Column) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

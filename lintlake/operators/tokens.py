@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lintlake.functions.text import any_of, ecma
+from lintlake.functions.text import any_of, ecma, let
 from lintlake.operators.catalogue import COMPLEXITY
 from lintlake.operators.issues import entry_of, union_all
 from lintlake.operators.rules import Options
@@ -388,20 +388,45 @@ def unused_evidence(files: DataFrame, options: Options = Options()) -> DataFrame
 
 
 def any_evidence(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """Uses of `any` in a type position, one finding per file at the first use."""
-    spread = typed_sources(files, options, F.contains("content", F.lit("any")))
-    prev, following = F.col("prev1"), F.col("next1")
-    typed = (
-        prev.isin(":", "<", "|", "&", "as", "=>", "is", "keyof", "extends", "satisfies")
-        | ((prev == ",") & (following == ">"))
-        | ((prev == "=") & following.isin(";", "[", "|"))
+    """Uses of `any` in a type position, one finding per file at the first use.
+
+    The rule needs a token and its neighbours only, so it stays in the row: no shuffle.
+    """
+    keep = options.walk(("ts", "tsx"), tests=False) & F.contains("content", F.lit("any"))
+    trim = lambda x: F.ltrim(x, F.lit(" \t\n\x0b\f\r"))
+
+    def hits(code: Column) -> Column:
+        """Places in the raw tokens of the typed uses among the tokens without comments."""
+
+        def place(token: Column, k: Column) -> Column:
+            prev, following = F.get(code, k - 1)["tok"], F.get(code, k + 1)["tok"]
+            typed = (
+                prev.isin(":", "<", "|", "&", "as", "=>", "is", "keyof", "extends", "satisfies")
+                | ((prev == ",") & (following == ">"))
+                | ((prev == "=") & following.isin(";", "[", "|"))
+            )
+            return F.when((token["tok"] == "any") & typed, token["at"])
+
+        return F.array_compact(F.transform(code, place))
+
+    def found(raw: Column) -> Column:
+        """Number of uses, and the line of the first."""
+        code = F.filter(
+            F.transform(raw, lambda x, i: F.struct(trim(x).alias("tok"), i.alias("at"))),
+            lambda t: ~t["tok"].startswith("//") & ~t["tok"].startswith("/*"),
+        )
+        return let(let(code, hits), lambda at: F.struct(
+            F.size(at).alias("n"),
+            (1 + _newlines(F.array_join(F.slice(raw, 1, F.get(at, F.lit(0)) + 1), "")))
+            .alias("line"),
+        ))
+
+    rows = files.where(has_content() & keep).select(
+        *_FILE, let(F.regexp_extract_all("content", F.lit(TOKEN), 0), found).alias("found")
     )
-    return (
-        code_tokens(spread)
-        .where((F.col("tok") == "any") & typed)
-        .groupBy(*_FILE)
-        .agg(F.count("*").alias("n"), F.min("line_no").alias("line"))
-        .select(*_FILE, entry_of("no-explicit-any").alias("entry"), "line", "n")
+    return rows.where("found.n > 0").select(
+        *_FILE, entry_of("no-explicit-any").alias("entry"), F.col("found.line").cast("int").alias("line"),
+        F.col("found.n").cast("bigint").alias("n"),
     )
 
 
