@@ -43,6 +43,7 @@ def _layers() -> Column:
     )
 
 
+# The layers and patterns inside these rules.
 FILE_RULES = (FileRule(("layer-separation",), ("walked",), _layers),)
 
 

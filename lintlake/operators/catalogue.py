@@ -53,7 +53,8 @@ SECRETS = (
     ("Database Password", r"(?:db|database|mysql|postgres|mongo|redis)[_\-]?(?:pass|password|pwd)\s*[=:]\s*['\"](.{6,})['\"]?", True, "critical"),
     ("Database Connection String", r"(?:mongodb|postgres|mysql|redis)://[^:]+:[^@]+@", True, "critical"),
     ("Private Key Header", r"-----BEGIN (?:RSA |EC |DSA )?PRIVATE KEY-----", False, "critical"),
-    # The class has no dot, so a value read from `process.env` cannot match.
+    # Written without look-ahead, so that one text serves Java and RE2; the meaning is the same. The
+    # class has no dot, so a value read from `process.env` cannot match.
     ("Hardcoded Password Variable", r"(?:password|passwd|pwd)\s*=\s*['\"][A-Za-z0-9!@#$%^&*()_+]{6,}['\"]", True, "high"),
     ("SendGrid API Key", r"SG\.[A-Za-z0-9\-_]{22}\.[A-Za-z0-9\-_]{43}", False, "critical"),
     ("Slack Token", r"xox[baprs]-(?:[A-Za-z0-9-]+)", False, "high"),
@@ -65,6 +66,7 @@ SQL_INJECTION = (
     r"\bexec(?:Sync)?\s*\(`[^`]*\$\{[^}]+\}`\s*\)",
 )  # all ignore case
 XSS = (
+    # Written without look-ahead, so that one text serves Java and RE2; the meaning is the same.
     # `innerHTML=''` is exempt only without a space, because the run of spaces backtracks.
     r"innerHTML\s*=(?:\s|[^'\"`\s]|\z|['\"`]\s*(?:[^'\"`\s]|\z))",
     r"outerHTML\s*=",

@@ -13,6 +13,7 @@ def _without(text: str):
     return lambda lines, i: ~lines_from(lines, i, 5, "").contains(text)
 
 
+# Patterns and guards of the rules.
 REACT_LINE_RULES = (
     LineRule("react-key", "jsx", ecma(r"\.map\s*\("), (".map",), near=_without("key="), k2=0),
     LineRule(
@@ -53,6 +54,7 @@ def _middleware() -> Column:
     return found(at > 0, evidence("node-middleware", k1=at, k2=1))
 
 
+# The patterns inside these rules.
 REACT_FILE_RULES = (FileRule(("react-use-reducer",), ("jsx",), _reducer),)
 NEXT_FILE_RULES = (
     FileRule(

@@ -72,6 +72,7 @@ def _csrf() -> Column:
     )
 
 
+# The patterns inside these rules.
 FILE_RULES = (FileRule(("csrf-protection",), ("secure",), _csrf),)
 
 

@@ -147,6 +147,7 @@ def _silent() -> Column:
     )
 
 
+# The patterns and word lists inside these rules.
 FILE_RULES = (
     FileRule(("no-empty-tests",), ("tests",), _empty),
     FileRule(("require-assertions",), ("tests",), _silent),
