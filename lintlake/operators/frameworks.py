@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.functions.text import ecma
+from lintlake.operators.catalogue import INDEX
 from lintlake.operators.issues import entry_of, evidence, found
 from lintlake.operators.rules import FileRule, LineRule, first_line, lines_from
 
@@ -90,6 +91,36 @@ NODE_FILE_RULES = (
     ),
 )
 
+# Asks for the packs that the detected stack of each repository calls for.
+DETECTED = ("detected",)
+
+
+def packs_of(stack: DataFrame) -> DataFrame:
+    """`(repo_id, pack)` for the packs of each repository's stack."""
+    has = lambda *names: F.col("primary").isin(*names) | F.exists(
+        "secondary", lambda s: s.isin(*names)
+    )
+    wanted = {"react": has("react"), "next": has("nextjs"), "node": has("node")}
+    return stack.select(
+        "repo_id",
+        F.explode(F.array_compact(F.array(*[F.when(c, F.lit(p)) for p, c in wanted.items()])))
+        .alias("pack"),
+    )
+
+
+def keep_wanted(evidence: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Evidence of no pack, and that of packs that its repository wants."""
+    pack = F.lit(None).cast("string")
+    for name, (lines, whole) in PACKS.items():
+        kinds = [r.kind for r in lines] + [k for r in whole for k in r.kinds]
+        pack = F.when(F.col("entry").isin(*[INDEX[k] for k in kinds]), F.lit(name)).otherwise(pack)
+    known = wanted.withColumn("_wanted", F.lit(True))
+    return (
+        evidence.withColumn("pack", pack).join(known, ["repo_id", "pack"], "left")
+        .where(F.col("pack").isNull() | F.col("_wanted")).drop("pack", "_wanted")
+    )
+
+
 # Pack name to its line and file rules.
 PACKS = {
     "react": (REACT_LINE_RULES, REACT_FILE_RULES),

@@ -77,9 +77,16 @@ def file_issues(
     options: Options = Options(),
     packs: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Issues that depend on one file only."""
+    """Issues that depend on one file only; `packs` names framework packs for all repositories, or is
+    `DETECTED` for those of each one's stack."""
     more = tuple(testing.FILE_RULES) if "testing" in categories else ()
-    frames = text_evidence(files, categories, options, packs, more)
+    if packs == frameworks.DETECTED:
+        stack = detect_stack(repo_facts(files, options), parse_manifest(files))
+        wanted = frameworks.packs_of(stack)
+        found = text_evidence(files, categories, options, tuple(frameworks.PACKS), more)
+        frames = [frameworks.keep_wanted(frame, wanted) for frame in found]
+    else:
+        frames = text_evidence(files, categories, options, packs, more)
     if "quality" in categories:
         frames.append(tokens.typed_evidence(files, options))
     return render(union_all(frames))

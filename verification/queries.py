@@ -617,6 +617,21 @@ over_files(
         F.array_join("frameworks", ",").alias("frameworks"),
     ),
 )
+_PACK_SQL = {"react": "framework IN ('react', 'nextjs')", "next": "framework = 'nextjs'",
+             "node": "framework IN ('node', 'express', 'nestjs')"}
+_PACK_UNION = "\nUNION ALL\n".join(
+    f"SELECT i.* FROM ({rs.rule_issues(k)}) i JOIN stacked s USING (repo_id) WHERE {_PACK_SQL[name]}"
+    for name, (lines, whole) in frameworks.PACKS.items()
+    for k in [*(r.kind for r in lines), *(k for r in whole for k in r.kinds)]
+)
+over_files(
+    "packs_by_stack",
+    f"WITH {rs.BASE}{_KNOWN_SQL.removeprefix(FILES_SQL)} "
+    f"SELECT repo_id, rule, file, line, id FROM ({_PACK_UNION})",
+    lambda f: auditing.file_issues(f, ("security",), packs=frameworks.DETECTED).where(
+        F.col("ord.cat") >= 6
+    ).select("repo_id", "rule", "file", "line", "id"),
+)
 for _name, _groups, _run in (
     ("detect_test_frameworks", stack.TEST_FRAMEWORKS, stack.detect_test_frameworks),
     ("detect_build_tools", stack.BUILD_TOOLS, stack.detect_build_tools),
