@@ -12,7 +12,7 @@ from lintlake.functions.grades import (
 from lintlake.functions.versions import version_key
 from lintlake.operators import (
     advisories as adv, architecture, fixes, frameworks, graph, insights, performance, ranking,
-    scoring, security, stack, testing, tokens,
+    reporting, scoring, security, stack, testing, tokens,
 )
 from lintlake.operators.catalogue import CATALOGUE, DESIGN_PATTERNS, INDEX, kinds_of
 from lintlake.operators.facts import repo_facts
@@ -943,6 +943,39 @@ over_issues(
     + _top("repo_id, category", _BY_SEVERITY, 5, f"{_SERIOUS} AND fix_text IS NOT NULL"),
     lambda i: _shown(ranking.suggested_fixes(i)),
 )
+_PLACE = f"list_position([{', '.join(map(q, CATEGORIES))}], category)"
+
+
+@query(
+    "markdown_report",
+    f"""WITH {SCORED_SQL}, subs AS (SELECT * FROM {_SUBS}),
+    t AS (SELECT repo_id, string_agg('| ' || category || ' | ' || score || ' | ' || grade || ' | '
+        || issue_count || ' |', chr(10) ORDER BY {_PLACE}) AS body FROM subs GROUP BY 1),
+    l AS (SELECT repo_id, category, string_agg('- **' || severity || '** ' || title || ' ('
+        || coalesce(file, '') || coalesce(':' || line, '') || ')', chr(10) ORDER BY rank) AS body
+      FROM {_top('repo_id, category', _BY_SEVERITY, 30)} GROUP BY 1, 2),
+    n AS (SELECT repo_id, category, count(*) - 30 AS more FROM issues GROUP BY 1, 2),
+    p AS (SELECT repo_id, string_agg(chr(10) || '### ' || category || chr(10) || chr(10) || body
+        || CASE WHEN more > 0 THEN chr(10) || '- and ' || more || ' more' ELSE '' END, chr(10)
+        ORDER BY {_PLACE}) AS body FROM l JOIN n USING (repo_id, category) GROUP BY 1),
+    x AS (SELECT repo_id, string_agg('- ' || title || ': ' || coalesce(fix_text, ''), chr(10)
+        ORDER BY {_PLACE}, rank) AS body
+      FROM {_top('repo_id, category', _BY_SEVERITY, 5, f"{_SERIOUS} AND fix_text IS NOT NULL")} GROUP BY 1)
+    SELECT o.repo_id, '# ' || o.repo_id || chr(10) || chr(10) || 'Overall: ' || overall || ' ('
+      || {_GRADE('overall')} || ')' || chr(10) || chr(10) || '| category | score | grade | issues |'
+      || chr(10) || '|---|---|---|---|' || chr(10) || t.body
+      || coalesce(chr(10) || chr(10) || '## Issues' || chr(10) || p.body, '')
+      || coalesce(chr(10) || chr(10) || '## Suggested fixes' || chr(10) || x.body, '') AS report
+    FROM {_overall_sql(AUDIT_WEIGHTS)} o JOIN t USING (repo_id) LEFT JOIN p USING (repo_id)
+    LEFT JOIN x USING (repo_id)""",
+)
+def _markdown(spark: SparkSession, sf: str) -> DataFrame:
+    results = _results(spark, sf)
+    return reporting.markdown_reports(
+        scoring.overall_score(results), scoring.sub_scores(results), issue_table(spark, sf)
+    )
+
+
 over_issues(
     "critical_list",
     "SELECT repo_id, category, CAST(rank AS INTEGER) AS rank, severity, id, description FROM "
