@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import time
+from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -25,10 +26,12 @@ from lintlake.llm import _text
 from lintlake.llm._store import shared_folder, table
 
 SHARD_BYTES = 24 << 20  # text for each shard of the model
+OPEN_FILES = 512  # mapped at a time by a worker
 BUFFER = 1 << 21  # bigrams that a task holds before it merges them
 _U = np.uint64
 BEGIN, END = _U(0x1B873593CC9E2D51), _U(0x85EBCA6B27D4EB2F)  # markers of a text; no word's hash
 UNIGRAM = np.dtype([("h", "<u8"), ("c", "<u8"), ("cont", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
+STATS = np.dtype([(name, UNIGRAM[name]) for name in UNIGRAM.names[1:]])
 
 
 def _mounted(folder: str) -> str:
@@ -128,17 +131,27 @@ def _merge(folder: str, shards: int):
     def run(group: pa.Table) -> pa.Table:
         k = group.column("shard")[0].as_py()
         v, w = _join(group.column("v"), "<u8"), _join(group.column("w"), "<u8")
-        b, v, w, c = _add_up(_pair(v, w), v, w, _join(group.column("c"), "<u4").astype(np.int64))
+        b = _pair(v, w)
+        # No sorted copies of both words: only the first of equal pairs is looked up by its place.
+        order = np.argsort(b)
+        b = b[order]
+        at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        b = b[at]
+        c = np.add.reduceat(_join(group.column("c"), "<u4")[order], at, dtype=np.int64)
+        order = order[at]
+        v, w = v[order], w[order]
+        del order, at
         _write(folder, f"pairs-{k}", b)
-        _write(folder, f"counts-{k}", c.astype("<u4") if not len(c) or c.max() < 1 << 32 else c)
-        words, at = np.unique(np.concatenate((v, w)), return_inverse=True)
+        _write(folder, f"counts-{k}", c.astype("<u4") if c.max() < 1 << 32 else c)
+        words = np.union1d(v, w)
         out = np.zeros(len(words), UNIGRAM)
         out["h"] = words
         add = lambda where, weight: np.bincount(where, weight, len(words))
-        as_v, as_w = at[: len(v)], at[len(v):]
-        out["c"], out["cont"] = add(as_w, c), add(as_w, None)
+        place = np.searchsorted(words, w)
+        out["c"], out["cont"] = add(place, c), add(place, None)
+        place = np.searchsorted(words, v)
         for name, hit in (("n1", c == 1), ("n2", c == 2), ("n3", c > 2)):
-            out[name] = add(as_v, hit)
+            out[name] = add(place, hit)
         cuts = np.searchsorted(_shard(words, shards), np.arange(shards + 1))
         total = [int((c == n).sum()) for n in (1, 2, 3, 4)] + [len(c), int(c.sum())]
         full = [j for j in range(shards) if cuts[j] < cuts[j + 1]]
@@ -168,7 +181,8 @@ def _words(folder: str):
         out["h"] = h[order][at]
         for name in UNIGRAM.names[1:]:
             out[name] = np.add.reduceat(_join(group.column(name), UNIGRAM[name].str)[order], at)
-        _write(folder, f"words-{k}", out)
+        _write(folder, f"hashes-{k}", out["h"].copy())
+        _write(folder, f"words-{k}", out[list(UNIGRAM.names[1:])].astype(STATS))
         seen = out["cont"][out["c"] > 0]
         return pa.table({
             **{f"m{n}": pa.array([int((seen == n).sum())], pa.int64()) for n in (1, 2, 3, 4)},
@@ -188,20 +202,18 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [d if 0 < d < k else k / 2 for k, d in zip((1, 2, 3), found)]
 
 
-def _lookup(folder: str, shards: int, keys: np.ndarray, name: str) -> np.ndarray:
-    """Rows of sorted keys; of what is not there, zeros."""
-    out = np.zeros(len(keys), np.int64 if name == "pairs" else UNIGRAM)
+def _lookup(read, shards: int, keys: np.ndarray, names: str, values: str) -> np.ndarray:
+    """Values of sorted keys; of what is not there, zeros."""
+    out = np.zeros(len(keys), np.int64 if values == "counts" else STATS)
     cuts = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
-    for k in range(shards):
+    for k in np.flatnonzero(np.diff(cuts)):
         part = keys[cuts[k]:cuts[k + 1]]
-        file = _read(folder, f"{name}-{k}") if len(part) else None
-        if file is None or not len(file):
+        hashes = read(f"{names}-{k}")
+        if hashes is None or not len(hashes):
             continue
-        hashes = file if name == "pairs" else file["h"]
-        at = np.minimum(np.searchsorted(hashes, part), len(file) - 1)
+        at = np.minimum(np.searchsorted(hashes, part), len(hashes) - 1)
         hit = np.flatnonzero(hashes[at] == part)
-        values = _read(folder, f"counts-{k}") if name == "pairs" else file
-        out[cuts[k] + hit] = values[at[hit]]
+        out[cuts[k] + hit] = read(f"{values}-{k}")[at[hit]]
     return out
 
 
@@ -214,13 +226,14 @@ def _score(folder: str, shards: int, total: dict):
     even = spare / (types + 1)  # what an unknown word gets
 
     def run(batches):
+        read = lru_cache(maxsize=OPEN_FILES)(lambda name: _read(folder, name))
         for batch in batches:
             for c in _text.chunks(batch.column(1), lower=True):
                 v, w, bounds = _tokens(c)
                 b, at_b = np.unique(_pair(v, w), return_inverse=True)
-                n = _lookup(folder, shards, b, "pairs")[at_b]
+                n = _lookup(read, shards, b, "pairs", "counts")[at_b]
                 u, at_u = np.unique(np.concatenate((v, w)), return_inverse=True)
-                word = _lookup(folder, shards, u, "words")
+                word = _lookup(read, shards, u, "hashes", "words")
                 count, cont = word["c"].astype(float), word["cont"].astype(np.int64)
                 lower = np.maximum(cont - e[np.minimum(cont, 3)], 0) / max(pairs, 1) + even
                 # A context is followed as often as it occurs; the start occurs once in a text.
