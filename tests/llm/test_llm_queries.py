@@ -108,3 +108,24 @@ def test_pipeline_stages_equal_plain_versions(spark):
         assert abs(sum(r["taken"] for r in mixed if r["source"] == source) - target) <= 1
     placed = [r["position"] for r in mixed if r["position"] is not None]
     assert len(placed) == sum(r["taken"] > 0 for r in mixed)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_odd_rows(spark, tmp_path, empty):
+    """Nulls in every column, an empty text, repeated rows, a further column; and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string"
+    rows = [] if empty else [
+        (1, None, None, None, None, "s"), (None, "no id\nat all", "en", "a", 12, None), (2, "", "en", "b", 0, "x"),
+        (3, "one two\nthree four\nfive six", "en", "a", 28, "y"), (3, "one two\nthree four\nfive six", "en", "a", 28, "y"),
+        (4, "w " * 5000, "en", None, 10000, ""), (None, None, None, None, None, None),
+    ]
+    spark.createDataFrame([(1, "some item of more than eight words in all it is")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(3, 1, 1), (4, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").limit(0 if empty else 3).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        before = docs.count()
+        docs = keep(stage(spark, docs, str(tmp_path)), name)
+        assert name == "mixing" or docs.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+        assert docs.count() == before
+    kept = keep(corpus_pipeline.drop_toxic(spark, spark.createDataFrame(rows, schema), str(tmp_path)), "toxicity")
+    assert kept.columns == spark.createDataFrame([], schema).columns and kept.count() <= len(rows)
