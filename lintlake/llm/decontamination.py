@@ -3,10 +3,12 @@
 Words become template tokens: numbers, names (capitalised words) and units are typed placeholders,
 all else the word in lower case without the punctuation around it. Windows of WINDOW template
 tokens, or of the words themselves where fewer than LITERALS tokens are literal, are joined by hash
-with those of the items. Windows of a document and an item that lie on one diagonal are one
-alignment; it counts as a find if it covers COVERAGE of the item's windows and its slots are
-consistent: every value of the item stands for one value of the document, as it does in a copy and
-in a question with new parameters.
+with those of the items. Windows of a document and an item that lie on one diagonal, or in order on
+diagonals at most SHIFT apart, are one alignment: a word more or less, or a value of another number
+of words, moves what follows to a neighbouring diagonal. An alignment counts as a find if it covers
+COVERAGE of the item's windows and its slots are consistent: every value of the item stands for one
+value of the document, as it does in a copy and in a question with new parameters. Where the
+diagonal changes, the words between the two are compared by their tokens.
 
 Items are sent to the tasks in parts of at most PART_WINDOWS windows; each part is one more scan of
 the documents, so a benchmark of any size is compared in full. No text is shuffled.
@@ -14,7 +16,9 @@ the documents, so a benchmark of any size is compared in full. No text is shuffl
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,7 @@ from lintlake.llm._store import table
 
 WINDOW, LITERALS = 8, 4
 COVERAGE, CONSISTENCY = 0.5, 0.8
+SHIFT = WINDOW  # words that one change may add or drop
 PART_WINDOWS = 1 << 20
 UNITS = (
     "kg g mg lb lbs oz ton tons tonne tonnes gram grams kilogram kilograms pound pounds ounce ounces "
@@ -103,31 +108,110 @@ class Items:
     def match(self, tokens: np.ndarray, words: list[bytes], found: list[tuple[int, int]]):
         """(item, matched, coverage, consistency, first word, last word) of each item that a
         document holds; `found` are its windows (hash position, start) among the items'."""
-        lines: dict[tuple[int, int], set[int]] = defaultdict(set)
+        hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for h, start in found:
             for k in range(*np.searchsorted(self.hashes, (h, h + _U(1)))):
-                lines[int(self.item[k]), start - int(self.at[k])].add(int(self.at[k]))
+                hits[int(self.item[k])].add((start, int(self.at[k])))
         best: dict[int, tuple] = {}
-        for (item, shift), hits in lines.items():
-            coverage = len(hits) / self.windows[item]
-            if coverage < COVERAGE:
+        for item, pairs in hits.items():
+            least = COVERAGE * self.windows[item]
+            if len({at for _, at in pairs}) < least:
                 continue
-            begin, end = min(hits), max(hits) + WINDOW
-            covered = {k + j for k in hits for j in range(WINDOW)}
-            slots: dict[bytes, Counter] = defaultdict(Counter)
-            for k in covered:
-                if self.tokens[item][k] <= UNIT:
-                    slots[self.words[item][k]][words[shift + k]] += 1
-            total = sum(sum(c.values()) for c in slots.values())
-            same = sum(max(c.values()) for c in slots.values())
-            consistency = same / total if total else 1.0
-            row = (coverage, consistency, len(hits), shift + begin, shift + end)
-            if consistency >= CONSISTENCY and (item not in best or row > best[item]):
-                best[item] = row
+            for path in _alignments(pairs, least):
+                slots = self._slots(item, path, tokens, words)
+                total = sum(sum(c.values()) for c in slots.values())
+                same = sum(max(c.values()) for c in slots.values())
+                consistency = same / total if total else 1.0
+                coverage = len(path) / self.windows[item]
+                row = (coverage, consistency, len(path), path[0][0], path[-1][0] + WINDOW)
+                if consistency >= CONSISTENCY and (item not in best or row > best[item]):
+                    best[item] = row
         return [
             (self.ids[k], n, cov, con, a, b) for k, (cov, con, n, a, b) in sorted(best.items())
         ]
 
+    def _slots(self, item: int, path: list[tuple[int, int]], tokens: np.ndarray, words: list[bytes]):
+        """How often each value of the item stands for each value of the document."""
+        own, values = self.tokens[item], self.words[item]
+        slots: dict[bytes, Counter] = defaultdict(Counter)
+        place: dict[int, int] = {}  # word of the item: word of the document
+        for start, at in path:
+            for j in range(WINDOW):
+                place.setdefault(at + j, start + j)
+        covered = sorted(place)
+        for a, b in zip(covered, covered[1:]):
+            if place.get(a, a) - a == place.get(b, b) - b or a not in place or b not in place:
+                continue
+            # A value beside the change may go on behind it, so it is taken as a whole.
+            while own[a] <= UNIT and a - 1 in place:
+                del place[a]
+                a -= 1
+            while own[b] <= UNIT and b + 1 in place:
+                del place[b]
+                b += 1
+            x, y = place[a] + 1, place[b]
+            if x <= y:
+                _gap(own[a + 1:b], tokens[x:y], values[a + 1:b], words[x:y], slots)
+        for k, word in place.items():
+            if own[k] <= UNIT:
+                slots[values[k]][words[word]] += 1
+        return slots
+
+
+def _runs(tokens) -> list[tuple[int, int]]:
+    """Spans of words; those of one placeholder in a row are one, as "Mary Jane" for "Tom"."""
+    cuts = [k for k, t in enumerate(tokens) if not k or t > UNIT or t != tokens[k - 1]]
+    return list(zip(cuts, [*cuts[1:], len(tokens)]))
+
+
+def _gap(own, other, values: list[bytes], words: list[bytes], slots: dict[bytes, Counter]) -> None:
+    """Slots between two diagonals, where a value may have another number of words."""
+    a, b = _runs(own), _runs(other)
+    matcher = SequenceMatcher(
+        None, [int(own[x]) for x, _ in a], [int(other[x]) for x, _ in b], autojunk=False
+    )
+    for i, j, n in matcher.get_matching_blocks():
+        for (p, q), (x, y) in zip(a[i:i + n], b[j:j + n]):
+            if own[p] > UNIT:
+                continue
+            if q - p == y - x:
+                for value, word in zip(values[p:q], words[x:y]):
+                    slots[value][word] += 1
+            else:
+                slots[b" ".join(values[p:q])][b" ".join(words[x:y])] += 1
+
+
+def _alignments(pairs: set[tuple[int, int]], least: float) -> list[list[tuple[int, int]]]:
+    """Alignments of at least `least` windows (start in the document, at in the item): each diagonal
+    alone, and the longest chain that ends on it. A chain ascends in both and changes the diagonal
+    by at most SHIFT at a time."""
+    starts: dict[int, list[int]] = defaultdict(list)  # diagonal: its hits, in order
+    chains: dict[int, list[tuple[int, tuple[int, int] | None]]] = defaultdict(list)
+    for start, at in sorted(pairs):
+        shift = start - at
+        length, before = 0, None
+        if shift in starts:
+            length, before = chains[shift][-1][0], (shift, len(starts[shift]) - 1)
+        for near in range(shift - SHIFT, shift + SHIFT + 1):
+            if near != shift and near in starts:
+                k = bisect_left(starts[near], min(start, at + near)) - 1
+                if k >= 0 and chains[near][k][0] > length:
+                    length, before = chains[near][k][0], (near, k)
+        starts[shift].append(start)
+        chains[shift].append((length + 1, before))
+    out = []
+    for shift, own in starts.items():
+        if len(own) >= least:
+            out.append([(s, s - shift) for s in own])
+        if chains[shift][-1][0] >= least and chains[shift][-1][0] > len(own):
+            path, place = [], (shift, len(own) - 1)
+            while place is not None:
+                diagonal, k = place
+                path.append((starts[diagonal][k], starts[diagonal][k] - diagonal))
+                place = chains[diagonal][k][1]
+            out.append(path[::-1])
+    return out
+
 
 _COLUMNS = ("id", "item_id", "matched", "coverage", "consistency", "first_word", "end_word")
 _SCHEMA = (

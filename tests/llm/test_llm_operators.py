@@ -422,6 +422,24 @@ def test_inconsistent_slots_are_no_question_with_new_parameters(spark):
     assert [r["doc_id"] for r in decontamination.find_contamination(docs, items).collect()] == [2]
 
 
+def test_item_is_found_with_a_word_more_or_less(spark):
+    words = [f"w{k}" for k in "abcdefghijklmnopqrstuvwxyzéüñø"]
+    item = " ".join([*words[:15], "Tom", *words[16:]])
+    texts = [item.replace("Tom", "Mary Jane"), " ".join([*words[:15], *words[16:]]),
+             " ".join([*words[:15], "Tom", "and", *words[16:]]), "so on " + item + " and on",
+             " ".join([*words[16:], "Tom", *words[:15]]),  # not in order
+             " ".join([*words[:15], *["far"] * 40, *words[16:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontamination.find_contamination(docs, items).collect()}
+    assert set(found) == {0, 1, 2, 3}
+    assert [found[k]["matched"] for k in (0, 1, 3)] == [17, 15, 23]
+    assert found[0]["consistency"] == 1.0 and (found[0]["first_word"], found[0]["end_word"]) == (0, 31)
+    made, doc = decontamination.Items([(1, item)]), decontamination.Items([(0, texts[0])])
+    path = [(k, k) for k in range(9)] + [(k + 1, k) for k in range(15, 23)]
+    assert made._slots(0, path, doc.tokens[0], doc.words[0]) == {b"Tom": {b"Mary Jane": 1}}
+
+
 def test_benchmark_in_parts_gives_the_same(spark, docs, monkeypatch):
     items = spark.createDataFrame([(k, TEXTS[k]) for k in range(7, 31)], "item_id long, text string")
     whole = sorted(map(tuple, decontamination.find_contamination(docs, items).collect()))
