@@ -1,9 +1,10 @@
 """Documents that hold benchmark items, also with other numbers, names or units.
 
 Words become template tokens: numbers, names (capitalised words) and units are typed placeholders,
-all else the word in lower case without the punctuation around it. Windows of WINDOW template
-tokens, or of the words themselves where fewer than LITERALS tokens are literal, are joined by hash
-with those of the items. Windows of a document and an item that lie on one diagonal, or in order on
+all else the word in lower case without the punctuation around it. A second form of each window is
+blind to case: its names are words in lower case. Windows of WINDOW tokens of either form, or of the
+words in lower case where fewer than LITERALS tokens of the second form are literal, are joined by
+hash with those of the items. Windows of a document and an item that lie on one diagonal, or in order on
 diagonals at most SHIFT apart, are one alignment: a word more or less, or a value of another number
 of words, moves what follows to a neighbouring diagonal. An alignment counts as a find if it covers
 COVERAGE of the item's windows and its slots are consistent: every value of the item stands for one
@@ -52,39 +53,70 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _unit_hashes = np.sort(_hash_words(UNITS))
 
 
-def template(c: _text.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Template token of every word, a placeholder or the hash of the plain word, and all hashes."""
-    buf, starts, ends = c.buf, c.starts.copy(), c.ends.copy()
-    if not len(starts):
-        return np.zeros(0, _U), np.zeros(0, _U)
-    for _ in range(4):  # punctuation around a word; a word of it alone keeps its last sign
-        starts += _PUNCT[buf[starts]] & (starts < ends - 1)
-        ends -= _PUNCT[buf[ends - 1]] & (starts < ends - 1)
+def _fold(c: _text.Chunk) -> _text.Chunk:
+    """A chunk without case. It has the same words, but some may have another length."""
+    if not (c.buf >= 128).any():
+        return _text.Chunk(c.row, _text.lower_ascii(c.buf), c.starts, c.ends, c.first)
+    touching = c.starts[1:][c.starts[1:] == c.ends[:-1]]  # words of two rows
+    buf = np.insert(c.buf, touching, 32)
+    text = buf.tobytes().decode(errors="surrogateescape").casefold()
+    buf = np.frombuffer(text.encode(errors="surrogateescape"), np.uint8)
+    solid = np.concatenate(([False], ~_text._SPACE[buf], [False]))
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    return _text.Chunk(c.row, buf, edges[::2], edges[1::2], c.first)
+
+
+def _bare(c: _text.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends without punctuation around words; a word of it alone keeps its last sign."""
+    starts, ends = c.starts.copy(), c.ends.copy()
+    for _ in range(4):
+        starts += _PUNCT[c.buf[starts]] & (starts < ends - 1)
+        ends -= _PUNCT[c.buf[ends - 1]] & (starts < ends - 1)
+    return starts, ends
+
+
+def template(c: _text.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, _text.Chunk]:
+    """Token of every word, a placeholder or the hash of the plain word; the same with names as
+    words; the hashes of all words; and the chunk without case."""
+    if not len(c.starts):
+        return (*(np.zeros(0, _U),) * 3, c)
+    buf, folded = c.buf, _fold(c)
+    starts, ends = _bare(c)
     digits = np.concatenate(([0], np.cumsum((buf >= 48) & (buf <= 57))))
     head = buf[starts]
     after = buf[np.minimum(starts + 1, len(buf) - 1)]
     # A-Z, and the capitals of Latin-1 in UTF-8
     capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (after >= 0x80) & (after <= 0x9E))
-    plain = _text.Chunk(c.row, _text.lower_ascii(buf), starts, ends, c.first)
-    words = plain.word_hashes()
-    tokens = words.copy()
-    tokens[np.isin(tokens, _unit_hashes)] = UNIT
-    tokens[capital] = NAME
-    tokens[digits[ends] > digits[starts]] = NUMBER
-    return tokens, words
-
-
-def _windows(tokens: np.ndarray, words: np.ndarray, first: np.ndarray):
-    """(hash, start, row) of all windows. Where too few tokens are literal, a template would match
-    anything of its shape; there the words themselves count."""
-    h, start, row = _text.windows(tokens, first, WINDOW)
+    words = _text.Chunk(c.row, folded.buf, *_bare(folded), c.first).word_hashes()
+    blind = words.copy()
+    blind[np.isin(blind, _unit_hashes)] = UNIT
+    number = digits[ends] > digits[starts]
+    blind[number] = NUMBER
+    tokens = blind.copy()
+    tokens[capital & ~number] = NAME
+    return tokens, blind, words, folded
+
+
+def _windows(tokens: np.ndarray, blind: np.ndarray, words: np.ndarray, first: np.ndarray):
+    """(hash, start, row) of all windows in the form that is blind to case, then of those that differ
+    with names as placeholders. Where too few tokens are literal, a template would match anything of
+    its shape; there the words themselves count, and there is no form with names."""
+    def literal(tokens):
+        sums = np.concatenate(([0], np.cumsum(tokens > UNIT)))
+        return sums[start + WINDOW] - sums[start] >= LITERALS
+
+    plain, start, row = _text.windows(blind, first, WINDOW)
     exact, _, _ = _text.windows(words, first, WINDOW, seed=11)
-    literal = np.concatenate(([0], np.cumsum(tokens > UNIT)))
-    return np.where(literal[start + WINDOW] - literal[start] >= LITERALS, h, exact), start, row
+    named, _, _ = _text.windows(tokens, first, WINDOW)
+    more = np.flatnonzero(literal(tokens) & (named != plain))
+    return (
+        np.concatenate((np.where(literal(blind), plain, exact), named[more])),
+        np.concatenate((start, start[more])), np.concatenate((row, row[more])),
+    )
 
 
 class Items:
-    """Windows of some items, sorted by hash, and the items' words for their slots."""
+    """Windows of some items, sorted by hash, and the items' words in lower case for their slots."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids = [k for k, _ in items]
@@ -92,18 +124,18 @@ class Items:
         self.tokens: list[np.ndarray] = []
         self.words: list[list[bytes]] = []
         for c in _text.chunks(pa.array([t for _, t in items], pa.large_string())):
-            tokens, words = template(c)
-            h, start, row = _windows(tokens, words, c.first)
+            tokens, blind, words, folded = template(c)
+            h, start, row = _windows(tokens, blind, words, c.first)
             hashes.append(h)
             where.append(row + c.row)
             at.append(start - c.first[:-1][row])
             for k in range(c.rows):
                 self.tokens.append(tokens[c.first[k]:c.first[k + 1]])
-                self.words.append(c.bytes_of(k).split())
+                self.words.append(folded.bytes_of(k).split())
         h, where, at = np.concatenate(hashes), np.concatenate(where), np.concatenate(at)
         order = np.argsort(h, kind="stable")
         self.hashes, self.item, self.at = h[order], where[order], at[order]
-        self.windows = np.bincount(where, minlength=len(items))
+        self.windows = np.array([max(len(t) - WINDOW + 1, 0) for t in self.tokens])
 
     def match(self, tokens: np.ndarray, words: list[bytes], found: list[tuple[int, int]]):
         """(item, matched, coverage, consistency, first word, last word) of each item that a
@@ -226,8 +258,8 @@ def _find(items: Items):
             ids = batch.column(0)
             rows = []
             for c in _text.chunks(batch.column(1)):
-                tokens, words = template(c)
-                h, start, row = _windows(tokens, words, c.first)
+                tokens, blind, words, folded = template(c)
+                h, start, row = _windows(tokens, blind, words, c.first)
                 at = np.minimum(np.searchsorted(items.hashes, h), max(len(items.hashes) - 1, 0))
                 hit = np.flatnonzero(items.hashes[at] == h) if len(items.hashes) else []
                 by_row = defaultdict(list)
@@ -235,7 +267,7 @@ def _find(items: Items):
                     by_row[row[k]].append((h[k], int(start[k] - c.first[row[k]])))
                 for k, found in by_row.items():
                     part = slice(c.first[k], c.first[k + 1])
-                    for x in items.match(tokens[part], c.bytes_of(k).split(), found):
+                    for x in items.match(tokens[part], folded.bytes_of(k).split(), found):
                         rows.append((ids[c.row + int(k)].as_py(), *x))
             kinds = (pa.int64(),) * 3 + (pa.float64(),) * 2 + (pa.int64(),) * 2
             yield pa.RecordBatch.from_pydict({

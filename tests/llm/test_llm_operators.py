@@ -437,7 +437,21 @@ def test_item_is_found_with_a_word_more_or_less(spark):
     assert found[0]["consistency"] == 1.0 and (found[0]["first_word"], found[0]["end_word"]) == (0, 31)
     made, doc = decontamination.Items([(1, item)]), decontamination.Items([(0, texts[0])])
     path = [(k, k) for k in range(9)] + [(k + 1, k) for k in range(15, 23)]
-    assert made._slots(0, path, doc.tokens[0], doc.words[0]) == {b"Tom": {b"Mary Jane": 1}}
+    assert made._slots(0, path, doc.tokens[0], doc.words[0]) == {b"tom": {b"mary jane": 1}}
+
+
+def test_items_are_found_in_any_case(spark):
+    items = [ITEM, OTHER, "Élise and Ødegård Met In Zürich On A Monday. Then Äpfel und große Öl: ΣΟΦΙΑ Говорит"]
+    texts = [case(x) for x in items for case in (str, str.lower, str.upper, str.title)]
+    texts += ["The Train Of Nine Was Late And Nobody Knew", " ".join("Aa Bb Cc Dd Ee Ff Gg Hh Ii Jj".split() * 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontamination.find_contamination(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, k // 4) for k in range(12)}
+    assert all(r["coverage"] == r["consistency"] == 1.0 for r in found)
+    # In lower case and with another number at once
+    docs = spark.createDataFrame([(1, ITEM.lower().replace("120", "455"))], "doc_id long, text string")
+    assert [r["coverage"] for r in decontamination.find_contamination(docs, bench).collect()] == [14 / 16]
 
 
 def test_benchmark_in_parts_gives_the_same(spark, docs, monkeypatch):
