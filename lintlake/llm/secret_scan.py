@@ -1,11 +1,14 @@
 """Secrets in texts: three patterns, and strings whose sliding-window entropy is high.
 
 A candidate is a run of at least MIN_LENGTH characters of A-Z a-z 0-9 + / _ = -. Each class of
-characters (lower-case hex, upper-case hex, base 64) has a window and a threshold. The window moves
-over each run of the class inside the candidate; its Shannon entropy is kept by adding and taking
-away the counts of the one character that enters and the one that leaves. Windows at or above the
-threshold join to spans of kind entropy_<class>. An allow-list suppresses UUIDs, alphabets,
-placeholders and long words of prose; it never suppresses what a pattern found.
+characters (lower-case hex, upper-case hex, lower case with digits, upper case with digits, base 64)
+has a window and two thresholds. The window moves over each run of the class inside the candidate;
+its Shannon entropy is kept by adding and taking away the counts of the one character that enters
+and the one that leaves. The lower threshold is a quantile of random keys, and holds for windows that
+mix letters, digits and cases as nearly all random ones do; the upper one holds for any window of a
+run with digits. Such windows join to spans of kind entropy_<class>. An allow-list takes UUIDs,
+alphabets and words that name a placeholder out of a candidate; what stands beside them is scanned.
+It never suppresses what a pattern found.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,28 +32,42 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # runs of [0-9a-f]+ of 32 or more
 ASSIGN_LENGTH, ACCESS_LENGTH = 8, 16
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_HEX", "entropy_base64")
+KINDS = (
+    "assign", "access", "hex",
+    "entropy_hex", "entropy_HEX", "entropy_lower", "entropy_upper", "entropy_base64",
+)
 
 MIN_LENGTH = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: kind: (characters of the class, window, bits a character)
+#: kind: (characters of the class, window, bits a character of a mixed window and of any window).
+#: 0.5 % of random windows of the class have fewer bits than a mixed one needs.
 CLASSES = {
-    "entropy_hex": (re.compile(r"[0-9a-f]{20,}"), 20, 3.0),
-    "entropy_HEX": (re.compile(r"[0-9A-F]{20,}"), 20, 3.0),
-    "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.9),
+    "entropy_hex": (re.compile(r"[0-9a-f]{20,}"), 20, 2.82, 3.0),
+    "entropy_HEX": (re.compile(r"[0-9A-F]{20,}"), 20, 2.82, 3.0),
+    "entropy_lower": (re.compile(r"[a-z0-9]{20,}"), 20, 3.34, 3.9),
+    "entropy_upper": (re.compile(r"[A-Z0-9]{20,}"), 20, 3.34, 3.9),
+    "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.58, 3.9),
 }
+BOTH_CASES, BOTH_CASES_ALONE = 2, 5  # letters of either case in a base 64 window, and without digits
+CHANGES = 7  # from one of A-Z, a-z, 0-9 and the signs to another, in a base 64 window
+_rest = lambda s: f"(?:{s[0]}{_rest(s[1:])})?" if s else ""
 ALLOWED = re.compile(
     r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
-    r"|example|placeholder|changeme|abcdefghij|0123456789|x{6}|\*{4}",
+    rf"|abcdefghij{_rest('klmnopqrstuvwxyz')}|0123456789",
     re.IGNORECASE | re.ASCII,
 )
-_MIXED = re.compile(r"[0-9]")
+#: Such a word stands for all letters and digits that it is written together with.
+PLACEHOLDER = re.compile(r"example|placeholder|changeme|x{6}", re.IGNORECASE | re.ASCII)
+_WORD = re.compile(r"[A-Za-z0-9]+")
+_DIGIT = re.compile(r"[0-9]")
 _TERM = [0.0] + [n * math.log2(n) for n in range(1, 129)]
 
 
-def windows_above(text: str, width: int, bits: float) -> list[tuple[int, int]]:
-    """Spans of the windows of `width` characters whose entropy is at least `bits`, joined where
-    they touch. With counts c of a window of w characters the entropy is log2 w - sum(c log2 c) / w,
+def windows_above(
+    text: str, width: int, bits: float, also: Callable[[int, int], bool] = lambda a, b: True
+) -> list[tuple[int, int]]:
+    """Spans of the windows of `width` characters whose entropy is at least `bits` and which `also`
+    takes, joined where they touch. With counts c of a window of w characters the entropy is log2 w - sum(c log2 c) / w,
     so a step changes only the terms of two characters."""
     if len(text) < width:
         return []
@@ -64,7 +83,7 @@ def windows_above(text: str, width: int, bits: float) -> list[tuple[int, int]]:
             n = counts[old := text[k - width]]
             counts[old] = n - 1
             total += _TERM[n - 1] - _TERM[n]
-        if k >= width - 1 and total <= most:
+        if k >= width - 1 and total <= most and also(k - width + 1, k + 1):
             begin = k - width + 1
             if spans and begin <= spans[-1][1]:
                 spans[-1][1] = k + 1
@@ -73,9 +92,52 @@ def windows_above(text: str, width: int, bits: float) -> list[tuple[int, int]]:
     return [tuple(s) for s in spans]
 
 
-def _allowed(run: str) -> bool:
-    """Prose has no digits in its words; a key of this length nearly always has."""
-    return ALLOWED.search(run) is not None or _MIXED.search(run) is None
+def _mixed(kind: str, text: str) -> Callable[[int, int], bool]:
+    """Whether text[a:b] mixes characters as a random key of the class does. Prose has hardly any
+    digits, and few capitals in its words; names in code change their case at the words only."""
+    def count(own):
+        return [0, *accumulate(map(own, text))]
+
+    digits, upper, lower = count(str.isdigit), count(str.isupper), count(str.islower)
+    sort = [c.isdigit() + 2 * c.isupper() + 3 * c.islower() for c in text]
+    changes = [0, *accumulate(x != y for x, y in zip(sort, sort[1:]))]
+
+    def mixed(a: int, b: int) -> bool:
+        n, up, low = digits[b] - digits[a], upper[b] - upper[a], lower[b] - lower[a]
+        if kind != "entropy_base64":
+            return n > 0 and up + low > 0
+        if changes[b - 1] - changes[a] < CHANGES:
+            return False
+        return min(up, low) >= (BOTH_CASES if n else BOTH_CASES_ALONE)
+
+    return mixed
+
+
+def _keys(kind: str, text: str) -> list[tuple[int, int]]:
+    _, width, bits, any_bits = CLASSES[kind]
+    spans = windows_above(text, width, bits, _mixed(kind, text))
+    if _DIGIT.search(text):
+        spans += windows_above(text, width, any_bits)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _scanned(run: str) -> list[tuple[int, str]]:
+    """(offset, text) of what the allow-list leaves of a candidate."""
+    allowed = [m.span() for m in ALLOWED.finditer(run)]
+    if PLACEHOLDER.search(run):
+        allowed += [m.span() for m in _WORD.finditer(run) if PLACEHOLDER.search(m[0])]
+    out, at = [], 0
+    for a, b in sorted(allowed):
+        if a > at:
+            out.append((at, run[at:a]))
+        at = max(at, b)
+    return [*out, (at, run[at:])]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -93,18 +155,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     out = set()
     for candidate in CANDIDATE.finditer(text):
-        run = candidate[0]
-        if _allowed(run):
-            continue
-        taken: list[tuple[int, int]] = []
-        for kind, (pattern, width, bits) in CLASSES.items():
-            for part in pattern.finditer(run):
-                for a, b in windows_above(part[0], width, bits):
-                    at = candidate.start() + part.start()
-                    # A narrower class explains a span that it covers.
-                    if not any(x <= at + a and at + b <= y for x, y in taken):
-                        out.add((at + a, at + b, kind))
-                        taken.append((at + a, at + b))
+        for offset, text in _scanned(candidate[0]):
+            has_digit = _DIGIT.search(text) is not None
+            taken: list[tuple[int, int]] = []
+            for kind, (pattern, *_) in CLASSES.items():
+                if not has_digit and kind != "entropy_base64":
+                    continue
+                for part in pattern.finditer(text):
+                    for a, b in _keys(kind, part[0]):
+                        at = candidate.start() + offset + part.start()
+                        # A narrower class explains a span that it covers.
+                        if not any(x <= at + a and at + b <= y for x, y in taken):
+                            out.add((at + a, at + b, kind))
+                            taken.append((at + a, at + b))
     return sorted(out)
 
 

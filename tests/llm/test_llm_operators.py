@@ -281,6 +281,26 @@ def test_entropy_finds_keys_and_spares_prose_and_ids():
         assert kinds(text) == []
 
 
+def test_entropy_finds_nearly_all_random_keys():
+    rng = random.Random(8)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters in (low + up + digits + "+/", low + digits, up + digits, "abcdef" + digits, "ABCDEF" + digits):
+        for length, most in ((20, 15), (24, 5), (32, 0)):
+            keys = ["".join(rng.choices(letters, k=length)) for _ in range(1000)]
+            assert sum(not secret_scan.entropy_spans(f"k {key} z") for key in keys) <= most
+    for text in ("getElementsByClassName", "some/path/to-a/very_long-file/name", "A" * 10 + "SCREAMINGCASEOFWORDS",
+                 "HTTPDefaultErrorHandlerOfAll", (low + up + digits) * 3):
+        assert secret_scan.entropy_spans(text) == []
+
+
+def test_allow_list_spares_the_key_beside_it():
+    key = "Q7x/Lk2+Pz9_Wm4-Ba8vYt5R"
+    for mark in ("123e4567-e89b-12d3-a456-426614174000/", "example/", "xxxxxxxx-", "abcdefghijklmnop=", "0123456789/", "changeme_"):
+        (a, b, kind), = secret_scan.entropy_spans(f"é {mark}{key}/example")
+        assert kind == "entropy_base64" and a <= 2 + len(mark) and b >= 2 + len(mark) + len(key)
+        assert a >= 2 + len(mark) - 1 and b <= 2 + len(mark) + len(key) + 1
+
+
 def test_secret_query_columns(spark, tmp_path):
     spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for r in secret_scan.op5_secret_scan(spark, str(tmp_path)).collect():
