@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lintlake.llm import (
-    decontamination, line_dedup, lm_scoring, near_dedup, secret_scan, source_mixing,
-    substring_dedup, token_count, topk_search, toxicity,
+    decontamination, hard_negatives, line_dedup, lm_scoring, near_dedup, pii_crf, secret_scan,
+    source_mixing, substring_dedup, token_count, topk_search, toxicity, whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,13 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_pii_crf": pii_crf.op11_pii_crf,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_topk": topk_search.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_source_mixing": source_mixing.OP4_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
