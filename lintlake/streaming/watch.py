@@ -8,11 +8,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lintlake.functions.text import ecma
 from lintlake.operators.fixes import apply_fixes, build_fix_plan
 from lintlake.operators.issues import render, union_all
 from lintlake.operators.rules import Options
 from lintlake.plans.auditing import file_issues, repo_issues, score_audit, text_evidence
-from lintlake.schema import CATEGORIES, FILES_SCHEMA, ISSUE_SCHEMA
+from lintlake.schema import CATEGORIES, FILES_SCHEMA
+from lintlake.sources.files import RELATIVE_IMPORT
+from lintlake.streaming.store import Head, VersionStore
 
 SETTLE = "300 milliseconds"  # fixed value: quiet time before a change counts
 BUCKETS = 64
@@ -72,65 +75,49 @@ def latest_versions(versions: DataFrame, *order: str) -> DataFrame:
     return versions.groupBy("repo_id", "path").agg(newest).select("repo_id", "path", "v.*")
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("repo_id"), F.lit(BUCKETS)).cast("int")
+def outline() -> Column:
+    """What scans of whole repositories read of a text: a root manifest as it is, of other files
+    the relative import specifiers. `repo_issues` and scores are the same on it as on the text."""
+    specifiers = F.regexp_extract_all("content", F.lit(ecma(RELATIVE_IMPORT)), 0)
+    return F.when(F.col("path") == "package.json", F.col("content")).otherwise(
+        F.array_join(F.when(F.contains("content", F.lit("from")), specifiers), "\n")
+    )
 
 
 @dataclass
 class Refresh:
     """State of a watch below one folder, fed by `foreachBatch`.
 
-    Every batch writes its own directories and overwrites them when it is repeated, so a batch
-    that was lost half way can run again. Versions and issues are partitioned by a bucket of the
-    repository, and a batch reads the buckets it touches only.
+    A batch reads its own files, and of the repositories it touches the narrow state and the issues
+    of current versions; older contents are never read again. It writes its own folders and a head
+    at the end, so a batch that was lost half way can run again, and one whose head is there is done.
     """
 
     location: str
     options: Options = field(default_factory=Options)
     advisories: DataFrame | None = None
+    buckets: int = BUCKETS
+    max_segments: int = 16
 
-    def _write(self, frame: DataFrame, name: str, batch_id: int) -> None:
-        target = f"{self.location}/{name}/batch_id={batch_id}"
-        writer = frame.withColumn("bucket", _bucket()).write.mode("overwrite")
-        writer.partitionBy("bucket").parquet(target)
-
-    def _read(self, spark: SparkSession, name: str, schema: str, upto: int, buckets=None):
-        rows = (
-            spark.read.schema(f"{schema}, batch_id long, bucket int")
-            .option("basePath", f"{self.location}/{name}")
-            .parquet(f"{self.location}/{name}")
-            .where(F.col("batch_id") <= upto)
-        )
-        return rows if buckets is None else rows.where(F.col("bucket").isin(*buckets))
+    @property
+    def store(self) -> VersionStore:
+        return VersionStore(self.location, self.buckets, self.max_segments)
 
-    def files(self, spark: SparkSession, upto: int = 1 << 60, buckets=None) -> DataFrame:
+    def files(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
         """Newest version of every file."""
-        rows = self._read(spark, "versions", FILES_SCHEMA, upto, buckets)
-        return latest_versions(rows.drop("bucket"), "mtime", "batch_id")
+        store = self.store
+        return store.contents(spark, store.head(spark, upto))
 
-    def issues(self, spark: SparkSession, upto: int = 1 << 60, buckets=None) -> DataFrame:
+    def issues(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
         """Issues of the newest file versions and of the newest scan of each repository."""
-        now = self.files(spark, upto, buckets).select(
-            "repo_id", F.col("path").alias("file"), "batch_id"
-        )
-        own = self._read(spark, "file_issues", ISSUE_SCHEMA, upto, buckets)
-        own = own.join(now, ["repo_id", "file", "batch_id"], "left_semi")
-        whole = self._read(spark, "repo_issues", ISSUE_SCHEMA, upto, buckets)
-        whole = whole.join(self._last_scan(spark, upto, buckets), ["repo_id", "batch_id"],
-                           "left_semi")
-        return own.unionByName(whole).drop("batch_id", "bucket")
-
-    def _last_scan(self, spark: SparkSession, upto: int, buckets=None) -> DataFrame:
-        """Newest batch that brought a version of any file of the repository."""
-        rows = self._read(spark, "versions", FILES_SCHEMA, upto, buckets)
-        return rows.groupBy("repo_id").agg(F.max("batch_id").alias("batch_id"))
-
-    def scores(self, spark: SparkSession, upto: int = 1 << 60) -> DataFrame:
+        store = self.store
+        head = store.head(spark, upto)
+        return store.file_issues(spark, head).unionByName(store.repo_issues(spark, head))
+
+    def scores(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
         """Newest score of every repository."""
-        rows = self._read(spark, "scores", "repo_id string, overall long, grade string", upto)
-        return rows.groupBy("repo_id").agg(
-            F.max_by(F.struct("overall", "grade"), "batch_id").alias("v")
-        ).select("repo_id", "v.*")
+        store = self.store
+        return store.repo_state(spark, store.head(spark, upto)).drop("segment")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         # A stream turns adaptive execution off in its session. The work below is plain batch work
@@ -139,28 +126,57 @@ class Refresh:
         adaptive = "spark.sql.adaptive.enabled"
         before = spark.conf.get(adaptive)
         spark.conf.set(adaptive, "true")
-        changed = latest_versions(batch).persist()
         try:
-            self._write(changed, "versions", batch_id)
-            # At most BUCKETS numbers come to the driver.
-            buckets = [r[0] for r in changed.select(_bucket()).distinct().collect()]
-            if not buckets:
-                return
-            self._write(file_issues(changed, options=self.options), "file_issues", batch_id)
-            touched = changed.select("repo_id").distinct()
-            current = self.files(spark, batch_id, buckets).join(touched, "repo_id", "left_semi")
-            whole = repo_issues(current, options=self.options, advisories=self.advisories)
-            self._write(whole, "repo_issues", batch_id)
-            known = self.issues(spark, batch_id, buckets).join(touched, "repo_id", "left_semi")
-            self._write(
-                score_audit(current, known, options=self.options).scores, "scores", batch_id
-            )
-            plan = build_fix_plan(match_changed(known, changed), changed)
-            self._write(apply_fixes(changed, plan), "fixed", batch_id)
+            if not self.store.is_done(spark, batch_id):
+                self._refresh(spark, batch, batch_id)
         finally:
-            changed.unpersist()
             spark.conf.set(adaptive, before)
 
+    def _refresh(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
+        store = self.store
+        base = store.head(spark, batch_id)
+        store.write_segment(latest_versions(batch), "versions", batch_id)
+        changed = store.read_segments(spark, "versions", [batch_id])
+        touched = [r[0] for r in changed.select(store.bucket()).distinct().collect()]  # <= buckets
+        if not touched:
+            return
+        store.write_segment(file_issues(changed, options=self.options), "file_issues", batch_id)
+
+        # Pointers of the touched buckets: of two versions of a file the later time counts.
+        fresh = changed.select(
+            "repo_id", "path", "mtime", F.lit(batch_id).cast("long").alias("seen"), "segment",
+            outline().alias("outline"),
+        )
+        known = store.file_state(spark, base, touched)
+        store.write_state(latest_versions(known.unionByName(fresh), "mtime", "seen"), "files", batch_id)
+        now = Head(batch_id, {**base.snapshots, **{b: batch_id for b in touched}}, {})
+        pointers = store.file_state(spark, now, touched)
+        repos = changed.select("repo_id").distinct()
+        current = pointers.join(repos, "repo_id", "left_semi").select(
+            "repo_id", "path", F.col("outline").alias("content"), "mtime"
+        )
+        whole = repo_issues(current, options=self.options, advisories=self.advisories)
+        store.write_segment(whole, "repo_issues", batch_id)
+
+        live = sorted({*base.segments(touched), batch_id})
+        own = store.file_issues(spark, now, touched, live).join(repos, "repo_id", "left_semi")
+        whole = store.read_segments(spark, "repo_issues", [batch_id]).drop("segment")
+        scores = score_audit(current, own.unionByName(whole), options=self.options).scores
+        rest = store.repo_state(spark, base, touched).join(repos, "repo_id", "left_anti")
+        store.write_state(
+            rest.unionByName(scores.select(
+                "repo_id", F.lit(batch_id).cast("long").alias("segment"), "overall", "grade"
+            )),
+            "repos", batch_id,
+        )
+        # A version that came late and is not the current one is not fixed.
+        newest = pointers.where(F.col("segment") == batch_id).select("repo_id", "path")
+        edited = changed.join(newest, ["repo_id", "path"], "left_semi")
+        plan = build_fix_plan(match_changed(own, newest), edited)
+        store.write_segment(apply_fixes(edited, plan), "fixed", batch_id)
+        store.compact(spark, store.commit(spark, base, batch_id, batch_id, touched))
+        store.vacuum(spark)
+
 
 def stream_refresh(
     stream: DataFrame, refresh: Refresh, checkpoint: str, **trigger

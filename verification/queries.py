@@ -628,9 +628,9 @@ over_files(
     "packs_by_stack",
     f"WITH {rs.BASE}{_KNOWN_SQL.removeprefix(FILES_SQL)} "
     f"SELECT repo_id, rule, file, line, id FROM ({_PACK_UNION})",
-    lambda f: auditing.file_issues(f, ("security",), packs=frameworks.DETECTED).where(
-        F.col("ord.cat") >= 6
-    ).select("repo_id", "rule", "file", "line", "id"),
+    lambda f: auditing.file_issues(f, (), packs=frameworks.DETECTED).select(
+        "repo_id", "rule", "file", "line", "id"
+    ),
 )
 for _name, _groups, _run in (
     ("detect_test_frameworks", stack.TEST_FRAMEWORKS, stack.detect_test_frameworks),
@@ -1173,14 +1173,16 @@ query(
 
 @query(
     "match_changed",
-    f"""WITH {TEXT_SQL} SELECT id, description FROM issues JOIN (SELECT repo_id, path AS file
-      FROM files WHERE strlen(content) % 3 = 0) USING (repo_id, file)""",
+    f"""WITH {FIXED_SQL} SELECT id, description FROM issues JOIN (
+      SELECT repo_id, path AS file FROM fixed n JOIN files o USING (repo_id, path)
+      WHERE n.content IS DISTINCT FROM o.content) USING (repo_id, file)""",
 )
 def _match_changed(spark: SparkSession, sf: str) -> DataFrame:
-    """Issues of the files that a later version has changed."""
-    f = files(spark, sf)
-    changed = f.where(F.octet_length("content") % 3 == 0).select("repo_id", "path")
-    return watch.match_changed(text_issues(f), changed).select("id", "description")
+    """Issues of the files whose text differs between two versions, the second one being fixed."""
+    before = files(spark, sf)
+    after = fixes.apply_fixes(before, _changes(spark, sf)).withColumnRenamed("content", "new")
+    changed = before.join(after, ["repo_id", "path"]).where(~F.col("new").eqNullSafe(F.col("content")))
+    return watch.match_changed(issue_table(spark, sf), changed).select("id", "description")
 
 
 def _versions(spark: SparkSession, sf: str) -> str:
