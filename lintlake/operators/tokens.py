@@ -1,8 +1,8 @@
-"""Token table of TypeScript sources, and the rules that need more than a pattern.
+"""Tokens of TypeScript sources, and the rules that need more than a pattern.
 
-A file is cut into tokens by one native regex; depth, line and bracket partners are window
-functions over the file. The text is repartitioned by file once, before it is cut, and every
-window keeps that partitioning, so no token is ever shuffled.
+A file is cut into tokens by one native regex. Offsets, lines, bracket partners, function spans and
+names come from folds over the token array inside the file's row: nothing is shuffled, and a text
+meets only its own tokens.
 
 Limits: regex literals that hold quotes or brackets, object types as return annotation, and
 nested templates are read as plain tokens.
@@ -10,11 +10,12 @@ nested templates are read as plain tokens.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from lintlake.functions.folds import fold
 from lintlake.functions.text import any_of, ecma, let
 from lintlake.operators.catalogue import COMPLEXITY
-from lintlake.operators.issues import entry_of, union_all
+from lintlake.operators.issues import EVIDENCE_TYPE, entry_of, union_all
 from lintlake.operators.rules import Options
 from lintlake.sources.files import has_content
 
@@ -35,127 +36,123 @@ MAX_COMPLEXITY = 10
 _FILE = ("repo_id", "path")
 
 
-def spread_by_file(files: DataFrame) -> DataFrame:
-    """One shuffle of whole texts by file; all later steps keep this partitioning.
-
-    The number of partitions is the session's `spark.sql.shuffle.partitions`, given explicitly:
-    left to itself, adaptive execution would merge partitions by the size of the packed texts,
-    while each task works on many times as many tokens.
-    """
-    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.where(has_content()).select(*_FILE, "content").repartition(partitions, *_FILE)
-
-
 def typed_sources(
     files: DataFrame, options: Options = Options(), keep: Column | None = None
 ) -> DataFrame:
-    """Spread TypeScript sources.
-
-    `keep` drops files that cannot hold a finding. It is tested after the path and before the
-    shuffle, as cutting tokens costs far more than either.
-    """
+    """TypeScript sources. `keep` drops files that cannot hold a finding, before tokens are cut."""
     chosen = options.walk(("ts", "tsx"), tests=False)
-    return spread_by_file(files.where(chosen if keep is None else chosen & keep))
+    chosen = chosen if keep is None else chosen & keep
+    return files.where(has_content() & chosen).select(*_FILE, "content")
 
 
 def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def tokens(spread: DataFrame, whole: tuple[str, ...] = ("/*", "//", "\"", "'", "`")) -> DataFrame:
-    """`(repo_id, path, pos, tok, size, line_no, start)`; comments are single tokens.
+MARKS = ("/*", "//", "\"", "'", "`")
+_BLANK = "' \\t\\n\\u000b\\u000c\\r'"
 
-    `start` is the 0-based character offset and `size` the length. Comments and strings not named
-    in `whole` are cut to their first mark, so that long texts do not travel through windows.
-    """
-    raw, body = F.col("raw"), F.ltrim(F.col("raw"), F.lit(" \t\n\x0b\f\r"))
-    short = body
-    for mark in ("/*", "//", "\"", "'", "`"):
+
+def _in(value: str, words: tuple[str, ...]) -> str:
+    return f"{value} in (" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")"
+
+
+def _breaks(text: str) -> str:
+    return f"if(contains({text}, '\\n'), length({text}) - length(replace({text}, '\\n', '')), 0)"
+
+
+def _pieces() -> str:
+    """Matches of the column `raw` as the token, the length of the match and its line breaks."""
+    return (
+        f"transform(raw, x -> struct(trim(LEADING {_BLANK} FROM x) as t, length(x) as n, "
+        f"{_breaks('x')} as breaks))"
+    )
+
+
+def _token_fold(whole: tuple[str, ...], comments: bool) -> str:
+    """Tokens of the column `pieces` as `(pos, tok, size, line_no, start)`, with a comment in one
+    piece. Line and offset are running sums."""
+    cut = "x.t"
+    for mark in MARKS:
         if mark not in whole:
-            short = F.when(F.startswith(body, F.lit(mark)), F.lit(mark)).otherwise(short)
-    so_far = Window.partitionBy(*_FILE).orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+            shown = mark.replace("'", "\\'")
+            cut = f"if(startswith(x.t, '{shown}'), '{shown}', {cut})"
+    token = (
+        f"struct(a.pos as pos, {cut} as tok, length(x.t) as size, "
+        f"a.line + if(x.breaks = 0, 0, x.breaks - ({_breaks('x.t')})) as line_no, "
+        "a.off + x.n - length(x.t) as start)"
     )
-    return (
-        spread.select(
-            *_FILE,
-            F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), 0)).alias("pos", "raw"),
-        )
-        .select(
-            *_FILE, "pos", short.alias("tok"), F.length(body).alias("size"),
-            F.length(raw).alias("span"), _newlines(raw).alias("breaks"),
-            _newlines(body).alias("own"),
-        )
-        .select(
-            *_FILE, "pos", "tok", "size",
-            (1 + F.sum("breaks").over(so_far) - F.col("own")).cast("int").alias("line_no"),
-            (F.sum("span").over(so_far) - F.col("size")).cast("int").alias("start"),
-        )
+    code = "true" if comments else "not startswith(x.t, '//') and not startswith(x.t, '/*')"
+    return fold(
+        "pieces", {"pos": "0", "off": "0", "line": "1"},
+        {"pos": "a.pos + 1", "off": "a.off + x.n", "line": "a.line + x.breaks"},
+        "struct<pos:int,tok:string,size:int,line_no:int,start:int>", token, when=code,
     )
 
 
-def is_comment() -> Column:
-    return F.startswith("tok", F.lit("//")) | F.startswith("tok", F.lit("/*"))
+def _cut(sources: DataFrame, whole: tuple[str, ...], comments: bool, *keep: str) -> DataFrame:
+    """Sources with the array `code` of their tokens."""
+    rows = sources.select(
+        *_FILE, *keep, F.regexp_extract_all("content", F.lit(TOKEN), 0).alias("raw")
+    ).select(*_FILE, *keep, F.expr(_pieces()).alias("pieces"))
+    return rows.select(*_FILE, *keep, F.expr(_token_fold(whole, comments)).alias("code"))
 
 
-def _step(opening: str, closing: str) -> Column:
-    return F.when(F.col("tok") == opening, 1).when(F.col("tok") == closing, -1).otherwise(0)
+def _rows(rows: DataFrame, found: str | Column, key: str, *keep: str) -> DataFrame:
+    """The structs of an array as rows; `key` is a field that is never NULL.
 
+    An outer generator, as Spark would give a plain one a filter on the size of the array and push
+    that below the projections, where the folds would be computed again for every use of a column.
+    """
+    return rows.select(*_FILE, *keep, F.inline_outer(found)).where(F.col(key).isNotNull())
 
-def code_tokens(spread: DataFrame, whole: tuple[str, ...] = (), around: bool = False) -> DataFrame:
-    """Tokens without comments, with their neighbours and bracket levels.
 
-    `depth` counts all open brackets before the token. `kind` and `level` name a bracket's pair
-    group: partners are neighbours inside `(file, kind, level)`. `around` adds the tokens further
-    away as structs `b1`..`b4`.
+def tokens(sources: DataFrame, whole: tuple[str, ...] = MARKS) -> DataFrame:
+    """`(repo_id, path, pos, tok, size, line_no, start)`; comments are single tokens.
+
+    `start` is the 0-based character offset and `size` the length. Comments and strings not named
+    in `whole` are cut to their first mark.
     """
-    by_pos = Window.partitionBy(*_FILE).orderBy("pos")
-    upto = by_pos.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tok = F.col("tok")
-    opens = tok.isin("{", "(", "[")
-    kind = F.when(tok.isin("{", "}"), "{").when(tok.isin("(", ")"), "(").when(
-        tok.isin("[", "]"), "["
-    )
-    brackets = {"{": "}", "(": ")", "[": "]"}
-    sums = {f"d{k}": F.sum(_step(o, c)).over(upto) for k, (o, c) in enumerate(brackets.items())}
-    own = F.when(opens, 1).when(kind.isNotNull(), -1).otherwise(0)
-    here = F.when(kind == "{", F.col("d0")).when(kind == "(", F.col("d1")).otherwise(F.col("d2"))
-    near = {
-        "prev1": F.lag("tok", 1).over(by_pos),
-        "next1": F.lead("tok", 1).over(by_pos),
+    return _rows(_cut(sources, whole, True), "code", "pos")
+
+
+#: Bracket kinds: (opening, closing, state column of the open ones).
+_KINDS = (("{", "}", "curly"), ("(", ")", "round"), ("[", "]", "square"))
+_OPENS, _CLOSES = (tuple(k[i] for k in _KINDS) for i in (0, 1))
+
+
+def _stacks(entry: str, kind: str) -> tuple[dict[str, str], dict[str, str], str]:
+    """(first state, steps, top of the stack that a closing bracket closes) of one stack of open
+    brackets for each kind; a bracket that nothing opened closes nothing."""
+    state = {name: f"cast(array() as array<{kind}>)" for *_, name in _KINDS}
+    step = {
+        name: f"case when x.tok = '{o}' then array_append(a.{name}, {entry}) when x.tok = '{c}' "
+              f"and size(a.{name}) > 0 then slice(a.{name}, 1, size(a.{name}) - 1) else a.{name} end"
+        for o, c, name in _KINDS
     }
-    if around:
-        spot = F.struct("tok", "start", "line_no", (F.col("start") + F.col("size")).alias("stop"))
-        near |= {f"b{k}": F.lag(spot, k).over(by_pos) for k in (1, 2, 3, 4)}
-        near["next2"] = F.lead("tok", 2).over(by_pos)
-    return (
-        tokens(spread, whole)
-        .where(~is_comment())
-        .select(
-            "*", kind.alias("kind"), opens.alias("opens"),
-            *[v.alias(k) for k, v in (sums | near).items()],
-        )
-        .withColumn("depth", (F.col("d0") + F.col("d1") + F.col("d2") - own).cast("int"))
-        .withColumn("level", (here - opens.cast("int")).cast("int"))
-        .drop("d0", "d1", "d2")
-    )
+    top = "case " + " ".join(f"when x.tok = '{c}' then get(a.{name}, size(a.{name}) - 1)" for _, c, name in _KINDS) + " end"
+    return state, step, top
 
 
-def match_brackets(spread: DataFrame) -> DataFrame:
+def match_brackets(sources: DataFrame) -> DataFrame:
     """Every opening bracket with the position and line of its partner (NULL without one)."""
-    pair = Window.partitionBy(*_FILE, "kind", "level").orderBy("pos")
-    ahead = lambda c: F.when(~F.lead("opens").over(pair), F.lead(c).over(pair))
-    return (
-        code_tokens(spread)
-        .where(F.col("kind").isNotNull())
-        .select(
-            *_FILE, "kind", "opens",
-            F.col("pos").alias("open_pos"), F.col("line_no").alias("open_line"),
-            ahead("pos").alias("close_pos"), ahead("line_no").alias("close_line"),
-        )
-        .where("opens")
-        .drop("opens")
+    entry = "struct(x.pos as pos, x.line_no as line)"
+    state, step, top = _stacks(entry, "struct<pos:int,line:int>")
+    opened = {c: o for o, c, _ in _KINDS}
+    kind = "case " + " ".join(f"when x.tok = '{c}' then '{o}'" for c, o in opened.items()) + " end"
+    row = "struct<kind:string,open_pos:int,open_line:int,close_pos:int,close_line:int>"
+    pair = (
+        f"transform(array({top}), o -> struct({kind} as kind, o.pos as open_pos, o.line as open_line, "
+        "x.pos as close_pos, x.line_no as close_line))"
     )
+    open_still = ", ".join(
+        f"transform(b.{name}, o -> struct('{o}' as kind, o.pos as open_pos, o.line as open_line, "
+        "cast(null as int) as close_pos, cast(null as int) as close_line))"
+        for o, _, name in _KINDS
+    )
+    found = fold("marks", state, step, row, f"if(({top}) is null, null, {pair})", f"concat({open_still})")
+    brackets = F.expr(f"filter(code, t -> {_in('t.tok', _OPENS + _CLOSES)})")
+    return _rows(_cut(sources, (), False).select(*_FILE, brackets.alias("marks")), F.expr(found), "kind")
 
 
 # Words that may stand before `function` in a declaration, words that start a
@@ -165,105 +162,130 @@ STARTERS = (
     "const", "let", "var", "function", "export", "import", "class", "if", "for", "while",
     "return", "type", "interface", "switch", "throw", "try",
 )
+_NO_END = 2147483647
+_WORD = "'^[A-Za-z_$]'"
+_HEAD = "struct<kind:string,name:string,pos:int,start:int,line_no:int>"
+_SPAN = "struct<kind:string,name:string,pos:int,start:int,stop:int,line_no:int,end_line:int>"
 
 
-def function_spans(spread: DataFrame) -> DataFrame:
-    """Top-level function declarations and all arrow functions with their extent.
+def _marks() -> str:
+    """Brackets, separators, heads and statement starts of `code`, with what the fold needs of their
+    neighbours: the token before, and of a head where it starts unless at its parameters.
 
-    Columns: `repo_id, path, kind ('function'|'arrow'), name, pos, start, stop, line_no,
-    end_line`; `[start, stop)` are character offsets.
+    A declaration starts at its first modifier and follows a finished statement.
     """
-    by_pos = Window.partitionBy(*_FILE).orderBy("pos")
-    pair = Window.partitionBy(*_FILE, "kind", "level").orderBy("pos")
-    # Nearest following row of the same depth: a running frame over descending positions.
-    after = Window.partitionBy(*_FILE, "depth").orderBy(F.col("pos").desc()).rowsBetween(
-        Window.unboundedPreceding, -1
+    b = lambda k: f"get(code, i - {k})"
+    mod = lambda k: f"coalesce({_in(f'{b(k)}.tok', MODIFIERS)}, false)"
+    used = f"case when {mod(1)} and {mod(2)} and {mod(3)} then 3 when {mod(1)} and {mod(2)} then 2 when {mod(1)} then 1 else 0 end"
+    first, before = "get(code, i - u)", "get(code, i - u - 1)"
+    finished = (
+        f"({before} is null or {_in(f'{before}.tok', (';', '}'))} or "
+        f"({before}.line_no < {first}.line_no and {before}.tok rlike '[A-Za-z0-9_$)\\\\]\\'\"`]\\\\z'))"
     )
-    tok, opens = F.col("tok"), F.col("opens")
-    closes = F.col("kind").isNotNull() & ~opens
-    starter = tok.isin(*STARTERS) & (F.col("b1.line_no") < F.col("line_no"))
-    spot = F.struct("opens", "start", "line_no", (F.col("start") + F.col("size")).alias("stop"))
-    is_head = tok.isin("=>", "function")
-    # Only brackets, separators and heads go on; neighbours are already in the row.
-    marks = (
-        code_tokens(spread, around=True)
-        .where(F.col("kind").isNotNull() | tok.isin("=>", "function", ",", ";") | starter)
-        .select(
-            *_FILE, "pos", "tok", "start", "line_no", "depth", "opens", "kind", "b1",
-            *[F.when(is_head, F.col(c)).alias(c) for c in ("b2", "b3", "b4", "next1", "next2")],
-            (closes | tok.isin(",", ";") | starter).alias("ends"),
-            F.when(opens, F.lead(spot).over(pair)).alias("fwd"),
-            F.when(closes, F.lag(spot).over(pair)).alias("bwd"),
-        )
-        .withColumns({
-            "fwd": F.when(~F.col("fwd.opens"), F.col("fwd")),
-            "bwd": F.when(F.col("bwd.opens"), F.col("bwd")),
-        })
+    name = "if(get(code, i + 1).tok = '*', get(code, i + 2).tok, get(code, i + 1).tok)"
+    named = f"if(coalesce({name} rlike {_WORD}, false), {name}, 'anonymous')"
+    declared = (
+        f"get(transform(array({used}), u -> if({finished}, struct('function' as kind, {named} as name, "
+        f"t.pos as pos, {first}.start as start, {first}.line_no as line_no), null)), 0)"
     )
-    body = (tok == "{") & F.col("fwd").isNotNull()
-    nearest = lambda cond, c: F.last(F.when(cond, c), ignorenulls=True).over(after)
-    heads = (
-        marks.select(
-            *_FILE, "pos", "tok", "start", "line_no", "depth", "b1", "b2", "b3", "b4",
-            "next1", "next2", "ends", "fwd",
-            F.lag("bwd").over(by_pos).alias("params"),
-            F.lead("fwd").over(by_pos).alias("block"),
-        )
-        .select(
-            *_FILE, "pos", "tok", "start", "line_no", "depth", "b1", "b2", "b3", "b4",
-            "next1", "next2", "params", "block",
-            nearest(F.col("ends"), F.col("b1")).alias("end"),
-            nearest(body, F.struct("pos", "fwd")).alias("body"),
-            nearest(tok == ";", F.col("pos")).alias("semi"),
-        )
-        .where(is_head)
+    arrow = (
+        f"if(i > 0, struct('arrow' as kind, 'anonymous' as name, t.pos as pos, {b(1)}.start as start, "
+        f"{b(1)}.line_no as line_no), null)"
     )
-
-    # A declaration starts at its first modifier and follows a finished statement.
-    mod = lambda k: F.coalesce(F.col(f"b{k}.tok").isin(*MODIFIERS), F.lit(False))
-    used = F.when(mod(1) & mod(2) & mod(3), 3).when(mod(1) & mod(2), 2).when(mod(1), 1).otherwise(0)
-    first = lambda field: F.when(used == 3, F.col(f"b3.{field}")).when(
-        used == 2, F.col(f"b2.{field}")
-    ).when(used == 1, F.col(f"b1.{field}")).otherwise(F.col(field))
-    lead_in = F.when(used == 3, F.col("b4")).when(used == 2, F.col("b3")).when(
-        used == 1, F.col("b2")
-    ).otherwise(F.col("b1"))
-    finished = (
-        lead_in.isNull()
-        | lead_in["tok"].isin(";", "}")
-        | ((lead_in["line_no"] < first("line_no"))
-           & lead_in["tok"].rlike(r"[A-Za-z0-9_$)\]'\"`]\z"))
+    closed = (
+        f"{b(1)}.tok = ')' or ({b(1)}.tok rlike {_WORD} and {b(2)}.tok = ':' and {b(3)}.tok = ')')"
     )
-    declared = (
-        (tok == "function") & (F.col("depth") == 0) & finished & F.col("body").isNotNull()
-        & (F.col("semi").isNull() | (F.col("semi") > F.col("body.pos")))
+    starts = f"{_in('t.tok', STARTERS)} and {b(1)}.line_no < t.line_no"
+    mark = (
+        "struct(t.tok as tok, t.start as start, t.line_no as line_no, t.start + t.size as stop, "
+        f"coalesce({_in('t.tok', (*_CLOSES, ',', ';'))} or ({starts}), false) as ends, "
+        f"{b(1)}.start + {b(1)}.size as last_stop, {b(1)}.line_no as last_line, "
+        f"if(t.tok = '=>', {arrow}, if(t.tok = 'function', {declared}, null)) as head, "
+        f"t.tok = '=>' and coalesce({closed}, false) as closed, "
+        f"t.tok = '=>' and coalesce({_in('get(code, i + 1).tok', ('{', '('))}, false) as block)"
+    )
+    wanted = f"{_in('t.tok', (*_OPENS, *_CLOSES, ',', ';', '=>', 'function'))} or coalesce({starts}, false)"
+    return f"array_compact(transform(code, (t, i) -> if({wanted}, {mark}, null)))"
+
+
+def _span(head: str, stop: str, end_line: str) -> str:
+    return (
+        f"struct({head}.kind as kind, {head}.name as name, {head}.pos as pos, {head}.start as start, "
+        f"{stop} as stop, {head}.line_no as line_no, {end_line} as end_line)"
     )
-    word = r"^[A-Za-z_$]"
-    name = F.when(F.col("next1") == "*", F.col("next2")).otherwise(F.col("next1"))
 
-    # Parameters end right before the arrow, or before a one-word return type.
-    closed = (F.col("b1.tok") == ")") | (
-        F.col("b1.tok").rlike(word) & (F.col("b2.tok") == ":") & (F.col("b3.tok") == ")")
+
+def _function_fold() -> str:
+    """Spans out of the column `marks`, by one fold with a stack of open brackets for each kind.
+
+    An opening bracket carries the heads whose body it is: the arrow right before it, and for a
+    brace outside all brackets the declarations that wait for one. Other arrows wait for the next
+    separator, closing bracket or statement start at their depth. A semicolon outside all brackets
+    ends declarations without a body.
+    """
+    bodies = "if(a.depth = 0 and x.tok = '{', a.declared, slice(a.declared, 1, 0))"
+    heads = f"concat(if(a.block is null, slice(a.declared, 1, 0), array(a.block)), {bodies})"
+    entry = f"struct(x.start as start, x.line_no as line_no, {heads} as heads)"
+    state, step, top = _stacks(entry, f"struct<start:int,line_no:int,heads:array<{_HEAD}>>")
+    opener = "struct<start:int,line_no:int>"
+    state |= {
+        "depth": "0",
+        "params": f"cast(null as {opener})",  # opening partner of the mark before
+        "block": f"cast(null as {_HEAD})",  # arrow whose block the next mark opens
+        "declared": f"cast(array() as array<{_HEAD}>)",
+        "waiting": f"cast(array() as array<struct<depth:int,head:{_HEAD}>>)",
+    }
+    head = (
+        "if(x.closed and a.params is not null, struct(x.head.kind as kind, x.head.name as name, "
+        "x.head.pos as pos, a.params.start as start, a.params.line_no as line_no), x.head)"
+    )
+    left = "if(x.ends, filter(a.waiting, w -> w.depth != a.depth), a.waiting)"
+    step |= {
+        "depth": f"a.depth + case when {_in('x.tok', _OPENS)} then 1 when {_in('x.tok', _CLOSES)} then -1 else 0 end",
+        "params": f"transform(array({top}), o -> if(o is null, null, struct(o.start as start, o.line_no as line_no)))[0]",
+        "block": f"if(x.block and x.head is not null, {head}, null)",
+        "declared": (
+            "case when a.depth != 0 then a.declared when x.tok in ('{', ';') then slice(a.declared, 1, 0) "
+            "when x.tok = 'function' and x.head is not null then array_append(a.declared, x.head) else a.declared end"
+        ),
+        "waiting": (
+            "case when x.tok = '=>' and not x.block and x.head is not null then "
+            f"array_append(a.waiting, struct(a.depth as depth, {head} as head)) else {left} end"
+        ),
+    }
+    ended = f"transform(filter(a.waiting, w -> w.depth = a.depth), w -> {_span('w.head', 'x.last_stop', 'x.last_line')})"
+    closed = f"transform(({top}).heads, h -> {_span('h', 'x.stop', 'x.line_no')})"
+    none = f"cast(array() as array<{_SPAN}>)"
+    out = (
+        f"if(x.ends, concat(if(size(a.waiting) > 0, {ended}, {none}), "
+        f"if({_in('x.tok', _CLOSES)}, coalesce({closed}, {none}), {none})), null)"
     )
-    block = F.col("next1").isin("{", "(") & F.col("block").isNotNull()
-    arrow = tok == "=>"
-    head = lambda field: F.coalesce(
-        F.when(closed, F.col(f"params.{field}")), F.col(f"b1.{field}")
+    to_end = lambda h: _span(h, str(_NO_END), f"{h}.line_no")
+    open_still = ", ".join(
+        f"flatten(transform(b.{name}, o -> transform(filter(o.heads, h -> h.kind = 'arrow'), h -> {to_end('h')})))"
+        for *_, name in _KINDS
     )
-    return heads.where((arrow & F.col("b1").isNotNull()) | declared).select(
-        *_FILE,
-        F.when(arrow, "arrow").otherwise("function").alias("kind"),
-        F.when(~arrow & name.rlike(word), name).otherwise("anonymous").alias("name"),
-        "pos",
-        F.when(arrow, head("start")).otherwise(first("start")).alias("start"),
-        F.when(~arrow, F.col("body.fwd.stop"))
-        .when(block, F.col("block.stop"))
-        .otherwise(F.coalesce("end.stop", F.lit(2147483647))).alias("stop"),
-        F.when(arrow, head("line_no")).otherwise(first("line_no")).alias("line_no"),
-        F.when(~arrow, F.col("body.fwd.line_no"))
-        .when(block, F.col("block.line_no"))
-        .otherwise(F.coalesce("end.line_no", "line_no")).alias("end_line"),
+    rest = (
+        f"concat(transform(b.waiting, w -> {to_end('w.head')}), "
+        f"if(b.block is null, {none}, array({to_end('b.block')})), {open_still})"
     )
+    return fold("marks", state, step, _SPAN, out, rest)
+
+
+def _with_spans(sources: DataFrame, *keep: str) -> DataFrame:
+    """Sources with the array `spans`."""
+    return _cut(sources, (), False, *keep).select(
+        *_FILE, *keep, F.expr(_marks()).alias("marks")
+    ).select(*_FILE, *keep, F.expr(_function_fold()).alias("spans"))
+
+
+def function_spans(sources: DataFrame) -> DataFrame:
+    """Top-level function declarations and all arrow functions with their extent.
+
+    Columns: `repo_id, path, kind ('function'|'arrow'), name, pos, start, stop, line_no,
+    end_line`; `[start, stop)` are character offsets.
+    """
+    return _rows(_with_spans(sources), "spans", "kind")
 
 
 def complexity_of(text: Column) -> Column:
@@ -286,13 +308,10 @@ def may_hold_finding() -> Column:
 def measured_functions(
     files: DataFrame, options: Options = Options(), keep: Column | None = None
 ) -> DataFrame:
-    """Function spans with line count and complexity.
-
-    The text comes back by a join on the file; both sides share the one shuffle of the texts.
-    """
-    spread = typed_sources(files, options, keep)
+    """Function spans with line count and complexity; the text is in the row with them."""
     text = F.expr("substring(content, start + 1, stop - start)")
-    return function_spans(spread).join(spread, list(_FILE)).select(
+    rows = _with_spans(typed_sources(files, options, keep), "content")
+    return _rows(rows, "spans", "kind", "content").select(
         *_FILE, "kind", "name", "pos", "line_no", "end_line",
         (F.col("end_line") - F.col("line_no") + 1).alias("n_lines"),
         complexity_of(text).alias("complexity"),
@@ -325,65 +344,85 @@ def function_evidence(files: DataFrame, options: Options = Options()) -> DataFra
 IDENT = r"[A-Za-z_$][A-Za-z0-9_$]*"
 
 
-def unused_evidence(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """Top-level variables whose name occurs once in the file.
+_NAME = "struct<name:string,pos:int,declares:boolean>"
+_DECLARING = ("const", "let", "var")
 
-    Every declarator of a statement counts, and every name that a destructuring pattern binds: names
-    after `{`, `[`, `,`, `:` or `...` in the brackets of the pattern, but for keys before a colon and
-    default values. Commas inside a type annotation declare nothing. Names inside `${...}` of a
-    template count as uses. One aggregation per file and name; it runs on the partitioning of the
-    texts.
+
+def _name_fold() -> str:
+    """Every name in the column `marks`, with whether it stands where a top-level variable is
+    declared.
+
+    The state tells the depth; whether a declaration or something else began last; whether the
+    declarator is at its value or its type; and whether the open brackets are a pattern.
     """
-    words = ("const", "let", "var")
-    order = Window.partitionBy(*_FILE).orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    declaring = any_of(*[F.contains("content", F.lit(w)) for w in words])
-    spread = typed_sources(files, options, declaring)
-    tok = F.col("tok")
-    holes = F.regexp_extract_all("tok", F.lit(r"\$\{([^}]*)\}"), 1)
-    inside = F.flatten(F.transform(holes, lambda h: F.regexp_extract_all(h, F.lit(IDENT), 0)))
-    names = F.when(tok.startswith("`"), inside).when(
-        tok.rlike(r"^[A-Za-z_$]"), F.array(tok)
+    top = "a.depth = 0"
+    inside = (
+        f"case when {top} and {_in('x.tok', _DECLARING)} then 'd' "
+        f"when {top} and {_in('x.tok', (';', *STARTERS))} then 's' else a.inside end"
     )
-    top, prev = F.col("depth") == 0, F.col("prev1")
-    # What the last token of each kind was: a declaration or the start of something else; the
-    # separator, type mark or value of a declarator; an opened pattern.
-    inside = F.when(top & tok.isin(*words), "d").when(top & tok.isin(";", *STARTERS), "s")
-    phase = F.when(top & tok.isin(*words, "="), "v").when(
-        top & (tok == ":") & F.col("prev2").isin(*words, ","), "t"
+    phase = (
+        f"case when {top} and {_in('x.tok', (*_DECLARING, '='))} then 'v' "
+        f"when {top} and x.tok = ':' and {_in('x.prev2', (*_DECLARING, ','))} then 't' else a.phase end"
     )
-    marked = (
-        code_tokens(spread, whole=("`",))
-        .withColumn("prev2", F.lag("tok", 2).over(order))
-        .withColumns({
-            "inside": F.last(inside, ignorenulls=True).over(upto),
-            "phase": F.last(phase, ignorenulls=True).over(before),
-        })
+    starts = (
+        f"coalesce({_in('x.prev1', _DECLARING)} or (x.prev1 = ',' and ({inside}) = 'd' and a.phase = 'v'), false)"
     )
-    starts = prev.isin(*words) | (
-        (prev == ",") & (F.col("inside") == "d") & (F.col("phase") == "v")
-    )
-    opened = F.when(top, F.when(tok.isin("{", "[") & starts, "p").otherwise("x"))
-    marked = marked.withColumn("pattern", F.last(opened, ignorenulls=True).over(upto))
+    pattern = f"case when {top} then if({_in('x.tok', ('{', '['))} and {starts}, 'p', 'x') else a.pattern end"
     bound = (
-        (F.col("depth") > 0) & (F.col("pattern") == "p") & F.coalesce(F.col("next1") != ":", F.lit(True))
-        & (prev.isin("{", "[", ",", ":") | ((prev == ".") & (F.col("prev2") == ".")))
+        f"(a.depth > 0 and a.pattern = 'p' and coalesce(x.next1 != ':', true) and "
+        f"({_in('x.prev1', ('{', '[', ',', ':'))} or (x.prev1 = '.' and x.prev2 = '.')))"
     )
-    declares = F.coalesce(
-        ((top & starts & ~tok.isin(*words)) | bound) & tok.rlike(r"^[A-Za-z_$]"), F.lit(False)
+    declares = f"coalesce(({top} and {starts} and not {_in('x.tok', _DECLARING)}) or {bound}, false)"
+    row = f"struct(x.tok as name, x.pos as pos, {declares} as declares)"
+    state = {"depth": "0", "inside": "'s'", "phase": "''", "pattern": "'x'"}
+    step = {
+        "depth": f"a.depth + case when {_in('x.tok', _OPENS)} then 1 when {_in('x.tok', _CLOSES)} then -1 else 0 end",
+        "inside": inside, "phase": phase, "pattern": pattern,
+    }
+    return fold("marks", state, step, _NAME, row, when=f"x.tok rlike {_WORD}")
+
+
+def _names(sources: DataFrame) -> DataFrame:
+    """Sources with `raw`, the matches of the token pattern, and `names`: every name in the text as
+    `(name, pos, declares)`, by name."""
+    raw = sources.select(*_FILE, F.regexp_extract_all("content", F.lit(TOKEN), 0).alias("raw"))
+    body = f"transform(raw, (x, i) -> struct(trim(LEADING {_BLANK} FROM x) as tok, i as pos))"
+    code = raw.select(*_FILE, "raw", F.expr(
+        f"filter({body}, t -> not startswith(t.tok, '//') and not startswith(t.tok, '/*'))"
+    ).alias("code"))
+    near = F.expr(
+        "transform(code, (t, i) -> struct(t.tok as tok, t.pos as pos, get(code, i - 1).tok as prev1, "
+        "get(code, i - 2).tok as prev2, get(code, i + 1).tok as next1))"
     )
-    return (
-        marked
-        .select(*_FILE, "pos", "line_no", declares.alias("declares"), F.explode(names).alias("name"))
-        .groupBy(*_FILE, "name")
-        .agg(
-            F.count("*").alias("uses"),
-            F.min(F.when(F.col("declares"), F.col("line_no"))).alias("line"),
-            F.min("pos").alias("k1"),
-        )
-        .where((F.col("uses") == 1) & F.col("line").isNotNull() & ~F.col("name").startswith("_"))
-        .select(*_FILE, entry_of("no-unused-vars").alias("entry"), "line", "name", "k1")
+    holes = F.expr(
+        "flatten(transform(filter(code, t -> startswith(t.tok, '`')), t -> flatten(transform("
+        "regexp_extract_all(t.tok, '\\\\$\\\\{([^}]*)\\\\}', 1), h -> transform("
+        f"regexp_extract_all(h, '{IDENT}', 0), n -> struct(n as name, t.pos as pos, false as declares))))))"
+    )
+    rows = code.select(*_FILE, "raw", near.alias("marks"), holes.alias("holes"))
+    return rows.select(*_FILE, "raw", F.sort_array(F.concat(F.expr(_name_fold()), "holes")).alias("names"))
+
+
+def unused_evidence(files: DataFrame, options: Options = Options()) -> DataFrame:
+    """Top-level variables whose name occurs once in the file.
+
+    Every declarator of a statement counts, and every name that a destructuring pattern binds: names
+    after `{`, `[`, `,`, `:` or `...` in the brackets of the pattern, but for keys before a colon and
+    default values. Commas inside a type annotation declare nothing. Names inside `${...}` of a
+    template count as uses. A name that occurs once has other neighbours in the sorted names of its
+    file, so no name is looked up.
+    """
+    declaring = any_of(*[F.contains("content", F.lit(w)) for w in _DECLARING])
+    once = F.expr(
+        "filter(names, (x, i) -> x.declares and not startswith(x.name, '_') "
+        "and not coalesce(get(names, i - 1).name = x.name, false) "
+        "and not coalesce(get(names, i + 1).name = x.name, false))"
+    )
+    # The line is counted for findings only: line breaks up to the token, which is on one line.
+    before = _newlines(F.array_join(F.slice("raw", 1, F.col("pos") + 1), ""))
+    return _rows(_names(typed_sources(files, options, declaring)), once, "name", "raw").select(
+        *_FILE, entry_of("no-unused-vars").alias("entry"), (before + 1).cast("int").alias("line"),
+        "name", F.col("pos").alias("k1"),
     )
 
 
