@@ -141,10 +141,10 @@ def apply_line_rules(
     rows = flagged.select("repo_id", "path", F.inline(F.flatten(F.transform("lines", on_line))))
     line, i = F.col("line"), F.col("i")
     entry = F.col("entry")
-    pick = lambda attr, kind: _by_entry(
+    pick = lambda attr, kind: by_entry(
         entry, {r.kind: getattr(r, attr)(line) for r in rules if getattr(r, attr)}, kind
     )
-    k2 = _by_entry(entry, {r.kind: F.lit(r.k2) for r in rules if r.k2}, "int")
+    k2 = by_entry(entry, {r.kind: F.lit(r.k2) for r in rules if r.k2}, "int")
     return rows.select(
         "repo_id", "path", "entry",
         (i + 1).alias("line"),
@@ -156,7 +156,7 @@ def apply_line_rules(
     )
 
 
-def _by_entry(entry: Column, values: dict[str, Column], kind: str) -> Column:
+def by_entry(entry: Column, values: dict[str, Column], kind: str) -> Column:
     out = F.lit(None).cast(kind)
     for key, value in values.items():
         out = F.when(entry == INDEX[key], value.cast(kind)).otherwise(out)

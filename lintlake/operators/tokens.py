@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lintlake.functions.folds import fold
+from lintlake.functions.folds import PART, fold, parts
 from lintlake.functions.text import any_of, ecma, let
 from lintlake.operators.catalogue import COMPLEXITY
-from lintlake.operators.issues import EVIDENCE_TYPE, entry_of, union_all
+from lintlake.operators.issues import evidence, found, union_all
 from lintlake.operators.rules import Options
 from lintlake.sources.files import has_content
 
@@ -90,12 +90,23 @@ def _token_fold(whole: tuple[str, ...], comments: bool) -> str:
     )
 
 
-def _cut(sources: DataFrame, whole: tuple[str, ...], comments: bool, *keep: str) -> DataFrame:
+def _cut(sources: DataFrame, whole: tuple[str, ...], comments: bool) -> DataFrame:
     """Sources with the array `code` of their tokens."""
-    rows = sources.select(
-        *_FILE, *keep, F.regexp_extract_all("content", F.lit(TOKEN), 0).alias("raw")
-    ).select(*_FILE, *keep, F.expr(_pieces()).alias("pieces"))
-    return rows.select(*_FILE, *keep, F.expr(_token_fold(whole, comments)).alias("code"))
+    rows = sources.select(*_FILE, matches().alias("raw")).select(
+        *_FILE, F.expr(_pieces()).alias("pieces")
+    )
+    return rows.select(*_FILE, F.expr(_token_fold(whole, comments)).alias("code"))
+
+
+def matches() -> Column:
+    """What the token pattern matches in a text, one piece after the other."""
+    return F.regexp_extract_all("content", F.lit(TOKEN), 0)
+
+
+def code_of() -> Column:
+    """Tokens of the column `raw` without comments, as `(tok, pos)`; `pos` is the place in `raw`."""
+    body = f"transform(raw, (x, i) -> struct(trim(LEADING {_BLANK} FROM x) as tok, i as pos))"
+    return F.expr(f"filter({body}, t -> not startswith(t.tok, '//') and not startswith(t.tok, '/*'))")
 
 
 def _rows(rows: DataFrame, found: str | Column, key: str, *keep: str) -> DataFrame:
@@ -164,85 +175,87 @@ STARTERS = (
 )
 _NO_END = 2147483647
 _WORD = "'^[A-Za-z_$]'"
-_HEAD = "struct<kind:string,name:string,pos:int,start:int,line_no:int>"
-_SPAN = "struct<kind:string,name:string,pos:int,start:int,stop:int,line_no:int,end_line:int>"
+_HEAD = "struct<kind:string,name:string,pos:int,first:int>"
+_FOUND = "struct<kind:string,name:string,pos:int,first:int,last:int,closes:boolean>"
 
 
-def _marks() -> str:
+def function_marks() -> Column:
     """Brackets, separators, heads and statement starts of `code`, with what the fold needs of their
-    neighbours: the token before, and of a head where it starts unless at its parameters.
+    neighbours: the token before, and of a head the one that it begins with unless that is its
+    parameters. Places are those in `raw`.
 
     A declaration starts at its first modifier and follows a finished statement.
     """
     b = lambda k: f"get(code, i - {k})"
+    # Whether a line ends from the start of one token to that of a later one.
+    broken = lambda x, y: (
+        f"(contains({x}.tok, '\\n') or exists(sequence({x}.pos + 1, {y}.pos), k -> contains(get(raw, k), '\\n')))"
+    )
     mod = lambda k: f"coalesce({_in(f'{b(k)}.tok', MODIFIERS)}, false)"
     used = f"case when {mod(1)} and {mod(2)} and {mod(3)} then 3 when {mod(1)} and {mod(2)} then 2 when {mod(1)} then 1 else 0 end"
     first, before = "get(code, i - u)", "get(code, i - u - 1)"
     finished = (
         f"({before} is null or {_in(f'{before}.tok', (';', '}'))} or "
-        f"({before}.line_no < {first}.line_no and {before}.tok rlike '[A-Za-z0-9_$)\\\\]\\'\"`]\\\\z'))"
+        f"({before}.tok rlike '^[A-Za-z0-9_$)\\\\]\\'\"`]' and {broken(before, first)}))"
     )
     name = "if(get(code, i + 1).tok = '*', get(code, i + 2).tok, get(code, i + 1).tok)"
     named = f"if(coalesce({name} rlike {_WORD}, false), {name}, 'anonymous')"
     declared = (
         f"get(transform(array({used}), u -> if({finished}, struct('function' as kind, {named} as name, "
-        f"t.pos as pos, {first}.start as start, {first}.line_no as line_no), null)), 0)"
-    )
-    arrow = (
-        f"if(i > 0, struct('arrow' as kind, 'anonymous' as name, t.pos as pos, {b(1)}.start as start, "
-        f"{b(1)}.line_no as line_no), null)"
+        f"t.pos as pos, {first}.pos as first), null)), 0)"
     )
+    arrow = f"if(i > 0, struct('arrow' as kind, 'anonymous' as name, t.pos as pos, {b(1)}.pos as first), null)"
     closed = (
         f"{b(1)}.tok = ')' or ({b(1)}.tok rlike {_WORD} and {b(2)}.tok = ':' and {b(3)}.tok = ')')"
     )
-    starts = f"{_in('t.tok', STARTERS)} and {b(1)}.line_no < t.line_no"
+    starts = f"({_in('t.tok', STARTERS)} and i > 0 and {broken(b(1), 't')})"
     mark = (
-        "struct(t.tok as tok, t.start as start, t.line_no as line_no, t.start + t.size as stop, "
-        f"coalesce({_in('t.tok', (*_CLOSES, ',', ';'))} or ({starts}), false) as ends, "
-        f"{b(1)}.start + {b(1)}.size as last_stop, {b(1)}.line_no as last_line, "
+        "struct(t.tok as tok, t.pos as pos, "
+        f"({_in('t.tok', (*_CLOSES, ',', ';'))} or {starts}) as ends, {b(1)}.pos as last, "
         f"if(t.tok = '=>', {arrow}, if(t.tok = 'function', {declared}, null)) as head, "
         f"t.tok = '=>' and coalesce({closed}, false) as closed, "
         f"t.tok = '=>' and coalesce({_in('get(code, i + 1).tok', ('{', '('))}, false) as block)"
     )
-    wanted = f"{_in('t.tok', (*_OPENS, *_CLOSES, ',', ';', '=>', 'function'))} or coalesce({starts}, false)"
-    return f"array_compact(transform(code, (t, i) -> if({wanted}, {mark}, null)))"
+    wanted = f"{_in('t.tok', (*_OPENS, *_CLOSES, ',', ';', '=>', 'function'))} or {starts}"
+    return F.expr(f"array_compact(transform(code, (t, i) -> if({wanted}, {mark}, null)))")
 
 
-def _span(head: str, stop: str, end_line: str) -> str:
+def _found(head: str, last: str, closes: str) -> str:
     return (
-        f"struct({head}.kind as kind, {head}.name as name, {head}.pos as pos, {head}.start as start, "
-        f"{stop} as stop, {head}.line_no as line_no, {end_line} as end_line)"
+        f"struct({head}.kind as kind, {head}.name as name, {head}.pos as pos, {head}.first as first, "
+        f"{last} as last, {closes} as closes)"
     )
 
 
-def _function_fold() -> str:
-    """Spans out of the column `marks`, by one fold with a stack of open brackets for each kind.
+def function_fold() -> Column:
+    """Functions in the column `marks` by their first and last token, in one fold with a stack of
+    open brackets for each kind.
 
     An opening bracket carries the heads whose body it is: the arrow right before it, and for a
     brace outside all brackets the declarations that wait for one. Other arrows wait for the next
-    separator, closing bracket or statement start at their depth. A semicolon outside all brackets
-    ends declarations without a body.
+    separator, closing bracket or statement start at their depth; without one they go on to the
+    end. A semicolon outside all brackets ends declarations without a body.
     """
     bodies = "if(a.depth = 0 and x.tok = '{', a.declared, slice(a.declared, 1, 0))"
     heads = f"concat(if(a.block is null, slice(a.declared, 1, 0), array(a.block)), {bodies})"
-    entry = f"struct(x.start as start, x.line_no as line_no, {heads} as heads)"
-    state, step, top = _stacks(entry, f"struct<start:int,line_no:int,heads:array<{_HEAD}>>")
-    opener = "struct<start:int,line_no:int>"
+    state, step, top = _stacks(
+        f"struct(x.pos as pos, {heads} as heads)", f"struct<pos:int,heads:array<{_HEAD}>>"
+    )
     state |= {
         "depth": "0",
-        "params": f"cast(null as {opener})",  # opening partner of the mark before
+        "params": "cast(null as int)",  # opening partner of the mark before
         "block": f"cast(null as {_HEAD})",  # arrow whose block the next mark opens
         "declared": f"cast(array() as array<{_HEAD}>)",
         "waiting": f"cast(array() as array<struct<depth:int,head:{_HEAD}>>)",
     }
     head = (
         "if(x.closed and a.params is not null, struct(x.head.kind as kind, x.head.name as name, "
-        "x.head.pos as pos, a.params.start as start, a.params.line_no as line_no), x.head)"
+        "x.head.pos as pos, a.params as first), x.head)"
     )
-    left = "if(x.ends, filter(a.waiting, w -> w.depth != a.depth), a.waiting)"
+    left = "if(x.ends and size(a.waiting) > 0, filter(a.waiting, w -> w.depth != a.depth), a.waiting)"
     step |= {
         "depth": f"a.depth + case when {_in('x.tok', _OPENS)} then 1 when {_in('x.tok', _CLOSES)} then -1 else 0 end",
-        "params": f"transform(array({top}), o -> if(o is null, null, struct(o.start as start, o.line_no as line_no)))[0]",
+        "params": f"({top}).pos",
         "block": f"if(x.block and x.head is not null, {head}, null)",
         "declared": (
             "case when a.depth != 0 then a.declared when x.tok in ('{', ';') then slice(a.declared, 1, 0) "
@@ -253,14 +266,14 @@ def _function_fold() -> str:
             f"array_append(a.waiting, struct(a.depth as depth, {head} as head)) else {left} end"
         ),
     }
-    ended = f"transform(filter(a.waiting, w -> w.depth = a.depth), w -> {_span('w.head', 'x.last_stop', 'x.last_line')})"
-    closed = f"transform(({top}).heads, h -> {_span('h', 'x.stop', 'x.line_no')})"
-    none = f"cast(array() as array<{_SPAN}>)"
+    none = f"cast(array() as array<{_FOUND}>)"
+    ended = f"transform(filter(a.waiting, w -> w.depth = a.depth), w -> {_found('w.head', 'x.last', 'false')})"
+    closed = f"transform(({top}).heads, h -> {_found('h', 'x.pos', 'true')})"
     out = (
         f"if(x.ends, concat(if(size(a.waiting) > 0, {ended}, {none}), "
         f"if({_in('x.tok', _CLOSES)}, coalesce({closed}, {none}), {none})), null)"
     )
-    to_end = lambda h: _span(h, str(_NO_END), f"{h}.line_no")
+    to_end = lambda h: _found(h, "-1", "false")
     open_still = ", ".join(
         f"flatten(transform(b.{name}, o -> transform(filter(o.heads, h -> h.kind = 'arrow'), h -> {to_end('h')})))"
         for *_, name in _KINDS
@@ -269,14 +282,47 @@ def _function_fold() -> str:
         f"concat(transform(b.waiting, w -> {to_end('w.head')}), "
         f"if(b.block is null, {none}, array({to_end('b.block')})), {open_still})"
     )
-    return fold("marks", state, step, _SPAN, out, rest)
+    return F.expr(fold("marks", state, step, _FOUND, out, rest))
+
+
+def offsets() -> Column:
+    """Characters and line breaks before every PART-th piece of `raw`."""
+    text = "array_join(p, '')"
+    return F.expr(
+        f"aggregate({parts('raw')}, struct(0 as off, 0 as line, cast(array() as array<struct<off:int,line:int>>) as found), "
+        f"(a, p) -> struct(a.off + length({text}) as off, a.line + {_breaks(text)} as line, "
+        "array_append(a.found, struct(a.off as off, a.line as line)) as found), a -> a.found)"
+    )
+
+
+def spans_of() -> Column:
+    """Functions of the column `found` with character offsets and lines, from `raw` and `offsets`.
+
+    A token's offset is that of its part and the lengths of the pieces before it in the part; only
+    tokens that begin or end a function are looked up.
+    """
+    near = lambda p: (
+        f"if({p} % {PART} = 0, '', array_join(transform(sequence({p} - {p} % {PART}, {p} - 1), k -> get(raw, k)), ''))"
+    )
+    base = lambda p: f"get(offsets, cast({p} div {PART} as int))"
+    blank = lambda p: f"left(get(raw, {p}), length(get(raw, {p})) - length(trim(LEADING {_BLANK} FROM get(raw, {p}))))"
+    text = lambda p: f"concat({near(p)}, {blank(p)})"
+    line = lambda p: f"1 + {base(p)}.line + {_breaks(text(p))}"
+    return F.expr(
+        "transform(found, f -> struct(f.kind as kind, f.name as name, f.pos as pos, "
+        f"{base('f.first')}.off + length({text('f.first')}) as start, "
+        f"if(f.last < 0, {_NO_END}, {base('f.last')}.off + length({near('f.last')}) + length(get(raw, f.last))) as stop, "
+        f"{line('f.first')} as line_no, "
+        f"if(f.last < 0, {line('f.first')}, {line('f.last')}) as end_line))"
+    )
 
 
 def _with_spans(sources: DataFrame, *keep: str) -> DataFrame:
     """Sources with the array `spans`."""
-    return _cut(sources, (), False, *keep).select(
-        *_FILE, *keep, F.expr(_marks()).alias("marks")
-    ).select(*_FILE, *keep, F.expr(_function_fold()).alias("spans"))
+    rows = sources.select(*_FILE, *keep, matches().alias("raw")).select("*", code_of().alias("code"))
+    rows = rows.select(*_FILE, *keep, "raw", function_marks().alias("marks"))
+    rows = rows.select(*_FILE, *keep, "raw", function_fold().alias("found"), offsets().alias("offsets"))
+    return rows.select(*_FILE, *keep, spans_of().alias("spans"))
 
 
 def function_spans(sources: DataFrame) -> DataFrame:
@@ -318,27 +364,29 @@ def measured_functions(
     )
 
 
-def function_evidence(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """Long and complex functions; declarations come before arrows in the emission order."""
-    n_lines, complexity = F.col("n_lines"), F.col("complexity")
-    finding = lambda key, n: F.struct(
-        entry_of(key).alias("entry"), n.cast("bigint").alias("n"),
-        F.lit(0 if key != "complexity" else 1).alias("sub"),
-    )
-    items = F.array_compact(F.array(
-        F.when(n_lines > MAX_FUNCTION_LINES, finding("max-lines-per-function", n_lines)),
-        F.when(complexity > MAX_COMPLEXITY, finding("complexity", complexity)),
-    ))
-    return (
-        measured_functions(files, options, may_hold_finding())
-        .where((n_lines > MAX_FUNCTION_LINES) | (complexity > MAX_COMPLEXITY))
-        .select(*_FILE, "name", "kind", "pos", F.col("line_no").alias("line"), F.inline(items))
-        .select(
-            *_FILE, "entry", "line", "n", "name",
-            (F.when(F.col("kind") == "arrow", 1 << 30).otherwise(0) + F.col("pos")).alias("k1"),
-            F.col("sub").alias("k2"),
+def function_items() -> Column:
+    """Evidence of long and complex functions, from `spans` and `content`; declarations come before
+    arrows in the emission order."""
+
+    def items(span: Column) -> Column:
+        n_lines = span["end_line"] - span["line_no"] + 1
+        text = F.substring("content", span["start"] + 1, span["stop"] - span["start"])
+        at = dict(
+            line=span["line_no"], name=span["name"],
+            k1=F.when(span["kind"] == "arrow", 1 << 30).otherwise(0) + span["pos"],
         )
-    )
+        return let(complexity_of(text), lambda n: F.concat(
+            found(n_lines > MAX_FUNCTION_LINES, evidence("max-lines-per-function", n=n_lines, **at)),
+            found(n > MAX_COMPLEXITY, evidence("complexity", n=n, k2=1, **at)),
+        ))
+
+    return F.flatten(F.transform("spans", items))
+
+
+def function_evidence(files: DataFrame, options: Options = Options()) -> DataFrame:
+    """Long and complex functions."""
+    rows = _with_spans(typed_sources(files, options, may_hold_finding()), "content")
+    return _rows(rows, function_items(), "entry")
 
 
 IDENT = r"[A-Za-z_$][A-Za-z0-9_$]*"
@@ -349,7 +397,7 @@ _DECLARING = ("const", "let", "var")
 
 
 def _name_fold() -> str:
-    """Every name in the column `marks`, with whether it stands where a top-level variable is
+    """Every name in the column `name_marks`, with whether it stands where a top-level variable is
     declared.
 
     The state tells the depth; whether a declaration or something else began last; whether the
@@ -379,94 +427,96 @@ def _name_fold() -> str:
         "depth": f"a.depth + case when {_in('x.tok', _OPENS)} then 1 when {_in('x.tok', _CLOSES)} then -1 else 0 end",
         "inside": inside, "phase": phase, "pattern": pattern,
     }
-    return fold("marks", state, step, _NAME, row, when=f"x.tok rlike {_WORD}")
+    return fold("name_marks", state, step, _NAME, row, when=f"x.tok rlike {_WORD}")
 
 
-def _names(sources: DataFrame) -> DataFrame:
-    """Sources with `raw`, the matches of the token pattern, and `names`: every name in the text as
-    `(name, pos, declares)`, by name."""
-    raw = sources.select(*_FILE, F.regexp_extract_all("content", F.lit(TOKEN), 0).alias("raw"))
-    body = f"transform(raw, (x, i) -> struct(trim(LEADING {_BLANK} FROM x) as tok, i as pos))"
-    code = raw.select(*_FILE, "raw", F.expr(
-        f"filter({body}, t -> not startswith(t.tok, '//') and not startswith(t.tok, '/*'))"
-    ).alias("code"))
-    near = F.expr(
+def name_marks() -> Column:
+    """Tokens of `code` with their neighbours."""
+    return F.expr(
         "transform(code, (t, i) -> struct(t.tok as tok, t.pos as pos, get(code, i - 1).tok as prev1, "
         "get(code, i - 2).tok as prev2, get(code, i + 1).tok as next1))"
     )
-    holes = F.expr(
+
+
+def template_names() -> Column:
+    """Names inside `${...}` of templates in `code`; they declare nothing."""
+    return F.expr(
         "flatten(transform(filter(code, t -> startswith(t.tok, '`')), t -> flatten(transform("
         "regexp_extract_all(t.tok, '\\\\$\\\\{([^}]*)\\\\}', 1), h -> transform("
         f"regexp_extract_all(h, '{IDENT}', 0), n -> struct(n as name, t.pos as pos, false as declares))))))"
     )
-    rows = code.select(*_FILE, "raw", near.alias("marks"), holes.alias("holes"))
-    return rows.select(*_FILE, "raw", F.sort_array(F.concat(F.expr(_name_fold()), "holes")).alias("names"))
 
 
-def unused_evidence(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """Top-level variables whose name occurs once in the file.
+def all_names() -> Column:
+    """Every name of `name_marks` and `in_templates` as `(name, pos, declares)`, by name."""
+    return F.sort_array(F.concat(F.expr(_name_fold()), "in_templates"))
 
-    Every declarator of a statement counts, and every name that a destructuring pattern binds: names
-    after `{`, `[`, `,`, `:` or `...` in the brackets of the pattern, but for keys before a colon and
-    default values. Commas inside a type annotation declare nothing. Names inside `${...}` of a
-    template count as uses. A name that occurs once has other neighbours in the sorted names of its
-    file, so no name is looked up.
-    """
-    declaring = any_of(*[F.contains("content", F.lit(w)) for w in _DECLARING])
+
+def declaring() -> Column:
+    """Whether a text can declare a variable at all."""
+    return any_of(*[F.contains("content", F.lit(w)) for w in _DECLARING])
+
+
+def unused_items() -> Column:
+    """Evidence of declared names that occur once, from `names` and `raw`. Such a name has other
+    neighbours in the sorted names, so none is looked up; its line is counted for findings only."""
     once = F.expr(
         "filter(names, (x, i) -> x.declares and not startswith(x.name, '_') "
         "and not coalesce(get(names, i - 1).name = x.name, false) "
         "and not coalesce(get(names, i + 1).name = x.name, false))"
     )
-    # The line is counted for findings only: line breaks up to the token, which is on one line.
-    before = _newlines(F.array_join(F.slice("raw", 1, F.col("pos") + 1), ""))
-    return _rows(_names(typed_sources(files, options, declaring)), once, "name", "raw").select(
-        *_FILE, entry_of("no-unused-vars").alias("entry"), (before + 1).cast("int").alias("line"),
-        "name", F.col("pos").alias("k1"),
-    )
+    before = lambda x: _newlines(F.array_join(F.slice("raw", 1, x["pos"] + 1), ""))
+    return F.transform(once, lambda x: evidence(
+        "no-unused-vars", line=before(x) + 1, name=x["name"], k1=x["pos"]
+    ))
 
 
-def any_evidence(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """Uses of `any` in a type position, one finding per file at the first use.
+def unused_evidence(files: DataFrame, options: Options = Options()) -> DataFrame:
+    """Top-level variables whose name occurs once in the file.
 
-    The rule needs a token and its neighbours only, so it stays in the row: no shuffle.
+    Every declarator of a statement counts, and every name that a destructuring pattern binds: names
+    after `{`, `[`, `,`, `:` or `...` in the brackets of the pattern, but for keys before a colon and
+    default values. Commas inside a type annotation declare nothing. Names inside `${...}` of a
+    template count as uses.
     """
-    keep = options.walk(("ts", "tsx"), tests=False) & F.contains("content", F.lit("any"))
-    trim = lambda x: F.ltrim(x, F.lit(" \t\n\x0b\f\r"))
-
-    def hits(code: Column) -> Column:
-        """Places in the raw tokens of the typed uses among the tokens without comments."""
-
-        def place(token: Column, k: Column) -> Column:
-            prev, following = F.get(code, k - 1)["tok"], F.get(code, k + 1)["tok"]
-            typed = (
-                prev.isin(":", "<", "|", "&", "as", "=>", "is", "keyof", "extends", "satisfies")
-                | ((prev == ",") & (following == ">"))
-                | ((prev == "=") & following.isin(";", "[", "|"))
-            )
-            return F.when((token["tok"] == "any") & typed, token["at"])
-
-        return F.array_compact(F.transform(code, place))
-
-    def found(raw: Column) -> Column:
-        """Number of uses, and the line of the first."""
-        code = F.filter(
-            F.transform(raw, lambda x, i: F.struct(trim(x).alias("tok"), i.alias("at"))),
-            lambda t: ~t["tok"].startswith("//") & ~t["tok"].startswith("/*"),
+    rows = typed_sources(files, options, declaring()).select(*_FILE, matches().alias("raw"))
+    rows = rows.select(*_FILE, "raw", code_of().alias("code"))
+    rows = rows.select(
+        *_FILE, "raw", name_marks().alias("name_marks"), template_names().alias("in_templates")
+    ).select(*_FILE, "raw", all_names().alias("names"))
+    return _rows(rows, unused_items(), "entry")
+
+
+def any_items() -> Column:
+    """Evidence of `any` in a type position, one finding per file at the first use, from `code` and
+    `raw`."""
+
+    def place(token: Column, k: Column) -> Column:
+        prev, following = F.get("code", k - 1)["tok"], F.get("code", k + 1)["tok"]
+        typed = (
+            prev.isin(":", "<", "|", "&", "as", "=>", "is", "keyof", "extends", "satisfies")
+            | ((prev == ",") & (following == ">"))
+            | ((prev == "=") & following.isin(";", "[", "|"))
         )
-        return let(let(code, hits), lambda at: F.struct(
-            F.size(at).alias("n"),
-            (1 + _newlines(F.array_join(F.slice(raw, 1, F.get(at, F.lit(0)) + 1), "")))
-            .alias("line"),
+        return F.when((token["tok"] == "any") & typed, token["pos"])
+
+    def item(places: Column) -> Column:
+        upto = F.array_join(F.slice("raw", 1, F.get(places, F.lit(0)) + 1), "")
+        return found(F.size(places) > 0, evidence(
+            "no-explicit-any", line=_newlines(upto) + 1, n=F.size(places)
         ))
 
-    rows = files.where(has_content() & keep).select(
-        *_FILE, let(F.regexp_extract_all("content", F.lit(TOKEN), 0), found).alias("found")
-    )
-    return rows.where("found.n > 0").select(
-        *_FILE, entry_of("no-explicit-any").alias("entry"), F.col("found.line").cast("int").alias("line"),
-        F.col("found.n").cast("bigint").alias("n"),
-    )
+    return let(F.array_compact(F.transform("code", place)), item)
+
+
+def may_hold_any() -> Column:
+    return F.contains("content", F.lit("any"))
+
+
+def any_evidence(files: DataFrame, options: Options = Options()) -> DataFrame:
+    """Uses of `any` in a type position."""
+    rows = typed_sources(files, options, may_hold_any()).select(*_FILE, matches().alias("raw"))
+    return _rows(rows.select(*_FILE, "raw", code_of().alias("code")), any_items(), "entry")
 
 
 def typed_evidence(files: DataFrame, options: Options = Options()) -> DataFrame:

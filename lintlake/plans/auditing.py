@@ -8,15 +8,18 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lintlake.operators import (
-    accessibility, architecture, frameworks, performance, quality, security, testing, tokens,
+    accessibility, architecture, frameworks, performance, quality, security, testing,
 )
 from lintlake.operators.advisories import advisory_join
 from lintlake.operators.catalogue import INDEX
 from lintlake.operators.facts import repo_facts
+from lintlake.operators.fused import fused_evidence
 from lintlake.operators.graph import import_cycles
 from lintlake.operators.issues import render, union_all
 from lintlake.operators.plugins import run_plugins
-from lintlake.operators.rules import FileRule, Options, apply_file_rules, apply_line_rules
+from lintlake.operators.rules import (
+    FileRule, LineRule, Options, apply_file_rules, apply_line_rules,
+)
 from lintlake.operators.scoring import (
     audit_summary, gate, issue_totals, overall_score, plugin_results, resolve_weights, scan_results,
     sub_scores,
@@ -49,6 +52,17 @@ def with_shift(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("shift", late)
 
 
+def _rules(
+    categories: tuple[str, ...], packs: tuple[str, ...], more: tuple[FileRule, ...]
+) -> tuple[list[LineRule], list[FileRule]]:
+    lines = [r for c in categories for r in LINE_RULES.get(c, ())]
+    whole = [r for c in categories for r in FILE_RULES.get(c, ())]
+    for pack in packs:
+        lines += frameworks.PACKS[pack][0]
+        whole += frameworks.PACKS[pack][1]
+    return lines, [*whole, *more]
+
+
 def text_evidence(
     files: DataFrame,
     categories: tuple[str, ...] = CATEGORIES,
@@ -58,16 +72,12 @@ def text_evidence(
 ) -> list[DataFrame]:
     """Line rules of all chosen categories in one pass over the texts, file rules, with those of
     `more`, in another."""
-    lines = [r for c in categories for r in LINE_RULES.get(c, ())]
-    whole = [r for c in categories for r in FILE_RULES.get(c, ())]
-    for pack in packs:
-        lines += frameworks.PACKS[pack][0]
-        whole += frameworks.PACKS[pack][1]
+    lines, whole = _rules(categories, packs, more)
     frames = []
     if lines:
         frames.append(with_shift(apply_line_rules(files, lines, options)))
-    if whole or more:
-        frames.append(apply_file_rules(files, [*whole, *more], options))
+    if whole:
+        frames.append(apply_file_rules(files, whole, options))
     return frames
 
 
@@ -77,19 +87,16 @@ def file_issues(
     options: Options = Options(),
     packs: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Issues that depend on one file only; `packs` names framework packs for all repositories, or is
-    `DETECTED` for those of each one's stack."""
+    """Issues that depend on one file only, in one pass over the texts; `packs` names framework packs
+    for all repositories, or is `DETECTED` for those of each one's stack."""
     more = tuple(testing.FILE_RULES) if "testing" in categories else ()
-    if packs == frameworks.DETECTED:
+    detected = packs == frameworks.DETECTED
+    lines, whole = _rules(categories, tuple(frameworks.PACKS) if detected else packs, more)
+    found = with_shift(fused_evidence(files, lines, whole, options, "quality" in categories))
+    if detected:
         stack = detect_stack(repo_facts(files, options), parse_manifest(files))
-        wanted = frameworks.packs_of(stack)
-        found = text_evidence(files, categories, options, tuple(frameworks.PACKS), more)
-        frames = [frameworks.keep_wanted(frame, wanted) for frame in found]
-    else:
-        frames = text_evidence(files, categories, options, packs, more)
-    if "quality" in categories:
-        frames.append(tokens.typed_evidence(files, options))
-    return render(union_all(frames))
+        found = frameworks.keep_wanted(found, frameworks.packs_of(stack))
+    return render(found)
 
 
 def repo_issues(
