@@ -19,6 +19,8 @@ DEFAULT_EXTENSIONS = ("ts", "tsx", "js", "jsx", "vue", "mjs", "cjs")
 CODE_EXTENSIONS = ("ts", "tsx", "js", "jsx")
 SECURITY_EXTENSIONS = ("ts", "tsx", "js", "jsx", "json", "env", "yaml", "yml")
 TEMPLATE_EXTENSIONS = ("html", "htm", "vue", "svelte")
+# What any rule reads the text of: the walks above and manifests.
+RULE_EXTENSIONS = tuple(dict.fromkeys((*DEFAULT_EXTENSIONS, *SECURITY_EXTENSIONS, *TEMPLATE_EXTENSIONS)))
 DEFAULT_IGNORES = (
     "**/node_modules/**", "**/dist/**", "**/build/**", "**/.next/**", "**/.nuxt/**",
     "**/coverage/**", "**/*.min.js", "**/*.min.css", "**/*.bundle.js", "**/.git/**",
@@ -35,36 +37,56 @@ def read_files(
     fmt: str = "binaryFile",
     path_glob: str | None = None,
     ignore_corrupt: bool = False,
+    extensions: Sequence[str] | None = RULE_EXTENSIONS,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Load files of many repositories as rows.
 
     `binaryFile` expects `<location>/<repo_id>/<path...>`, a folder and no glob; each executor reads
     its own files. Bytes that are no UTF-8 become U+FFFD. Every file is a row, because rules on
-    structure need its path; `path_glob` keeps large binaries from being loaded, and
-    `ignore_corrupt` leaves out files that cannot be read. Any other format must hold the columns of
-    `FILES_SCHEMA`.
+    structure need its path, but only files of `extensions` (None: all) and, if given, of at most
+    `max_bytes` are opened; others have a NULL content, from their listing alone. What a query does
+    not ask for is not loaded either: facts on paths open no file. `path_glob` restricts the rows to
+    matching names, whose contents are all loaded, and `ignore_corrupt` leaves out files that cannot
+    be read. Any other format must hold the columns of `FILES_SCHEMA`.
     """
     if fmt != "binaryFile":
         return spark.read.format(fmt).schema(FILES_SCHEMA).load(location)
     if any(c in location for c in "*?[]{}"):
         raise ValueError(f"location must be a folder: {location}")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "ignoreCorruptFiles", ignore_corrupt
-    )
-    if path_glob:
-        reader = reader.option("pathGlobFilter", path_glob)
+    def reader(glob: str | None) -> DataFrame:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+            "ignoreCorruptFiles", ignore_corrupt
+        )
+        return (found.option("pathGlobFilter", glob) if glob else found).load(location)
+
     # The full path of the root, of which only the place at the front is cut.
     folder = spark._jvm.org.apache.hadoop.fs.Path(location)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     root = system.makeQualified(folder).toUri().getPath().rstrip("/")
     whole = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     tail = F.regexp_replace(whole, rf"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?\Q{root}\E/+", "")
-    return reader.load(location).select(
+    columns = lambda content: [
         F.substring_index(tail, "/", 1).alias("repo_id"),
         F.regexp_replace(tail, r"^[^/]*/", "").alias("path"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+        content.alias("content"),
         F.col("modificationTime").alias("mtime"),
-    )
+    ]
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    # The source itself skips files by name and by length, before it opens them.
+    limit = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    if path_glob or (extensions is None and max_bytes is None):
+        rows = reader(path_glob)
+        opened = rows.where(limit).select(*columns(text))
+        named = F.lit(True)
+    else:
+        rows = reader(None)
+        opened = reader(f"*.{{{','.join(extensions)}}}" if extensions else None).where(limit).select(*columns(text))
+        named = has_extension(extensions, tail) if extensions else F.lit(True)
+    if (path_glob or extensions is None) and max_bytes is None:
+        return opened
+    closed = rows.where(~(named & limit)).select(*columns(F.lit(None).cast("string")))
+    return opened.unionByName(closed)
 
 
 # ---- path conditions -------------------------------------------------------------------------

@@ -136,3 +136,30 @@ def test_match_changed_equals_brute_force(spark, make_files):
     frame = spark.createDataFrame(changed, "repo_id string, path string")
     want = [(r.repo_id, r.id) for r in issues.collect() if (r.repo_id, r.file) in set(changed)]
     assert want and sorted((r.repo_id, r.id) for r in match_changed(issues, frame).collect()) == sorted(want)
+
+
+def test_only_files_that_rules_ask_for_are_opened(spark, tmp_path):
+    """A large binary is a row and never read; facts on paths read no content at all."""
+    from lintlake.operators.facts import repo_facts
+    from lintlake.sources import read_files
+
+    root = tmp_path / "in" / "one"
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "a.ts").write_text("debugger;\n")
+    (root / "src" / "long.ts").write_text("x" * 5000)
+    (root / "README.md").write_text("hello")
+    (root / "model.bin").write_bytes(bytes(30_000_000))
+    files = read_files(spark, str(tmp_path / "in"))
+    before = _read_bytes(spark)
+    got = {r.path: r.content for r in files.collect()}
+    assert _read_bytes(spark) - before < 1_000_000
+    assert got == {"src/a.ts": "debugger;\n", "src/long.ts": "x" * 5000, "README.md": None, "model.bin": None}
+    short = read_files(spark, str(tmp_path / "in"), max_bytes=100, extensions=None)
+    assert {r.path: r.content for r in short.collect()} == {
+        "src/a.ts": "debugger;\n", "src/long.ts": None, "README.md": "hello", "model.bin": None}
+    every = read_files(spark, str(tmp_path / "in"), extensions=None).where("path <> 'model.bin'")
+    assert {r.path for r in every.collect()} == {"src/a.ts", "src/long.ts", "README.md"}
+    facts = repo_facts(files)
+    assert facts.first().has_readme
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<" not in plan or "content" not in plan.split("ReadSchema: ", 1)[1]
