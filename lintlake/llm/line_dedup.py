@@ -1,13 +1,19 @@
 """Removal of repeated passages of several lines, by content-defined chunks.
 
-Every line has a digest, and a hash rolls over each line and the one before it. A chunk begins where
-this hash is least among its neighbours, so boundaries depend on four lines around them and return
-after an insertion; two are never adjacent, so a chunk has two lines or more, but for the first and
-last of a text. Chunk digests are counted over all documents; of chunks whose digest repeats, the
-texts themselves are compared, and all but the first of equal ones are removed.
-
-Only digests of all chunks are shuffled, and texts only of repeated ones. Counts combine before the
-shuffle; a chunk that very many documents share is a join key that adaptive execution splits.
+Lines that hold a word have a digest, and a hash rolls over each of them and the one before it. A chunk
+begins where this hash is least among its neighbours, so boundaries depend on four lines around them
+and return after an insertion; two are never adjacent, so a chunk has two lines or more, but for the
+first and last of a text. Chunks whose digest repeats are compared byte by byte, and all but the first
+of equal ones are removed. That settles the inside of long passages, copies of whole texts among them.
+
+What whole chunks miss, the ends of passages and short ones in foreign surroundings, is found by the
+rolling hash itself: every two neighbouring lines that no removed chunk covers are looked up in the
+same way. The first place of a passage never lies in a removed chunk, so nothing is lost by that.
+Together a line goes exactly if it and a neighbour stand together at an earlier place too.
+
+Only digests of all chunks and pairs are shuffled, and texts only of repeated ones. Counts combine
+before the shuffle; a passage that very many documents share is a join key that adaptive execution
+splits. Work in a text is linear in its lines.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lintlake.llm._store import keep, table
 
 MIN_LINES = 2
+_WHITE = " \t\n\x0b\x0c\r"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -26,101 +33,165 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def chunk_starts(lines: Column) -> Column:
-    """Line numbers, from 0, at which chunks begin."""
+def _numbers(first: Column, n: Column) -> Column:
+    """`n` numbers from `first` on."""
+    return F.when(n > 0, F.sequence(first, first + n - 1)).otherwise(F.array().cast("array<int>"))
 
-    def rolling(digests: Column) -> Column:
-        # "~" is above every digest.
+
+def _full(line: Column) -> Column:
+    return F.btrim(line, F.lit(_WHITE)) != ""
+
+
+def _digests(lines: Column) -> Column:
+    return F.transform(lines, lambda line: F.xxhash64(line))
+
+
+def _hash(digests: Column, first: Column, n: Column) -> Column:
+    """Hash of `n` lines from `first` on."""
+    return F.xxhash64(F.transform(_numbers(first, n), lambda k: F.get(digests, k)))
+
+
+def chunk_starts(digests: Column) -> Column:
+    """Numbers, from 0, of the lines at which chunks begin."""
+
+    def rolling(d: Column) -> Column:
         return F.transform(
-            digests,
-            lambda d, i: F.when(i > 0, F.md5(F.concat(F.get(digests, i - 1), d))).otherwise("~"),
+            d, lambda x, i: F.when(i > 0, F.xxhash64(F.get(d, i - 1), x)).otherwise(2**63 - 1)
         )
 
     def starts(hashes: Column) -> Column:
         before = lambda i: F.get(hashes, i - 1)
-        after = lambda i: F.coalesce(F.get(hashes, i + 1), F.lit("~"))
+        after = lambda i: F.coalesce(F.get(hashes, i + 1), F.lit(2**63 - 1))
         marked = F.transform(
             hashes,
             lambda h, i: F.when((i == 0) | ((h < before(i)) & (h <= after(i))), i),
         )
         return F.filter(marked, lambda i: i.isNotNull())
 
-    digests = F.transform(lines, lambda line: F.md5(line))
-    return _let(digests, lambda d: _let(rolling(d), starts))
+    return _let(rolling(digests), starts)
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    """`docs` (id, text) with lines and chunks: [(first line, number of lines)]."""
-    texts = docs.where("id is not null and text is not null")
+def _chunks(digests: Column) -> Column:
+    """Chunks of MIN_LINES or more as [(at, n, h)]."""
 
-    def chunks(lines: Column) -> Column:
-        return _let(
-            F.concat(chunk_starts(lines), F.array(F.size(lines))),
-            lambda s: F.transform(
-                F.slice(s, 1, F.size(s) - 1),
-                lambda at, i: F.struct(at.alias("at"), (F.get(s, i + 1) - at).alias("n")),
+    def cut(starts: Column) -> Column:
+        sizes = F.transform(
+            starts,
+            lambda at, i: F.struct(
+                at.alias("at"), (F.coalesce(F.get(starts, i + 1), F.size(digests)) - at).alias("n")
             ),
         )
+        return F.transform(
+            F.filter(sizes, lambda c: c["n"] >= MIN_LINES),
+            lambda c: F.struct(c["at"], c["n"], _hash(digests, c["at"], c["n"]).alias("h")),
+        )
 
-    lines = texts.where(F.contains("text", F.lit("\n")))
-    both = _let(
-        F.split("text", "\n", -1), lambda x: F.struct(x.alias("lines"), chunks(x).alias("chunks"))
+    return _let(chunk_starts(digests), cut)
+
+
+def _pairs(digests: Column, at: Column | int = 0) -> Column:
+    """Neighbouring lines as [(at, n, h)], with `at` added to their places."""
+    two = F.lit(MIN_LINES)
+    return F.transform(
+        _numbers(F.lit(0), F.size(digests) - (MIN_LINES - 1)),
+        lambda k: F.struct((k + at).alias("at"), two.alias("n"), _hash(digests, k, two).alias("h")),
     )
-    return lines.select(*docs.columns, both.alias("_both")).select(*docs.columns, "_both.*")
 
 
-def _text_of(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["at"] + 1, chunk["n"]), "\n")
+def _places(texts: DataFrame, passages: Callable[[Column], Column]) -> DataFrame:
+    """(id, at, n, h) of the passages of every text; places count lines with a word only."""
+    found = _let(_digests(F.filter(F.split("text", "\n", -1), _full)), passages)
+    return texts.select("id", F.inline(found))
+
+
+def _repeats(texts: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """Places (id, at, n, h, passage) whose bytes are a place before them too."""
+    often = places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    found = places.join(often, "h").groupBy("id").agg(
+        F.collect_set(F.struct("at", "n", "h")).alias("found")
+    )
+
+    def passages(lines: Column) -> Column:
+        return F.transform(
+            _own(lines, F.col("found")),
+            lambda c: F.struct(c["at"], c["n"], c["h"], _joined(lines, c).alias("passage")),
+        )
+
+    lines = F.filter(F.split("text", "\n", -1), _full)
+    repeated = keep(
+        texts.hint("merge").join(found, "id").select("id", F.inline(_let(lines, passages))), name
+    )
+    firsts = repeated.groupBy("passage").agg(
+        F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("times")
+    ).where("times > 1").select("passage", "first")
+    return repeated.join(firsts, "passage").where(F.struct("id", "at") != F.col("first")).select(
+        "id", "at", "n", "h", "passage"
+    )
+
+
+def _joined(lines: Column, place: Column) -> Column:
+    return F.array_join(
+        F.transform(_numbers(place["at"], place["n"]), lambda k: F.get(lines, k)), "\n"
+    )
+
+
+def _own(lines: Column, places: Column) -> Column:
+    """Places that hold for a text: an id may be repeated with another one."""
+    return _let(_digests(lines), lambda d: F.filter(
+        places,
+        lambda c: (c["at"] + c["n"] <= F.size(d)) & (_hash(d, c["at"], c["n"]) == c["h"]),
+    ))
+
+
+def _without(lines: Column, cuts: Column) -> Column:
+    """Numbers of the lines that stay; empty lines inside a cut go with it."""
+    numbered = F.filter(
+        F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: _full(y["x"])
+    )
+
+    def gone(full: Column) -> Column:
+        ends = lambda c: F.sequence(
+            F.get(full["i"], c["at"]), F.get(full["i"], c["at"] + c["n"] - 1)
+        )
+        return F.flatten(F.transform(_own(full["x"], cuts), ends))
+
+    return F.array_except(
+        F.sequence(F.lit(0), F.size(lines) - 1),
+        _let(numbered, lambda y: _let(F.struct(
+            F.transform(y, lambda z: z["x"]).alias("x"), F.transform(y, lambda z: z["i"]).alias("i")
+        ), gone)),
+    )
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with its text cut, and with n_lines and n_removed (lines) behind its columns.
 
-    A chunk of two lines or more goes if the same bytes are a chunk of a document with a smaller id,
-    or an earlier one of the same document. Lines end at "\\n"; what is left is joined by it. A null
+    Two neighbouring lines go if the same bytes are neighbours in a document with a smaller id, or
+    earlier in the same one. Lines without a word stand between neighbours: they are no part of a
+    passage, and go with one that goes on both sides of them. Lines end at "\\n"; what is left is joined by it. A null
     text stays null and has no lines; an empty text is one line. Rows without id are left as they
     are and remove nothing elsewhere. Rows that repeat an id and text remove nothing from each other.
     A column that is named like one of the two added is replaced. An empty table gives an empty one.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    several = lambda c: c["n"] >= MIN_LINES
-    digests = _chunked(texts).select(
-        "id",
-        F.explode(F.transform(
-            F.filter("chunks", several),
-            lambda c: F.struct(c["at"].alias("at"), F.md5(_text_of(F.col("lines"), c)).alias("h")),
-        )).alias("c"),
-    ).select("id", "c.at", F.unhex("c.h").alias("h"))
-    counted = digests.groupBy("h").agg(F.count("*").alias("n"))
-    found = digests.join(counted.where("n > 1").select("h"), "h").groupBy("id").agg(
-        F.collect_set("at").alias("found")
-    )
-    repeated = keep(
-        _chunked(texts.hint("merge").join(found, "id")).select(
-            "id",
-            F.explode(F.filter(
-                "chunks", lambda c: several(c) & F.array_contains(F.col("found"), c["at"])
-            )).alias("c"),
-            "lines",
-        ).select("id", "c.at", "c.n", _text_of(F.col("lines"), F.col("c")).alias("chunk")),
-        "repeated",
-    )
-    firsts = repeated.groupBy("chunk").agg(
-        F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("times")
-    ).where("times > 1").select("chunk", "first")
-    gone = repeated.join(firsts, "chunk").where(F.struct("id", "at") != F.col("first"))
-    cuts = gone.groupBy("id").agg(F.collect_set(F.struct("at", "n", F.md5("chunk").alias("h"))).alias("_cuts"))
-    # A cut holds for a text only if it has the chunk: an id may be repeated with another text.
-    own = lambda lines: F.filter("_cuts", lambda c: F.md5(_text_of(lines, c)) == c["h"])
-    kept = lambda lines, cuts: F.filter(
-        lines, lambda _, i: ~F.exists(cuts, lambda c: (i >= c["at"]) & (i < c["at"] + c["n"]))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(
+        F.col("id").isNotNull() & F.contains("text", F.lit("\n"))
     )
+    chunks = keep(_repeats(texts, _places(texts, _chunks), "chunks"), "gone_chunks")
+    inside = chunks.select("id", F.inline(
+        _pairs(_digests(F.split("passage", "\n", -1)), F.col("at"))
+    ))
+    pairs = _places(texts, _pairs).join(inside, ["id", "at", "h"], "left_anti")
+    gone = chunks.drop("passage").unionByName(_repeats(texts, pairs, "pairs").drop("passage"))
+    cuts = gone.groupBy("id").agg(F.collect_set(F.struct("at", "n", "h")).alias("_cuts"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     text = F.col("row").getField(text_col)
-    result = _let(F.split(text, "\n", -1), lambda lines: _let(own(lines), lambda c: F.struct(
-        F.array_join(kept(lines, c), "\n").alias("text"),
-        F.aggregate(c, F.lit(0), lambda n, x: n + x["n"]).alias("n"),
-    )))
+    result = _let(F.split(text, "\n", -1), lambda lines: _let(
+        _without(lines, F.col("_cuts")),
+        lambda left: F.struct(
+            F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n").alias("text"),
+            (F.size(lines) - F.size(left)).alias("n"),
+        ),
+    ))
     cut = docs.select(row).hint("merge").join(
         cuts, F.col("row").getField(id_col).cast("long") == F.col("id"), "left"
     ).select("row", F.when(F.col("_cuts").isNotNull() & text.isNotNull(), result).alias("cut"))
@@ -143,29 +214,26 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
-OP3_SQL = """
+OP3_SQL = r"""
 WITH l AS (
-  SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS i
+  SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i
   FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents
         WHERE doc_id IS NOT NULL AND text IS NOT NULL)
-), r AS (
-  SELECT *, CASE WHEN i > 0 THEN md5(md5(lag(line) OVER d) || md5(line)) ELSE '~' END AS r
-  FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)
-), b AS (
-  SELECT *, sum(CASE WHEN i = 0 OR (r < p AND r <= coalesce(n, '~')) THEN 1 ELSE 0 END)
-            OVER (PARTITION BY doc_id ORDER BY i) AS k
-  FROM (SELECT *, lag(r) OVER d AS p, lead(r) OVER d AS n
-        FROM r WINDOW d AS (PARTITION BY doc_id ORDER BY i))
-), c AS (
-  SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk
-  FROM b GROUP BY doc_id, k
+), f AS (
+  SELECT *, sum("full"::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k
+  FROM (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS "full" FROM l)
+), p AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, k) > 1 AS gone
+  FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS following FROM f WHERE "full")
+  WHERE following IS NOT NULL
 ), g AS (
-  SELECT doc_id, k, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone
-  FROM c WHERE n >= 2
+  SELECT f.*, coalesce(a.gone, FALSE) OR ("full" AND coalesce(b.gone, FALSE)) AS gone
+  FROM f LEFT JOIN p a ON a.doc_id = f.doc_id AND a.k = f.k
+         LEFT JOIN p b ON b.doc_id = f.doc_id AND b.k = f.k - 1
 ), o AS (
-  SELECT b.doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(gone, FALSE)) AS n_removed,
-         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(gone, FALSE)), '') AS text
-  FROM b LEFT JOIN g USING (doc_id, k) GROUP BY b.doc_id
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+  FROM g GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_lines, CASE WHEN d.text IS NULL THEN 0 ELSE 1 END) AS n_lines,
        coalesce(n_removed, 0) AS n_removed, coalesce(o.text, d.text) AS text

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -138,29 +139,27 @@ def test_substring_dedup_of_nothing(empty):
 # ---- 3 ----------------------------------------------------------------------------------------
 
 
-def _line_chunks(lines):
-    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
-    r = ["~"] + [md5(md5(a) + md5(b)) for a, b in zip(lines, lines[1:])] + ["~"]
-    starts = [i for i in range(len(lines)) if i == 0 or (r[i] < r[i - 1] and r[i] <= r[i + 1])]
-    return list(zip(starts, starts[1:] + [len(lines)]))
+def _without_repeated_lines(texts):
+    """Per key of `texts`, in order, (text, number of lines that go): a line with a word goes if it and
+    a neighbour, lines without words left out, stand together at an earlier place; one without a word
+    goes if the lines around it go together."""
+    seen, out = set(), {}
+    for key, text in texts.items():
+        if text is None:
+            out[key] = (None, 0)
+            continue
+        lines, gone = text.split("\n"), set()
+        full = [i for i, line in enumerate(lines) if line.strip(" \t\n\x0b\x0c\r")]
+        for i, j in zip(full, full[1:]):
+            if (lines[i], lines[j]) in seen:
+                gone.update(range(i, j + 1))
+            seen.add((lines[i], lines[j]))
+        out[key] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
+    return out
 
 
 def test_line_dedup_equals_brute_force(docs):
-    seen, want = set(), {}
-    for k, text in enumerate(TEXTS):
-        if text is None:
-            want[k] = (None, 0)
-            continue
-        lines, kept, gone = text.split("\n"), [], 0
-        for a, b in _line_chunks(lines):
-            chunk = "\n".join(lines[a:b])
-            if b - a >= 2 and chunk in seen:
-                gone += b - a
-            else:
-                kept += lines[a:b]
-            if b - a >= 2:
-                seen.add(chunk)
-        want[k] = ("\n".join(kept), gone)
+    want = _without_repeated_lines(dict(enumerate(TEXTS)))
     out = line_dedup.line_dedup(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
     rows = out.collect()
@@ -172,6 +171,54 @@ def test_line_dedup_equals_brute_force(docs):
     assert any(n for _, n in want.values())
 
 
+def test_line_dedup_finds_short_passages_and_odd_lines(spark):
+    """Passages of 2, 3, 4 and 8 lines in foreign surroundings all go but for their first place, and
+    lines around them stay; blank lines, a line over and over, passages that overlap or repeat in
+    one text, long words and texts of one line as brute force has them."""
+    rng = random.Random(11)
+    fresh = iter(range(10**9))
+    line = lambda: f"line {next(fresh)} " + " ".join(rng.choices("abcdefgh", k=5))
+    passages = [[line() for _ in range(n)] for n in (2, 3, 4, 8) for _ in range(15)]
+    texts, planted = [], 0
+    for k in range(2):
+        for p in passages:
+            texts.append("\n".join([*(line() for _ in range(4)), *p, *(line() for _ in range(4))]))
+            planted += k * len(p)
+    want = _without_repeated_lines(dict(enumerate(texts)))
+    assert sum(n for _, n in want.values()) == planted
+    a, b, c, d = (line() for _ in range(4))
+    texts += [
+        "\n".join(x) for x in (
+            [a, "", b, " \t", c], [d, a, b, c, "", d], ["", a, "\r", b, "", "", d], [c] * 7, [c, "", c, c],
+            [a, b, line(), a, b, c, line(), b, c, d], ["", "", ""], ["x" * 70000, a, b], ["x" * 70000, a, d], [d],
+            [a, "b c"], [a + "\n" + "b c", d],
+        )
+    ]
+    texts += ["\n".join(rng.choices([a, b, c, d, "", line()], k=40)) for _ in range(30)]
+    want = _without_repeated_lines(dict(enumerate(texts)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.line_dedup(rows).collect()}
+    assert got == want
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """Rows of one id are cut only where they hold the passage; equal rows remove nothing from each other."""
+    rows = [(1, "a a\nb b\nc c"), (2, "x\na a\nb b\ny"), (2, "x\nq\nr\ny"), (3, "k k\nl l"), (3, "k k\nl l")]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [
+        (1, "a a\nb b\nc c"), (2, "x\nq\nr\ny"), (2, "x\ny"), (3, "k k\nl l"), (3, "k k\nl l")]
+
+
+def test_line_dedup_is_linear_in_the_lines_of_a_text(spark):
+    """Two copies of a text of over a million characters."""
+    text = "\n".join(f"{k} some words of a line" for k in range(64000))
+    rows = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.line_dedup(rows).collect()}
+    assert got == {1: (text, 0), 2: ("", 64000)}
+    assert time.time() - start < 30
+
+
 def test_line_dedup_replaces_clashing_columns(docs, empty):
     out = line_dedup.line_dedup(docs.withColumnRenamed("row", "n_removed").withColumnRenamed("id", "_id"))
     assert out.columns.count("n_removed") == 1 and "_id" in out.columns

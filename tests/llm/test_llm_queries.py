@@ -14,7 +14,7 @@ import corpus_pipeline
 from lintlake.llm import decontamination, source_mixing, toxicity
 from lintlake.llm._store import keep
 from lintlake.llm.queries import ORACLES, QUERIES
-from test_llm_operators import _line_chunks, _near, _targets, _words
+from test_llm_operators import _near, _targets, _without_repeated_lines, _words
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
@@ -77,16 +77,11 @@ def test_pipeline_stages_equal_plain_versions(spark):
     score = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(start, sample).collect()}
     assert set(ids["line_dedup"]) == {k for k, s in score.items() if s < corpus_pipeline.TOXIC_SCORE}
 
-    seen = set()
-    for k in sorted(inputs["line_dedup"]):
-        kept, lines = [], inputs["line_dedup"][k]["text"].split("\n")
-        for a, b in _line_chunks(lines):
-            chunk = "\n".join(lines[a:b])
-            kept += lines[a:b] if b - a < 2 or chunk not in seen else []
-            seen |= {chunk} if b - a >= 2 else set()
-        assert inputs["near_dedup"][k]["text"] == "\n".join(kept)
-        if kept != lines:
-            assert inputs["near_dedup"][k]["n_chars"] == len("\n".join(kept))
+    texts = {k: inputs["line_dedup"][k]["text"] for k in sorted(inputs["line_dedup"])}
+    for k, (text, n) in _without_repeated_lines(texts).items():
+        assert inputs["near_dedup"][k]["text"] == text
+        if n:
+            assert inputs["near_dedup"][k]["n_chars"] == len(text)
 
     near = _near({k: r["text"] for k, r in inputs["near_dedup"].items()}, 5, 80)
     assert set(ids["decontamination"]) == {k for k, (_, root) in near.items() if k == root}
