@@ -3,15 +3,16 @@
 Lines that hold a word have a digest, and a hash rolls over each of them and the one before it. A chunk
 begins where this hash is least among its neighbours, so boundaries depend on four lines around them
 and return after an insertion; two are never adjacent, so a chunk has two lines or more, but for the
-first and last of a text. Chunks whose digest repeats are compared byte by byte, and all but the first
-of equal ones are removed. That settles the inside of long passages, copies of whole texts among them.
+first and last of a text. Chunk digests are counted over all documents.
 
 What whole chunks miss, the ends of passages and short ones in foreign surroundings, is found by the
-rolling hash itself: every two neighbouring lines that no removed chunk covers are looked up in the
-same way. The first place of a passage never lies in a removed chunk, so nothing is lost by that.
-Together a line goes exactly if it and a neighbour stand together at an earlier place too.
+rolling hash itself: every two neighbouring lines are looked up that lie in no chunk with an earlier
+like. The first place of a passage never lies in such a chunk, so nothing is lost by that. Of chunks
+and pairs whose digest repeats, the bytes are compared, and all but the first of equal ones are
+removed. Together a line goes exactly if it and a neighbour stand together at an earlier place too;
+a pair could only be missed where the digests of 128 bits of two different chunks are equal.
 
-Only digests of all chunks and pairs are shuffled, and texts only of repeated ones. Counts combine
+Only digests of all chunks and pairs are shuffled, and the passages of repeated ones. Counts combine
 before the shuffle; a passage that very many documents share is a join key that adaptive execution
 splits. Work in a text is linear in its lines.
 """
@@ -51,6 +52,16 @@ def _hash(digests: Column, first: Column, n: Column) -> Column:
     return F.xxhash64(F.transform(_numbers(first, n), lambda k: F.get(digests, k)))
 
 
+def _place(digests: Column, at: Column, n: Column) -> Column:
+    """(at, n, h, g) of `n` lines; h and g are a digest of 128 bits."""
+    return _let(
+        F.transform(_numbers(at, n), lambda k: F.get(digests, k)),
+        lambda d: F.struct(
+            at.alias("at"), n.alias("n"), F.xxhash64(d).alias("h"), F.xxhash64(F.lit(1), d).alias("g")
+        ),
+    )
+
+
 def chunk_starts(digests: Column) -> Column:
     """Numbers, from 0, of the lines at which chunks begin."""
 
@@ -72,7 +83,7 @@ def chunk_starts(digests: Column) -> Column:
 
 
 def _chunks(digests: Column) -> Column:
-    """Chunks of MIN_LINES or more as [(at, n, h)]."""
+    """Chunks of MIN_LINES or more as [(at, n, h, g)]."""
 
     def cut(starts: Column) -> Column:
         sizes = F.transform(
@@ -83,33 +94,41 @@ def _chunks(digests: Column) -> Column:
         )
         return F.transform(
             F.filter(sizes, lambda c: c["n"] >= MIN_LINES),
-            lambda c: F.struct(c["at"], c["n"], _hash(digests, c["at"], c["n"]).alias("h")),
+            lambda c: _place(digests, c["at"], c["n"]),
         )
 
     return _let(chunk_starts(digests), cut)
 
 
-def _pairs(digests: Column, at: Column | int = 0) -> Column:
-    """Neighbouring lines as [(at, n, h)], with `at` added to their places."""
-    two = F.lit(MIN_LINES)
+def _pairs(digests: Column) -> Column:
+    """Neighbouring lines as [(at, n, h, g)]."""
     return F.transform(
         _numbers(F.lit(0), F.size(digests) - (MIN_LINES - 1)),
-        lambda k: F.struct((k + at).alias("at"), two.alias("n"), _hash(digests, k, two).alias("h")),
+        lambda k: _place(digests, k, F.lit(MIN_LINES)),
     )
 
 
 def _places(texts: DataFrame, passages: Callable[[Column], Column]) -> DataFrame:
-    """(id, at, n, h) of the passages of every text; places count lines with a word only."""
-    found = _let(_digests(F.filter(F.split("text", "\n", -1), _full)), passages)
-    return texts.select("id", F.inline(found))
+    """(id, t, at, n, h, g) of the passages of every text; places count lines with a word only, and t
+    tells texts of one id apart."""
+    found = _let(
+        _digests(F.filter(F.split("text", "\n", -1), _full)),
+        lambda d: F.struct(F.xxhash64(d).alias("t"), passages(d).alias("found")),
+    )
+    return texts.select("id", found.alias("p")).select("id", "p.t", F.inline("p.found"))
 
 
-def _repeats(texts: DataFrame, places: DataFrame, name: str) -> DataFrame:
-    """Places (id, at, n, h, passage) whose bytes are a place before them too."""
-    often = places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    found = places.join(often, "h").groupBy("id").agg(
-        F.collect_set(F.struct("at", "n", "h")).alias("found")
-    )
+def _alike(places: DataFrame) -> DataFrame:
+    """Places whose digest repeats, with `first`, the first place that has it."""
+    often = places.groupBy("h", "g").agg(
+        F.count("*").alias("times"), F.min(F.struct("id", "at")).alias("first")
+    ).where("times > 1").drop("times")
+    return places.join(often, ["h", "g"])
+
+
+def _repeats(texts: DataFrame, alike: DataFrame) -> DataFrame:
+    """Places (id, at, n, h) whose bytes are a place before them too."""
+    found = alike.groupBy("id").agg(F.collect_set(F.struct("at", "n", "h")).alias("found"))
 
     def passages(lines: Column) -> Column:
         return F.transform(
@@ -119,13 +138,13 @@ def _repeats(texts: DataFrame, places: DataFrame, name: str) -> DataFrame:
 
     lines = F.filter(F.split("text", "\n", -1), _full)
     repeated = keep(
-        texts.hint("merge").join(found, "id").select("id", F.inline(_let(lines, passages))), name
+        texts.hint("merge").join(found, "id").select("id", F.inline(_let(lines, passages))), "repeated"
     )
     firsts = repeated.groupBy("passage").agg(
         F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("times")
     ).where("times > 1").select("passage", "first")
     return repeated.join(firsts, "passage").where(F.struct("id", "at") != F.col("first")).select(
-        "id", "at", "n", "h", "passage"
+        "id", "at", "n", "h"
     )
 
 
@@ -176,12 +195,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(
         F.col("id").isNotNull() & F.contains("text", F.lit("\n"))
     )
-    chunks = keep(_repeats(texts, _places(texts, _chunks), "chunks"), "gone_chunks")
-    inside = chunks.select("id", F.inline(
-        _pairs(_digests(F.split("passage", "\n", -1)), F.col("at"))
-    ))
-    pairs = _places(texts, _pairs).join(inside, ["id", "at", "h"], "left_anti")
-    gone = chunks.drop("passage").unionByName(_repeats(texts, pairs, "pairs").drop("passage"))
+    chunks = keep(_alike(_places(texts, _chunks)), "chunks")
+    inside = chunks.where(F.struct("id", "at") != F.col("first")).select(
+        "id", "t", F.explode(_numbers(F.col("at"), F.col("n") - (MIN_LINES - 1))).alias("at")
+    )
+    pairs = _alike(_places(texts, _pairs).join(inside, ["id", "t", "at"], "left_anti"))
+    gone = _repeats(texts, chunks.unionByName(pairs))
     cuts = gone.groupBy("id").agg(F.collect_set(F.struct("at", "n", "h")).alias("_cuts"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     text = F.col("row").getField(text_col)
