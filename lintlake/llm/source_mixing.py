@@ -2,7 +2,7 @@
 
 Every source has a target of words. Its weight over training time is a piecewise linear schedule;
 the integral of the schedule is the share of the target that is due by a time. A document starts
-where the words before it in its source end, in the order of digests of ids; inverting the integral
+where the words before it in its source end, in the order of digests of id and text; inverting the integral
 turns that demand into a training position, and a range sort by position gives the training order.
 Where a target exceeds its source, the source is gone through again.
 
@@ -88,20 +88,18 @@ def mix_sources(
 
     Sources are ordered by code point, null last, and weigh `weights`, repeating. A source's last
     document may be taken in part, so that taken words add up to the rounded target. A null text has
-    no words; documents without words are taken with none. Rows that repeat an id count each; rows
-    without id come first in their source. Reruns agree: order depends on ids and sizes alone. Other
-    columns are ignored or, with `keep_columns`, kept in front; of those, any that is named like a
-    column added here is replaced.
+    no words; documents without words are taken with none. Rows that repeat an id count each, and
+    rows without id too: their texts tell them apart. Reruns agree: order depends on ids and texts
+    alone, and rows equal in both are alike. Other columns are ignored or, with `keep_columns`, kept
+    in front; of those, any that is named like a column added here is replaced.
     """
     sized = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
+        F.md5(F.concat_ws(" ", F.col(id_col).cast("string"), text_col)).alias("digest"),
         *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep_columns else []),
     )
-    digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
-    sized = sized.withColumn("digest", digest).withColumn(
-        "bucket", F.substring("digest", 1, BUCKET_DIGITS)
-    )
+    sized = sized.withColumn("bucket", F.substring("digest", 1, BUCKET_DIGITS))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
@@ -142,17 +140,17 @@ def mix_sources(
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(
+    """The whole mix in training order; what it does not take comes last."""
+    return mix_sources(table(spark, sf_dir, "documents")).orderBy(
         F.asc_nulls_last("position"), "doc_id"
-    ).drop("position")
+    )
 
 
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+         md5(concat_ws(' ', CAST(doc_id AS VARCHAR), text)) AS digest
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -169,14 +167,38 @@ WITH d AS (
                                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w
 ), t AS (
-  SELECT source, source_size, least(cap, weight * (SELECT max(level) FROM l)) AS target FROM l
+  SELECT source, source_size, nth, least(cap, weight * (SELECT max(level) FROM l)) AS target FROM l
 ), o AS (
   SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id, size
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d
+), c AS (  -- the schedules, piece by piece: weight a at time u0, weight b at time u1
+  SELECT kind, CAST(u0 AS DOUBLE) AS u0, CAST(a AS DOUBLE) AS a, CAST(u1 AS DOUBLE) AS u1, CAST(b AS DOUBLE) AS b
+  FROM (VALUES (0, 0, 1.5, 0.5, 1), (0, 0.5, 1, 1, 0.5), (1, 0, 1, 1, 1),
+               (2, 0, 0.25, 0.7, 0.75), (2, 0.7, 0.75, 1, 3)) v(kind, u0, a, u1, b)
+), g AS (
+  SELECT *, (u1 - u0) * (a + b) / 2 AS part, sum((u1 - u0) * (a + b) / 2) OVER (PARTITION BY kind) AS area,
+         coalesce(sum((u1 - u0) * (a + b) / 2) OVER (
+           PARTITION BY kind ORDER BY u0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
+  FROM c
+), p AS (
+  SELECT kind, u0, a, (b - a) / (u1 - u0) AS slope, area, done / area AS past,
+         CASE WHEN u0 = 0 THEN -1 ELSE done / area END AS above, (done + part) / area AS upto
+  FROM g
+), r AS (
+  SELECT doc_id, size, source_size, target, nth,
+         least(greatest(floor(target + 0.5) - start, 0), size) AS first_pass,
+         least(greatest(floor(target + 0.5) - source_size - start, 0), size) AS second_pass,
+         CAST(start AS DOUBLE) / floor(target + 0.5) AS due1,
+         CAST(source_size + start AS DOUBLE) / floor(target + 0.5) AS due2
+  FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target,
-       CAST(least(greatest(floor(target + 0.5) - start, 0), size)
-            + least(greatest(floor(target + 0.5) - source_size - start, 0), size) AS BIGINT) AS taken
-FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+SELECT doc_id, size, source_size, target, CAST(first_pass + second_pass AS BIGINT) AS taken,
+       p1.u0 + (due1 - p1.past) * p1.area * 2
+         / (sqrt(greatest(p1.a * p1.a + (due1 - p1.past) * p1.area * (2 * p1.slope), 0)) + p1.a) AS position,
+       p2.u0 + (due2 - p2.past) * p2.area * 2
+         / (sqrt(greatest(p2.a * p2.a + (due2 - p2.past) * p2.area * (2 * p2.slope), 0)) + p2.a) AS again
+FROM r
+LEFT JOIN p p1 ON first_pass > 0 AND p1.kind = nth % 3 AND due1 > p1.above AND due1 <= p1.upto
+LEFT JOIN p p2 ON second_pass > 0 AND p2.kind = nth % 3 AND due2 > p2.above AND due2 <= p2.upto
 """

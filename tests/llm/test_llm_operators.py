@@ -274,6 +274,54 @@ def test_positions_follow_the_schedule(spark):
     assert found == pytest.approx([0.0, 0.25, 0.5, 0.75, 1.0])
 
 
+def test_positions_of_rows_equal_integrals_of_the_schedules(docs):
+    """By a position, a source's schedule has let through the words that stand before the document."""
+    by_source = {}
+    for r in source_mixing.mix_sources(docs).select("*").collect():
+        by_source.setdefault(r["source_size"], []).append(r)
+    sources = Counter()
+    for r in docs.collect():
+        sources[r["source"]] += len(_words(r["text"]))
+    order = sorted(sources, key=lambda s: (s is None, s))
+    for nth, source in enumerate(order):
+        if list(sources.values()).count(sources[source]) > 1 or not sources[source]:
+            continue
+        schedule = source_mixing.SCHEDULES[nth % len(source_mixing.SCHEDULES)]
+        budget = math.floor(by_source[sources[source]][0]["target"] + 0.5)
+
+        def due(time):
+            total = done = 0.0
+            for (u0, a), (u1, b) in zip(schedule, schedule[1:]):
+                total += (u1 - u0) * (a + b) / 2
+                u = min(max(time, u0), u1) - u0
+                done += u * a + u * u * (b - a) / (u1 - u0) / 2
+            return done / total
+
+        places = sorted(
+            (r[k], r["size"]) for r in by_source[sources[source]] for k in ("position", "again")
+            if r[k] is not None
+        )
+        ahead = 0
+        for at, size in places:
+            assert due(at) * budget == pytest.approx(ahead, abs=1e-6 * budget + 1e-6)
+            ahead += size
+        assert ahead >= budget
+
+
+def test_rows_without_id_are_told_apart_by_their_texts(spark):
+    """Rows without id lie in many buckets, and rerunning places them alike."""
+    rows = spark.createDataFrame(
+        [(None if k % 2 else 7, f"text {k} " * (k % 5 + 1), "a") for k in range(300)],
+        "doc_id long, text string, source string",
+    )
+    one, two = (
+        sorted((r["text"], r["position"], r["again"] or 0) for r in source_mixing.mix_sources(x, keep_columns=True).collect())
+        for x in (rows, rows.repartition(7))
+    )
+    assert one == two
+    assert len({position for _, position, _ in one}) == 300
+
+
 def test_mixing_of_nothing_and_of_empty_texts(spark, empty):
     assert source_mixing.mix_sources(empty).count() == 0
     rows = source_mixing.mix_sources(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).collect()

@@ -22,7 +22,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not presen
 COLUMNS = {
     "op1_exact_topk": {"query_id", "rank", "vec_id", "score"},
     "op2_substring_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"},
-    "op4_source_mixing": {"doc_id", "size", "source_size", "target", "taken"},
+    "op4_source_mixing": {"doc_id", "size", "source_size", "target", "taken", "position", "again"},
     "op5_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
     "op7_lm_scoring": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op9_minhash_near_dedup": {"doc_id", "n_shingles", "component_id", "kept"},
