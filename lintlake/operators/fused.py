@@ -101,10 +101,15 @@ def fused_evidence(
         rows = rows.select(
             *_FILE, "raw", *done, F.when(F.col("may_functions"), tokens.function_fold()).alias("found"),
             F.when(F.col("may_functions"), tokens.offsets()).alias("offsets"),
-            F.when(F.col("name_marks").isNotNull(), tokens.all_names()).alias("names"),
+            "name_marks", F.when(F.col("name_marks").isNotNull(), tokens.all_names()).alias("names"),
         )
         rows = rows.select(
-            *_FILE, *done, tokens.unused_items().alias("unused_items"), tokens.spans_of().alias("spans")
+            *_FILE, "raw", *done, "found", "offsets", "names",
+            F.when(F.col("names").isNotNull(), tokens.shadows()).alias("hidden"),
+        )
+        rows = rows.select(
+            *_FILE, *done, F.when(F.col("names").isNotNull(), tokens.unused_items()).alias("unused_items"),
+            tokens.spans_of().alias("spans")
         )
         rows = rows.select(
             "repo_id", "path", *done, "unused_items", tokens.function_items().alias("function_items")

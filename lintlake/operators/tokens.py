@@ -4,8 +4,10 @@ A file is cut into tokens by one native regex. Offsets, lines, bracket partners,
 names come from folds over the token array inside the file's row: nothing is shuffled, and a text
 meets only its own tokens.
 
-Limits: regex literals that hold quotes or brackets, object types as return annotation, and
-nested templates are read as plain tokens.
+A slash starts a regex literal where an operator, an opening bracket or a word such as `return`
+stands before it. Limits: object types as return annotation, a regex literal behind a comment or at
+the start of a statement without semicolon before it, and templates nested deeper than NESTED are read
+as plain tokens.
 """
 
 from __future__ import annotations
@@ -19,15 +21,41 @@ from lintlake.operators.issues import evidence, found, union_all
 from lintlake.operators.rules import Options
 from lintlake.sources.files import has_content
 
-# Alternatives in order: block comment, line comment, three kinds of string, arrow, word, any
-# other character. Each match takes the white space before it, so lengths add up to offsets. The
-# loops are unrolled and possessive: linear, and no recursion on long texts.
+NESTED = 3  # levels of `${...}`, braces in it included, that a template is followed into
+_DOUBLE = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
+_SINGLE = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
+
+
+def _template(levels: int) -> str:
+    if not levels:
+        return r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
+    return r"`(?:[^`\\$]++|\\[\s\S]|\$\{" + _hole(levels) + r"\}|\$)*+`"
+
+
+def _hole(levels: int) -> str:
+    """What stands between `${` and `}`. One that does not end counts as text of the template."""
+    inner = rf"|\{{{_hole(levels - 1)}\}}" if levels > 1 else ""
+    return rf"(?:[^{{}}`'\"]++|{_DOUBLE}|{_SINGLE}|{_template(levels - 1)}{inner})*+"
+
+
+# What stands before a regex literal. `<`, `>` and `}` are not among them, as they stand before the
+# slash of a tag; nor `)`, `]`, `+` and `-`, which stand before a division too.
+BEFORE_REGEX = ("=>", *"(,=:[!&|?{;~^*%")
+WORDS_BEFORE_REGEX = (
+    "return", "typeof", "case", "in", "of", "delete", "void", "throw", "do", "else", "await", "yield",
+)
+_REGEX_PART = r"\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\]"
+_REGEX = (
+    r"/(?<=(?:=>|[(,=:\[!&|?{;~^*%]|(?<![\w$.])(?:" + "|".join(WORDS_BEFORE_REGEX) + r"))\s{0,32}/)"
+    rf"(?:[^/*\\\[\n]|{_REGEX_PART})(?:[^/\\\[\n]|{_REGEX_PART})*+/[A-Za-z]*+"
+)
+
+# Alternatives in order: block comment, line comment, regex literal, three kinds of string, arrow,
+# word, any other character. Each match takes the white space before it, so lengths add up to
+# offsets. The loops are possessive: linear, and no recursion on long texts.
 TOKEN = (
     r"\s*+(?:/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
-    r"|//[^\n]*+"
-    r'|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
-    r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
-    r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
+    rf"|//[^\n]*+|{_REGEX}|{_DOUBLE}|{_SINGLE}|{_template(NESTED)}"
     r"|=>|[A-Za-z_$][A-Za-z0-9_$]*+|\S)"
 )
 MAX_FUNCTION_LINES = 50
@@ -196,7 +224,7 @@ def function_marks() -> Column:
     first, before = "get(code, i - u)", "get(code, i - u - 1)"
     finished = (
         f"({before} is null or {_in(f'{before}.tok', (';', '}'))} or "
-        f"({before}.tok rlike '^[A-Za-z0-9_$)\\\\]\\'\"`]' and {broken(before, first)}))"
+        f"({before}.tok rlike '^(/.|[A-Za-z0-9_$)\\\\]\\'\"`])' and {broken(before, first)}))"
     )
     name = "if(get(code, i + 1).tok = '*', get(code, i + 2).tok, get(code, i + 1).tok)"
     named = f"if(coalesce({name} rlike {_WORD}, false), {name}, 'anonymous')"
@@ -392,13 +420,23 @@ def function_evidence(files: DataFrame, options: Options = Options()) -> DataFra
 IDENT = r"[A-Za-z_$][A-Za-z0-9_$]*"
 
 
-_NAME = "struct<name:string,pos:int,declares:boolean>"
+_NAME = "struct<name:string,pos:int,declares:boolean,binds:boolean>"
+_SHADOW = "struct<name:string,lo:int,hi:int>"
 _DECLARING = ("const", "let", "var")
+_BINDING = (*_DECLARING, "function", "class")  # words before a name that a block declares
+_CONTROL = ("if", "for", "while", "switch", "with")  # brackets after these are no parameters
+_LISTED = "(x.prev1 in ('(', ',') or (x.prev1 = '.' and x.prev2 = '.'))"
+# A member, a key, a label or a parameter with a type: not the variable of that name.
+_LABEL = (
+    "((x.prev1 = '.' and coalesce(x.prev2 != '.', true)) or (x.prev1 in ('{', ',', '(', ';') and "
+    "(x.next1 = ':' or (x.next1 = '?' and x.next2 = ':'))))"
+)
 
 
 def _name_fold() -> str:
     """Every name in the column `name_marks`, with whether it stands where a top-level variable is
-    declared.
+    declared, and whether it may be one that a block or a parameter list declares. Other members,
+    keys and labels are left out.
 
     The state tells the depth; whether a declaration or something else began last; whether the
     declarator is at its value or its type; and whether the open brackets are a pattern.
@@ -421,35 +459,96 @@ def _name_fold() -> str:
         f"({_in('x.prev1', ('{', '[', ',', ':'))} or (x.prev1 = '.' and x.prev2 = '.')))"
     )
     declares = f"coalesce(({top} and {starts} and not {_in('x.tok', _DECLARING)}) or {bound}, false)"
-    row = f"struct(x.tok as name, x.pos as pos, {declares} as declares)"
+    binds = f"coalesce(a.depth > 0 and ({_in('x.prev1', _BINDING)} or {_LISTED}), false)"
+    row = f"struct(x.tok as name, x.pos as pos, {declares} as declares, {binds} as binds)"
     state = {"depth": "0", "inside": "'s'", "phase": "''", "pattern": "'x'"}
     step = {
         "depth": f"a.depth + case when {_in('x.tok', _OPENS)} then 1 when {_in('x.tok', _CLOSES)} then -1 else 0 end",
         "inside": inside, "phase": phase, "pattern": pattern,
     }
-    return fold("name_marks", state, step, _NAME, row, when=f"x.tok rlike {_WORD}")
+    # A label may still be a declared name (`a = 1, b: T = 2`) or a parameter that hides one.
+    counts = f"(coalesce(not {_LABEL}, true) or {declares} or {binds})"
+    return fold("name_marks", state, step, _NAME, row, when=f"x.tok rlike {_WORD} and {counts}")
 
 
 def name_marks() -> Column:
     """Tokens of `code` with their neighbours."""
     return F.expr(
         "transform(code, (t, i) -> struct(t.tok as tok, t.pos as pos, get(code, i - 1).tok as prev1, "
-        "get(code, i - 2).tok as prev2, get(code, i + 1).tok as next1))"
+        "get(code, i - 2).tok as prev2, get(code, i + 1).tok as next1, get(code, i + 2).tok as next2))"
     )
 
 
 def template_names() -> Column:
-    """Names inside `${...}` of templates in `code`; they declare nothing."""
+    """Names inside `${...}` of templates in `code`; they declare nothing. Of a template that holds
+    templates all words count."""
+    name = "struct(n as name, t.pos as pos, false as declares, false as binds)"
     return F.expr(
-        "flatten(transform(filter(code, t -> startswith(t.tok, '`')), t -> flatten(transform("
-        "regexp_extract_all(t.tok, '\\\\$\\\\{([^}]*)\\\\}', 1), h -> transform("
-        f"regexp_extract_all(h, '{IDENT}', 0), n -> struct(n as name, t.pos as pos, false as declares))))))"
+        "flatten(transform(filter(code, t -> startswith(t.tok, '`')), t -> "
+        "if(length(t.tok) - length(replace(t.tok, '`', '')) > 2, "
+        f"transform(regexp_extract_all(t.tok, '{IDENT}', 0), n -> {name}), "
+        "flatten(transform(regexp_extract_all(t.tok, '\\\\$\\\\{([^}]*)\\\\}', 1), h -> "
+        f"transform(regexp_extract_all(h, '{IDENT}', 0), n -> {name}))))))"
     )
 
 
 def all_names() -> Column:
-    """Every name of `name_marks` and `in_templates` as `(name, pos, declares)`, by name."""
-    return F.sort_array(F.concat(F.expr(_name_fold()), "in_templates"))
+    """Every name of `name_marks` and `in_templates` as `(name, pos, declares, binds)`."""
+    return F.concat(F.expr(_name_fold()), "in_templates")
+
+
+def shadows() -> Column:
+    """Where a block hides a top-level variable that it declares anew, as `(name, lo, hi)`, from
+    `name_marks` and `names`.
+
+    A block declares the names after `const`, `let`, `var`, `function` and `class` right inside it, and
+    those of the parameter list before it, between which and the block only an arrow may stand. One
+    fold with a stack of all open brackets, and only for files that have such a name.
+    """
+    named = "struct<name:string,lo:int>"
+    opened = f"struct<pos:int,curly:boolean,lists:boolean,names:array<{named}>>"
+    last = "element_at(a.open, -1)"
+    add = (
+        f"transform(a.open, (o, i) -> if(i = size(a.open) - 1, struct(o.pos as pos, o.curly as curly, o.lists as "
+        "lists, array_append(o.names, struct(x.tok as name, o.pos as lo)) as names), o))"
+    )
+    lists = f"(x.tok = '(' and coalesce(not {_in('x.prev1', _CONTROL)}, true))"
+    body = (
+        "coalesce(x.tok = '{' and a.list is not null and (x.prev1 = ')' or (x.prev1 = '=>' and x.prev2 = ')')), false)"
+    )
+    push = (
+        f"array_append(a.open, struct(x.pos as pos, x.tok = '{{' as curly, {lists} as lists, "
+        f"if({body}, a.list.names, cast(array() as array<{named}>)) as names))"
+    )
+    held = (
+        f"x.tok rlike {_WORD} and size(a.open) > 0 and coalesce(({last}.curly and {_in('x.prev1', _BINDING)}) or "
+        f"({last}.lists and {_LISTED}), false)"
+    )
+    step = {
+        "open": (
+            f"case when {_in('x.tok', _OPENS)} then {push} when {_in('x.tok', _CLOSES)} and size(a.open) > 0 "
+            f"then slice(a.open, 1, size(a.open) - 1) when {held} then {add} else a.open end"
+        ),
+        "list": (
+            f"case when x.tok = ')' and size(a.open) > 0 and {last}.lists then {last} "
+            "when x.tok = '=>' then a.list end"
+        ),
+    }
+    state = {"open": f"cast(array() as array<{opened}>)", "list": f"cast(null as {opened})"}
+    out = (
+        f"if(x.tok = '}}' and size(a.open) > 0 and {last}.curly, "
+        f"transform({last}.names, n -> struct(n.name as name, n.lo as lo, x.pos as hi)), null)"
+    )
+    chosen = lambda flag: f"transform(filter(names, n -> n.{flag}), n -> n.name)"
+    marks = (
+        f"transform(array(array_intersect({chosen('binds')}, {chosen('declares')})), hidden -> "
+        f"if(size(hidden) = 0, null, filter(name_marks, m -> {_in('m.tok', (*_OPENS, *_CLOSES, '=>'))} "
+        "or array_contains(hidden, m.tok))))[0]"
+    )
+    return F.expr(
+        f"transform(array({marks}), marks -> if(marks is null, cast(array() as array<{_SHADOW}>), "
+        f"{fold('marks', state, step, _SHADOW, out)}))[0]"
+    )
 
 
 def declaring() -> Column:
@@ -457,33 +556,60 @@ def declaring() -> Column:
     return any_of(*[F.contains("content", F.lit(w)) for w in _DECLARING])
 
 
-def unused_items() -> Column:
-    """Evidence of declared names that occur once, from `names` and `raw`. Such a name has other
-    neighbours in the sorted names, so none is looked up; its line is counted for findings only."""
-    once = F.expr(
-        "filter(names, (x, i) -> x.declares and not startswith(x.name, '_') "
-        "and not coalesce(get(names, i - 1).name = x.name, false) "
-        "and not coalesce(get(names, i + 1).name = x.name, false))"
+def unused_names() -> Column:
+    """Declared names without another use, as `(name, pos)`, from `names` and `hidden`.
+
+    Names and the places where a block hides them are sorted together by name and place; a use counts
+    unless it lies before the farthest end of a hiding block that began before it.
+    """
+    every = (
+        "sort_array(concat(transform(names, n -> struct(n.name as name, n.pos as pos, -1 as hi, "
+        "n.declares as declares)), transform(hidden, h -> struct(h.name as name, h.lo as pos, h.hi as hi, "
+        "false as declares))))"
     )
+    same = "(a.name = x.name)"
+    counted = f"(x.hi < 0 and (x.declares or not {same} or a.cover < x.pos))"
+    state = {"name": "''", "n": "0", "at": "-1", "cover": "-1"}
+    step = {
+        "name": "x.name",
+        "n": f"if({same}, a.n, 0) + if({counted}, 1, 0)",
+        "at": f"if(x.declares, x.pos, if({same}, a.at, -1))",
+        "cover": f"if({same}, greatest(a.cover, x.hi), x.hi)",
+    }
+    one = lambda r: f"{r}.n = 1 and {r}.at >= 0 and not startswith({r}.name, '_')"
+    item = lambda r: f"array(struct({r}.name as name, {r}.at as pos))"
+    none = "cast(array() as array<struct<name:string,pos:int>>)"
+    found = fold(
+        "every", state, step, "struct<name:string,pos:int>",
+        f"if(not {same} and {one('a')}, {item('a')}, null)", f"if({one('b')}, {item('b')}, {none})",
+    )
+    return F.expr(f"transform(array({every}), every -> {found})[0]")
+
+
+def unused_items() -> Column:
+    """Evidence of unused names, from `names`, `hidden` and `raw`; a line is counted for findings only."""
     before = lambda x: _newlines(F.array_join(F.slice("raw", 1, x["pos"] + 1), ""))
-    return F.transform(once, lambda x: evidence(
+    return F.transform(unused_names(), lambda x: evidence(
         "no-unused-vars", line=before(x) + 1, name=x["name"], k1=x["pos"]
     ))
 
 
 def unused_evidence(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """Top-level variables whose name occurs once in the file.
+    """Top-level variables that their file does not use.
 
     Every declarator of a statement counts, and every name that a destructuring pattern binds: names
     after `{`, `[`, `,`, `:` or `...` in the brackets of the pattern, but for keys before a colon and
     default values. Commas inside a type annotation declare nothing. Names inside `${...}` of a
-    template count as uses.
+    template count as uses. Members after a dot, keys, labels and typed parameters are no uses; nor are
+    names in a block that declares them anew, itself or by its parameters. The parameters of an arrow
+    without block hide nothing.
     """
     rows = typed_sources(files, options, declaring()).select(*_FILE, matches().alias("raw"))
     rows = rows.select(*_FILE, "raw", code_of().alias("code"))
     rows = rows.select(
         *_FILE, "raw", name_marks().alias("name_marks"), template_names().alias("in_templates")
-    ).select(*_FILE, "raw", all_names().alias("names"))
+    ).select(*_FILE, "raw", "name_marks", all_names().alias("names"))
+    rows = rows.select(*_FILE, "raw", "names", shadows().alias("hidden"))
     return _rows(rows, unused_items(), "entry")
 
 

@@ -141,10 +141,50 @@ def test_function_spans_ignore_braces_in_strings_and_comments(make_files):
     ]
 
 
+def test_slashes_and_templates_are_told_apart(make_files):
+    def cut(text):
+        rows = tokens.tokens(tokens.typed_sources(make_files({"a.tsx": text}))).orderBy("pos").collect()
+        return [r.tok for r in rows]
+
+    assert cut("a = /['\"`{]/g.test(b)") == ["a", "=", "/['\"`{]/g", ".", "test", "(", "b", ")"]
+    assert cut("return /\\/[/*]\n/i") == ["return", "/", "\\", "/", "[", "/", "*", "]", "/", "i"]
+    assert cut("x.return / 2 / y") == ["x", ".", "return", "/", "2", "/", "y"]
+    assert cut("(a + b) / 2 / c[0] / d") == list("(a+b)/2/c[0]/d")
+    assert cut("<b>{x}</b>") == list("<b>{x}</b>")
+    assert cut("x => /a\\/b/") == ["x", "=>", "/a\\/b/"]
+    assert cut("[/a/, /[/]/u]") == ["[", "/a/", ",", "/[/]/u", "]"]
+    assert cut("`a ${b ? `c ${'}'}` : {d: 1}} e` f") == ["`a ${b ? `c ${'}'}` : {d: 1}} e`", "f"]
+    assert cut("`a ${b` c") == ["`a ${b`", "c"]
+    assert cut("`\\`$` $") == ["`\\`$`", "$"]
+
+
+def test_names_are_used_in_their_scope(make_files):
+    def unused(text):
+        rows = tokens.unused_evidence(make_files({"a.ts": text})).collect()
+        return sorted(r.name for r in rows)
+
+    assert unused("const a = 1;\nfunction f(a) { return a; }\nf();") == ["a"]
+    assert unused("const a = 1;\nfunction f(b) { return a; }\nf();") == []
+    assert unused("const a = 1;\nconst g = (x, ...a) => { return a; };\ng(1);") == ["a"]
+    assert unused("const a = 1;\nconst g = (x = a) => { const a = 2; return a; };\ng(1);") == []
+    assert unused("const a = 1;\nif (a) { go(); }") == []
+    assert unused("const a = 1;\ntry { go(); } catch (a) { log(a); }") == ["a"]
+    assert unused("const a = 1;\n{ let a = 2; log(a); }\nlog(a);") == []
+    assert unused("const a = 1;\n{ { let a = 2; } log(a); }") == []
+    assert unused("const a = 1;\nx.a = { a: 2, b: y?.a };\ntype T = { a?: U };") == ["a"]
+    assert unused("const a = 1, b: T = 2;\nlog({ a }, ...b);") == []
+    assert unused("const a = 1;\nlog(c ? a : 2);\nlog(c ? 1 : a)") == []
+    assert unused("const a = 1;\nlog(`x ${y ? `${a}` : 1}`);") == []
+    assert unused("const a = /b/;\nconst b = '/a/';") == ["a", "b"]
+    assert unused("const a = 1;\nfunction f(a) {") == []
+
+
 def test_long_template_does_not_overflow(make_files):
     text = "const t = `" + "a\\`" * 200_000 + "`;\nexport { t };"
     spread = tokens.typed_sources(make_files({"a.ts": text}))
     assert tokens.tokens(spread, ()).count() == 10
+    for text in ("const t = `" + "${a} {" * 200_000 + "`;", "a = /" + "[/]\\/x" * 200_000 + "/;"):
+        assert tokens.tokens(tokens.typed_sources(make_files({"a.ts": text}))).count() in (4, 5)
 
 
 def test_fixes(make_files):

@@ -226,7 +226,8 @@ _by_rule["require-tests"] = ["missing-test", "no-tests"]
 for _name, _keys in _by_rule.items():
     _extra = (
         _SPANS if set(_keys) & {"max-lines-per-function", "complexity"}
-        else _TOKENS if set(_keys) & {"no-unused-vars", "no-explicit-any"}
+        else f"{_TOKENS}, {rs.BRACKETS}" if "no-unused-vars" in _keys
+        else _TOKENS if "no-explicit-any" in _keys
         else f", {rs.CYCLES}" if "no-circular-dependencies" in _keys else ""
     )
     _rule_query(_name, _keys, _extra)

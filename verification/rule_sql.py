@@ -271,14 +271,34 @@ RULES: dict[str, str] = {
 }
 # ---- tokens ------------------------------------------------------------------------------------
 
+_DOUBLE = r'"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"'
+_SINGLE = r"'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'"
+
+
+def _template(levels: int) -> str:
+    if not levels:
+        return r"`[^`\\]*(?:\\[\s\S][^`\\]*)*`"
+    return r"`(?:[^`\\$]|\\[\s\S]|\$\{" + _hole(levels) + r"\}|\$)*`"
+
+
+def _hole(levels: int) -> str:
+    braces = r"|\{" + _hole(levels - 1) + r"\}" if levels > 1 else ""
+    return r"""(?:[^{}`'"]|""" + f"{_DOUBLE}|{_SINGLE}|{_template(levels - 1)}{braces})*"
+
+
+# A regex literal is matched together with the operator or word before it, and split off below.
+_AHEAD = (
+    r"(?:=>|[(,=:\[!&|?{;~^*%]|return|typeof|case|in|of|delete|void|throw|do|else|await|yield)"
+)
+_IN_REGEX = r"\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\]"
+_REGEX = rf"/(?:[^/*\\\[\n]|{_IN_REGEX})(?:[^/\\\[\n]|{_IN_REGEX})*/[A-Za-z]*"
 _TOKEN = (
-    r"[\s\x0b]*(?:/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
-    r"|//[^\n]*"
-    r'|"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"'
-    r"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'"
-    r"|`[^`\\]*(?:\\[\s\S][^`\\]*)*`"
+    rf"[\s\x0b]*(?:{_AHEAD}[\s\x0b]*{_REGEX}"
+    r"|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|//[^\n]*"
+    rf"|{_DOUBLE}|{_SINGLE}|{_template(3)}"
     r"|=>|[A-Za-z_$][A-Za-z0-9_$]*|[^\s\x0b])"
 )
+_PAIR = rf"^([\s\x0b]*{_AHEAD})([\s\x0b]*/[\s\S]*)$"
 _BREAKS = "(length({0}) - length(replace({0}, chr(10), '')))"
 
 TOKENS = f"""tokens AS MATERIALIZED (
@@ -287,7 +307,9 @@ TOKENS = f"""tokens AS MATERIALIZED (
     CAST(sum(length(raw)) OVER w - length(tok) AS INTEGER) AS start
   FROM (SELECT *, regexp_replace(raw, '^[\\s\\x0b]+', '') AS tok FROM (
     SELECT repo_id, path, unnest(t) AS raw, generate_subscripts(t, 1) - 1 AS pos FROM (
-      SELECT repo_id, path, regexp_extract_all(content, {q(_TOKEN)}) AS t
+      SELECT repo_id, path, flatten(list_transform(regexp_extract_all(content, {q(_TOKEN)}),
+        lambda x: CASE WHEN regexp_matches(x, {q(_PAIR)})
+          THEN [regexp_extract(x, {q(_PAIR)}, 1), regexp_extract(x, {q(_PAIR)}, 2)] ELSE [x] END)) AS t
       FROM filled WHERE {TYPED})))
   WINDOW w AS (PARTITION BY repo_id, path ORDER BY pos)
 ),
@@ -366,7 +388,7 @@ spans AS MATERIALIZED (
   JOIN by_rn h ON h.repo_id = u.repo_id AND h.path = u.path AND h.rn = u.rn - u.mods
   LEFT JOIN by_rn p ON p.repo_id = u.repo_id AND p.path = u.path AND p.rn = u.rn - u.mods - 1
   WHERE p.tok IS NULL OR p.tok IN (';', '}}')
-    OR (p.line_no < h.line_no AND regexp_matches(p.tok, '[A-Za-z0-9_$)\\]''"`]$'))
+    OR (p.line_no < h.line_no AND regexp_matches(p.tok, '[A-Za-z0-9_$)\\]''"`]$|^/.'))
   UNION ALL
   SELECT a.repo_id, a.path, 'arrow', 'anonymous', a.pos,
     coalesce(CASE WHEN b1.tok = ')' THEN q1.open_start
@@ -402,7 +424,11 @@ _STARTS = """(prev1 IN ('const', 'let', 'var') OR (prev1 = ',' AND inside = 'd'
 _NAMES = f"""(SELECT repo_id, path, pos, line_no, tok AS name, coalesce(
     (depth = 0 AND {_STARTS} AND tok NOT IN ('const', 'let', 'var'))
     OR (depth > 0 AND pattern = 'p' AND coalesce(next1 <> ':', TRUE)
-        AND (prev1 IN ('{{', '[', ',', ':') OR (prev1 = '.' AND prev2 = '.'))), FALSE) AS declares
+        AND (prev1 IN ('{{', '[', ',', ':') OR (prev1 = '.' AND prev2 = '.'))), FALSE) AS declares,
+    coalesce(depth > 0 AND (prev1 IN ('const', 'let', 'var', 'function', 'class', '(', ',')
+      OR (prev1 = '.' AND prev2 = '.')), FALSE) AS binds,
+    coalesce((prev1 = '.' AND coalesce(prev2 <> '.', TRUE)) OR (prev1 IN ('{{', ',', '(', ';')
+      AND (next1 = ':' OR (next1 = '?' AND next2 = ':'))), FALSE) AS label
   FROM (
     SELECT *, last_value(CASE WHEN depth = 0 THEN CASE WHEN tok IN ('{{', '[') AND {_STARTS}
         THEN 'p' ELSE 'x' END END IGNORE NULLS) OVER (PARTITION BY repo_id, path ORDER BY pos) AS pattern
@@ -420,9 +446,32 @@ _NAMES = f"""(SELECT repo_id, path, pos, line_no, tok AS name, coalesce(
   WHERE regexp_matches(tok, '^[A-Za-z_$]')
   UNION ALL
   SELECT repo_id, path, pos, line_no, unnest(regexp_extract_all(hole, '[A-Za-z_$][A-Za-z0-9_$]*')),
-    FALSE
-  FROM (SELECT *, unnest(regexp_extract_all(tok, '\\$\\{{([^}}]*)\\}}', 1)) AS hole
+    FALSE, FALSE, FALSE
+  FROM (SELECT *, unnest(CASE WHEN length(tok) - length(replace(tok, '`', '')) > 2 THEN [tok]
+          ELSE regexp_extract_all(tok, '\\$\\{{([^}}]*)\\}}', 1) END) AS hole
         FROM code_tokens WHERE starts_with(tok, '`')))"""
+# Blocks that declare a name anew: by a declaration whose nearest open bracket is the block's, or in the
+# parameter list before the block.
+_HIDDEN = """(SELECT t.repo_id, t.path, t.tok AS name, b.open_pos AS lo, b.close_pos AS hi
+  FROM code_tokens t JOIN brackets b ON b.repo_id = t.repo_id AND b.path = t.path AND b.kind = '{'
+    AND b.depth = t.depth - 1 AND t.pos BETWEEN b.open_pos AND b.close_pos
+  WHERE t.prev1 IN ('const', 'let', 'var', 'function', 'class') AND regexp_matches(t.tok, '^[A-Za-z_$]')
+  UNION ALL
+  SELECT t.repo_id, t.path, t.tok, g.open_pos, b.close_pos
+  FROM brackets g
+  JOIN code_tokens o ON o.repo_id = g.repo_id AND o.path = g.path AND o.rn = g.open_rn
+  JOIN code_tokens n ON n.repo_id = g.repo_id AND n.path = g.path AND n.rn = g.close_rn + 1
+  JOIN brackets b ON b.repo_id = g.repo_id AND b.path = g.path AND b.kind = '{'
+    AND b.open_rn = CASE WHEN n.tok = '=>' THEN g.close_rn + 2 ELSE g.close_rn + 1 END
+  JOIN (SELECT *, lag(tok, 2) OVER (PARTITION BY repo_id, path ORDER BY pos) AS prev2 FROM code_tokens) t
+    ON t.repo_id = g.repo_id AND t.path = g.path AND t.depth = g.depth + 1
+    AND t.pos BETWEEN g.open_pos AND g.close_pos
+  WHERE g.kind = '(' AND coalesce(o.prev1 NOT IN ('if', 'for', 'while', 'switch', 'with'), TRUE)
+    AND (t.prev1 IN ('(', ',') OR (t.prev1 = '.' AND t.prev2 = '.'))
+    AND regexp_matches(t.tok, '^[A-Za-z_$]'))"""
+_USES = f"""(SELECT * FROM {_NAMES} n WHERE declares OR ((binds OR NOT label) AND NOT EXISTS (
+  SELECT 1 FROM {_HIDDEN} h WHERE h.repo_id = n.repo_id AND h.path = n.path AND h.name = n.name
+    AND n.pos BETWEEN h.lo AND h.hi)))"""
 
 TOKEN_RULES: dict[str, str] = {
     "max-lines-per-function": evidence(
@@ -433,7 +482,7 @@ TOKEN_RULES: dict[str, str] = {
     ),
     "no-unused-vars": evidence(
         f"""(SELECT repo_id, path, name, min(pos) AS pos, min(CASE WHEN declares THEN line_no END)
-          AS line_no FROM {_NAMES} GROUP BY 1, 2, 3 HAVING count(*) = 1)""",
+          AS line_no FROM {_USES} GROUP BY 1, 2, 3 HAVING count(*) = 1)""",
         "line_no IS NOT NULL AND NOT starts_with(name, '_')", line="line_no", name="name", k1="pos",
     ),
     "no-explicit-any": evidence(

@@ -53,7 +53,16 @@ SNIPPETS: tuple[Snippet, ...] = (
             "import { e } from '../graph/./m{p1}';\nconst unusedThing = 1;\nconst _skip = 2;\n/*",
             "*/\nlet used: any = e;\nfunction pick(x: Array<any>, any: number): any {\n"
             "  return used as any;\n}\nconst shown = `${label} text`;\nconst label = 'any';\n"
-            "export { pick, shown };"),
+            "export { pick, shown };\n"
+            # Slashes and templates that are easily misread.
+            "const quote = /[\"'`/{]\\/(/g, half = 8 / 2 / 1;\nconst parts = [/\"/, /}/i].map(x => /'/.test(x));\n"
+            "const nested = `a ${quote ? `b${'}'} ${{ k: 1 }.k}` : \"c\"} d {`;\n"
+            "function strip(s: string) {\n  return /\\/*{/.test(s);\n}\n"
+            # Names that a block, a member or a key only seems to use.
+            "const shade = 1;\nfunction dim(shade) { return shade; }\nconst lit = 2;\nfunction on() {\n"
+            "  const lit = 3;\n  return lit + o.key;\n}\nconst key = 4, flag: boolean = true;\n"
+            "const opts = { key: 5, flag };\nconst kept = 6, gone = 7;\ntype T = { gone?: number };\n"
+            "use(items.map((kept) => { return kept; }), kept, half, parts, nested, strip, dim, on, opts);"),
     Snippet("src/graph/", 0, ".ts",
             "import { f } from './m{m3}';\nimport { none } from './missing';\n/*",
             "*/\nfunction twin() { return 1; }\nconst twin = (x) => x;\nfunction twin () {}\n"
