@@ -11,14 +11,16 @@ COVERAGE of the item's windows and its slots are consistent: every value of the
 value of the document, as it does in a copy and in a question with new parameters. Where the
 diagonal changes, the words between the two are compared by their tokens.
 
-Items are sent to the tasks in parts of at most PART_WINDOWS windows; each part is one more scan of
-the documents, so a benchmark of any size is compared in full. No text is shuffled.
+Items are sent to the tasks in parts of at most PART_WINDOWS windows, of which the driver holds one at
+a time; each part is one more scan of the documents, so a benchmark of any size is compared in full.
+No text is shuffled.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lintlake.llm import _text
-from lintlake.llm._store import table
+from lintlake.llm._store import keep, table
 
 WINDOW, LITERALS = 8, 4
 COVERAGE, CONSISTENCY = 0.5, 0.8
@@ -252,23 +254,28 @@ _SCHEMA = (
 )
 
 
+def _matches(items: Items, texts: pa.Array) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows that hold items, with their matches."""
+    for c in _text.chunks(texts):
+        tokens, blind, words, folded = template(c)
+        h, start, row = _windows(tokens, blind, words, c.first)
+        at = np.minimum(np.searchsorted(items.hashes, h), max(len(items.hashes) - 1, 0))
+        hit = np.flatnonzero(items.hashes[at] == h) if len(items.hashes) else []
+        by_row = defaultdict(list)
+        for k in hit:
+            by_row[row[k]].append((h[k], int(start[k] - c.first[row[k]])))
+        for k, found in by_row.items():
+            part = slice(c.first[k], c.first[k + 1])
+            rows = items.match(tokens[part], folded.bytes_of(k).split(), found)
+            if rows:
+                yield c.row + int(k), rows
+
+
 def _find(items: Items):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            rows = []
-            for c in _text.chunks(batch.column(1)):
-                tokens, blind, words, folded = template(c)
-                h, start, row = _windows(tokens, blind, words, c.first)
-                at = np.minimum(np.searchsorted(items.hashes, h), max(len(items.hashes) - 1, 0))
-                hit = np.flatnonzero(items.hashes[at] == h) if len(items.hashes) else []
-                by_row = defaultdict(list)
-                for k in hit:
-                    by_row[row[k]].append((h[k], int(start[k] - c.first[row[k]])))
-                for k, found in by_row.items():
-                    part = slice(c.first[k], c.first[k + 1])
-                    for x in items.match(tokens[part], folded.bytes_of(k).split(), found):
-                        rows.append((ids[c.row + int(k)].as_py(), *x))
+            rows = [(ids[k].as_py(), *x) for k, found in _matches(items, batch.column(1)) for x in found]
             kinds = (pa.int64(),) * 3 + (pa.float64(),) * 2 + (pa.int64(),) * 2
             yield pa.RecordBatch.from_pydict({
                 name: pa.array([r[k] for r in rows], kind)
@@ -278,35 +285,74 @@ def _find(items: Items):
     return run
 
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text",
-) -> DataFrame:
-    """(id, item_id, matched windows, coverage, consistency, first_word, end_word): one row for each
-    document and item in it, by its best place.
+def _without(items: Items, text: int):
+    """Rows that hold none of the items."""
 
-    Null texts have no words. Items of fewer than WINDOW words cannot be told from chance and are
-    not looked for; items without id neither. Of
-    items that repeat an id each is looked for. Documents without id take no part; repeated
-    documents give repeated rows. Other columns are ignored; an empty table or benchmark gives an empty one.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).where("id is not null")
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(
+    def run(batches):
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for k, _ in _matches(items, batch.column(text)):
+                clean[k] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _parts(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Items]:
+    rows = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(
         F.col(item_col).cast("long"), F.col(item_text_col)
     )
-    out = docs.sparkSession.createDataFrame([], _SCHEMA)
     part: list[tuple[int, str]] = []
     room = PART_WINDOWS
-    for item in items.toLocalIterator():  # one part at a time is on the driver
+    for item in rows.toLocalIterator():
         part.append((item[0], item[1]))
         room -= len(item[1]) // 2 + 1  # more than it has words
         if room <= 0:
-            out = out.unionByName(rows.mapInArrow(_find(Items(part)), _SCHEMA))
+            yield Items(part)
             part, room = [], PART_WINDOWS
     if part:
-        out = out.unionByName(rows.mapInArrow(_find(Items(part)), _SCHEMA))
+        yield Items(part)
+
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """(id, item_id, matched windows, coverage, consistency, first_word, end_word): one row for each
+    document and item in it, by its best place.
+
+    Null texts have no words. Items of fewer than WINDOW words cannot be told from chance and are
+    not looked for; items without id neither. Of items that repeat an id each is looked for.
+    Documents without id take no part; repeated documents give repeated rows. Other columns are
+    ignored; an empty table or benchmark gives an empty one. The finds of all parts of a benchmark but the
+    last are written as they are found.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).where("id is not null")
+    out, last = docs.sparkSession.createDataFrame([], _SCHEMA), None
+    for part in _parts(benchmark, item_col, item_text_col):
+        if last is not None:
+            out = out.unionByName(keep(last, "finds"))
+        last = rows.mapInArrow(_find(part), _SCHEMA)
+    out = out if last is None else out.unionByName(last)
     return out.withColumnRenamed("id", id_col)
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of `docs` that hold no item, with all their columns, in one pass over each part of the
+    benchmark; what a part leaves is written before the next one.
+
+    Every row is judged by its own text: rows without id too, and of rows that repeat an id only those
+    that hold an item go. A null text holds nothing.
+    """
+    at, left = docs.columns.index(text_col), None
+    for part in _parts(benchmark, item_col, item_text_col):
+        docs = docs if left is None else keep(left, "clean")
+        left = docs.mapInArrow(_without(part, at), docs.schema)
+    return docs if left is None else left
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -26,6 +26,7 @@ from lintlake.llm import _text
 from lintlake.llm._store import shared_folder, table
 
 SHARD_BYTES = 24 << 20  # text for each shard of the model
+MAX_TASKS = 16_384  # that merge shards; of more shards, a task merges several in turn
 OPEN_FILES = 512  # mapped at a time by a worker
 BUFFER = 1 << 21  # bigrams that a task holds before it merges them
 _U = np.uint64
@@ -256,6 +257,14 @@ def _score(folder: str, shards: int, total: dict):
     return run
 
 
+def _by_shard(rows: DataFrame, shards: int):
+    """Rows by shard, in one task each. Hashed to tasks, several shards would meet in one."""
+    tasks = min(shards, MAX_TASKS)
+    return rows.withColumn("task", F.col("shard") % tasks).repartitionById(
+        tasks, F.col("task")
+    ).groupBy("task", "shard")
+
+
 def lm_scores(
     docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -278,11 +287,11 @@ def lm_scores(
         _count(shards), "shard int, v binary, w binary, c binary"
     )
     sums = ", ".join(f"{name} long" for name in _NAMES)
-    merged = counts.groupBy("shard").applyInArrow(
+    merged = _by_shard(counts, shards).applyInArrow(
         _merge(folder, shards),
         "shard int, " + ", ".join(f"{name} binary" for name in UNIGRAM.names) + ", " + sums,
     )
-    words = merged.groupBy("shard").applyInArrow(
+    words = _by_shard(merged, shards).applyInArrow(
         _words(folder), "m1 long, m2 long, m3 long, m4 long, types long, " + sums
     )
     total = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in words.columns)).first()

@@ -483,6 +483,15 @@ def _kneser_ney(training, texts):
     return out
 
 
+def test_shards_are_merged_in_one_task_each(spark):
+    rows = spark.range(64).selectExpr("cast(id % 16 as int) as shard", "id as v")
+    by_task = lambda g: g.select(["shard"]).slice(0, 1)
+    merged = lm_scoring._by_shard(rows, 16).applyInArrow(by_task, "shard int")
+    placed = merged.select("shard", lm_scoring.F.spark_partition_id().alias("p")).collect()
+    assert sorted(r["shard"] for r in placed) == list(range(16)) and len({r["p"] for r in placed}) == 16
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_lm_scores_equal_brute_force(spark, docs, monkeypatch):
     monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 2000)
     known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
@@ -577,6 +586,99 @@ def test_benchmark_in_parts_gives_the_same(spark, docs, monkeypatch):
     assert {(k, k) for k in range(7, 31)} <= {r[:2] for r in whole}
 
 
+
+def _plain_matches(text, item):
+    """Places (start in the text, at in the item) where windows agree in one of their forms, word by word."""
+    strip = "".join(chr(k) for k in range(33, 127) if not chr(k).isalnum())
+
+    def forms(t):
+        words = (t or "").split()
+        bare = [w.strip(strip) or w[-1] for w in words]
+        low = [b.casefold() for b in bare]
+        blind = [
+            "#" if any(c.isdigit() for c in b) else "U" if lo in decontamination.UNITS else ("w", lo)
+            for b, lo in zip(bare, low)
+        ]
+        named = ["N" if b[0].isupper() and x != "#" else x for b, x in zip(bare, blind)]
+        out = []
+        for k in range(len(words) - 7):
+            literal = sum(isinstance(x, tuple) for x in blind[k:k + 8]) >= 4
+            found = {tuple(blind[k:k + 8]) if literal else ("exact", *low[k:k + 8])}
+            if sum(isinstance(x, tuple) for x in named[k:k + 8]) >= 4:
+                found.add(tuple(named[k:k + 8]))
+            out.append(found)
+        return out, low, named
+
+    (doc, low, _), (own, values, tokens) = forms(text), forms(item)
+    pairs = [(s, a) for s, x in enumerate(doc) for a, y in enumerate(own) if x & y]
+    sure = possible = False
+    for shift in {s - a for s, a in pairs}:
+        path = [(s, a) for s, a in pairs if s - a == shift]
+        if len(path) >= decontamination.COVERAGE * len(own):
+            slots = {}
+            for k in sorted({a + j for _, a in path for j in range(8)}):
+                if not isinstance(tokens[k], tuple):
+                    slots.setdefault(values[k], Counter())[low[k + shift]] += 1
+            total = sum(sum(c.values()) for c in slots.values())
+            same = sum(max(c.values()) for c in slots.values())
+            sure |= not total or same / total >= decontamination.CONSISTENCY
+    chain = []
+    for s, a in pairs:
+        chain.append(1 + max((n for n, (x, y) in zip(chain, pairs)
+                              if x < s and y < a and abs((x - y) - (s - a)) <= decontamination.SHIFT), default=0))
+    possible = bool(chain) and max(chain) >= decontamination.COVERAGE * len(own)
+    return sure, possible
+
+
+def test_contamination_lies_between_plain_versions(spark):
+    """All that one diagonal alone shows word by word is found, and nothing whose longest chain of equal
+    windows, by comparing all pairs, is too short; copies and far texts fall on either side."""
+    rng = random.Random(5)
+    plain = [f"{a}{b}" for a in ("ba", "ko", "ri", "tu", "me") for b in ("na", "lo", "ve", "shi", "dor", "pa")]
+    filler = lambda: rng.choice([rng.choice(plain)] * 6 + [str(rng.randint(1, 99)), rng.choice(("Tom", "Ann", "Bo")), "kg"])
+    items = {k: " ".join(filler() for _ in range(rng.randint(8, 40))) for k in range(25)}
+    docs = {}
+    for k in range(160):
+        words = items[rng.randrange(25)].split()
+        kind = rng.randrange(5)
+        if kind == 1:
+            words = words[:rng.randint(1, len(words))]
+        elif kind == 2:
+            swap = {w: str(rng.randint(100, 999)) for w in words if w.isdigit()} | {"Tom": "Eve", "Ann": "Kim", "Bo": "Al"}
+            words = [swap.get(w, w) for w in words]
+        elif kind == 3:
+            words = [filler() if rng.random() < 0.12 else w for w in words]
+        elif kind == 4:
+            words = [w for w in words if rng.random() > 0.06]
+        docs[k] = " ".join([filler() for _ in range(rng.randint(0, 15))] + words + [filler() for _ in range(rng.randint(0, 15))])
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_contamination(frame, bench).collect()}
+    verdicts = {(d, i): _plain_matches(docs[d], items[i]) for d in docs for i in items}
+    sure = {k for k, (x, _) in verdicts.items() if x}
+    possible = {k for k, (_, y) in verdicts.items() if y}
+    assert len(sure) > 60 and len(verdicts) - len(possible) > 3000
+    assert sure <= found <= possible
+
+
+def test_clean_rows_stay_by_their_own_text(spark, monkeypatch):
+    """Also where ids repeat or lack; the same in one part of the benchmark and in many."""
+    item = "a train leaves the station at 9 and drives 60 miles in one hour to Paris"
+    rows = [(1, item, "x"), (1, "something clean", "y"), (None, f"so {item} ok", "z"), (None, None, None),
+            (2, "clean too " * 50, None), (2, item.upper(), "c"), (3, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(k, f"{w} {item}") for k, w in enumerate(("if", "when", "as"))], "item_id long, text string")
+    want = sorted((rows[k] for k in (1, 3, 4, 6)), key=repr)
+    for size in (decontamination.PART_WINDOWS, 1):
+        monkeypatch.setattr(decontamination, "PART_WINDOWS", size)
+        left = decontamination.drop_contaminated(docs, bench)
+        assert left.schema == docs.schema
+        assert sorted(map(tuple, left.collect()), key=repr) == want
+        found = decontamination.find_contamination(docs, bench).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(d, i) for d in (1, 2) for i in range(3)]
+    assert decontamination.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
+
+
 # ---- 9 ----------------------------------------------------------------------------------------
 
 
