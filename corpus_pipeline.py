@@ -39,10 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item. Rows without id stay: nothing can name them."""
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.select("doc_id").distinct()
-    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a benchmark item. Every row is judged by its own text, rows without id too."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
