@@ -105,6 +105,17 @@ def test_pipeline_stages_equal_plain_versions(spark):
     assert len(placed) == sum(r["taken"] > 0 for r in mixed)
 
 
+def test_decontamination_stage_judges_rows_by_their_text(spark, tmp_path):
+    item = "in which year did the first of the four bridges over the river open"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"quiz: {item}?", "en", "a", 80), (1, "a clean text", "en", "a", 12), (None, item, "en", "b", 70),
+            (None, "clean and without id", None, None, None), (2, None, "en", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert {r["text"] for r in left.collect()} == {"a clean text", "clean and without id", None}
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_stages_take_odd_rows(spark, tmp_path, empty):
     """Nulls in every column, an empty text, repeated rows, a further column; and no rows at all."""
