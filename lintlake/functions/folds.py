@@ -10,12 +10,12 @@ from __future__ import annotations
 PART = 48
 
 
-def parts(array: str) -> str:
-    """The array in pieces of PART elements. `slice` would walk the whole array for each of them."""
+def parts(array: str, part: int = PART) -> str:
+    """The array in pieces of `part` elements. `slice` would walk the whole array for each of them."""
     last = f"size({array}) - 1"
-    piece = f"transform(sequence(c * {PART}, least(c * {PART} + {PART - 1}, {last})), k -> get({array}, k))"
+    piece = f"transform(sequence(c * {part}, least(c * {part} + {part - 1}, {last})), k -> get({array}, k))"
     return (
-        f"transform(if(size({array}) > 0, sequence(0, cast(({last}) div {PART} as int)), "
+        f"transform(if(size({array}) > 0, sequence(0, cast(({last}) div {part} as int)), "
         f"cast(array() as array<int>)), c -> {piece})"
     )
 

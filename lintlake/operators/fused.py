@@ -94,14 +94,13 @@ def fused_evidence(
         items["any_items"] = F.when(F.col("may_any"), tokens.any_items())
         items["marks"] = F.when(F.col("may_functions"), tokens.function_marks())
         items["name_marks"] = F.when(F.col("may_unused"), tokens.name_marks())
-        items["in_templates"] = F.when(F.col("may_unused"), tokens.template_names())
     done = [n for n in items if n.endswith("_items")]
-    rows = rows.select(*_FILE, *(["raw", "may_functions"] if typed else []), *[v.alias(k) for k, v in items.items()])
+    rows = rows.select(*_FILE, *(["raw", "code", "may_functions"] if typed else []), *[v.alias(k) for k, v in items.items()])
     if typed:
         rows = rows.select(
-            *_FILE, "raw", *done, F.when(F.col("may_functions"), tokens.function_fold()).alias("found"),
+            *_FILE, "raw", "code", *done, F.when(F.col("may_functions"), tokens.function_fold()).alias("found"),
             F.when(F.col("may_functions"), tokens.offsets()).alias("offsets"),
-            "name_marks", F.when(F.col("name_marks").isNotNull(), tokens.all_names()).alias("names"),
+            F.when(F.col("name_marks").isNotNull(), tokens.all_names()).alias("names"),
         )
         rows = rows.select(
             *_FILE, "raw", *done, "found", "offsets", "names",
