@@ -42,6 +42,18 @@ def session_folder(spark: SparkSession, name: str) -> str:
 
 
 _written: dict[tuple[str, str], str] = {}
+PIECE = 4 << 20  # bytes of the given tables for each file of the file table
+
+
+def pieces(spark: SparkSession, sf_dir: str) -> int:
+    """How many files the file table is written in: a number that grows with the given tables. Left
+    to adaptive execution there are as few as cores, or up to 64 MB of shuffled texts in each."""
+    length = sum(
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .load(f"{sf_dir}/{name}.parquet").agg(F.sum("length")).first()[0] or 0
+        for name in ("documents", "pages")
+    )
+    return max(spark.sparkContext.defaultParallelism, -(-length // PIECE))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +64,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = session_folder(spark, "files")
         derived = derive_files(spark, sf_dir)
         # Rows are spread anew at every size: a small input may come as one split.
-        derived.repartition("repo_id", "path").write.parquet(folder)
+        derived.repartition(pieces(spark, sf_dir), "repo_id", "path").write.parquet(folder)
         _written[key] = folder
     return spark.read.schema("repo_id string, path string, content string").parquet(_written[key])
 
