@@ -6,7 +6,8 @@ need it and pushes simple path filters down to Parquet.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,6 +32,19 @@ TEST_FILE_GLOBS = ("**/*.{test,spec}.{ts,tsx,js,jsx}",)
 INSTALLED_IGNORES = ("**/node_modules/**", "**/dist/**")
 
 
+@contextmanager
+def _folders_listed_together(spark: SparkSession) -> Iterator[None]:
+    """Within it a task lists many folders. By default one lists a folder or two, and the driver is
+    busy with starting a task for each folder of a repository."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_files(
     spark: SparkSession,
     location: str,
@@ -58,7 +72,8 @@ def read_files(
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
             "ignoreCorruptFiles", ignore_corrupt
         )
-        return (found.option("pathGlobFilter", glob) if glob else found).load(location)
+        with _folders_listed_together(spark):
+            return (found.option("pathGlobFilter", glob) if glob else found).load(location)
 
     # The full path of the root, of which only the place at the front is cut.
     folder = spark._jvm.org.apache.hadoop.fs.Path(location)

@@ -397,6 +397,18 @@ over_files(
 )
 
 
+FILES_A_TASK = 500
+
+
+def _write_one_by_one(rows: DataFrame, root: str) -> None:
+    """A text file for each `(repo, file)`, written by tasks of FILES_A_TASK files each, which also put
+    them in place: the driver would move one after the other."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FILES_A_TASK))
+    rows.repartition(tasks, "repo", "file").write.option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2"
+    ).partitionBy("repo", "file").text(root)
+
+
 @query(
     "read_files",
     """SELECT 'repo=r' || (doc_id % 20) AS repo_id, CAST(doc_id AS VARCHAR) AS file,
@@ -408,11 +420,11 @@ def _read_files(spark: SparkSession, sf: str) -> DataFrame:
     again in the paths."""
     root = f"{session_folder(spark, 'walk')}/repo=r1"
     bad = F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("")
-    table(spark, sf, "documents").select(
+    _write_one_by_one(table(spark, sf, "documents").select(
         F.concat(bad, F.coalesce("text", F.lit(""))).alias("value"),
         F.concat(F.lit("r"), (F.col("doc_id") % 20).cast("string")).alias("repo"),
         F.col("doc_id").alias("file"),
-    ).write.partitionBy("repo", "file").text(root)
+    ), root)
     return src.read_files(spark, root, path_glob="*.txt").select(
         "repo_id", F.regexp_extract("path", "^file=([0-9]+)/[^/]+$", 1).alias("file"), "content"
     )
