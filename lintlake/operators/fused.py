@@ -16,33 +16,26 @@ from lintlake.functions.text import any_of, split_lines
 from lintlake.operators import tokens
 from lintlake.operators.catalogue import INDEX
 from lintlake.operators.issues import EVIDENCE_TYPE, evidence
-from lintlake.operators.rules import SCOPES, FileRule, LineRule, Options, by_entry
+from lintlake.operators.rules import SCOPES, FileRule, LineRule, Options
 from lintlake.sources.files import has_content
 
 _FILE = ("repo_id", "path", "content")
 
 
 def _line_items(rules: Sequence[LineRule]) -> Column:
-    """Evidence of the line rules, from `lines` and the flag of each rule."""
+    """Evidence of the line rules, from `lines` and the flag of each rule. A rule goes over the lines of
+    the files that its flag names, so lines cost nothing for the many rules that cannot hit."""
 
-    def on_line(line: Column, i: Column) -> Column:
-        hits = F.array_compact(F.array(*[
-            F.when(r.condition(line, F.col("lines"), i), F.lit(INDEX[r.kind])) for r in rules
-        ]))
+    def of_rule(r: LineRule) -> Column:
+        def item(line: Column, i: Column) -> Column:
+            return F.when(r.condition(line, F.col("lines"), i), evidence(
+                r.kind, line=i + 1, n=r.count and r.count(line), name=r.name and r.name(line), text=line,
+                k1=i + 1, k2=r.k2,
+            ))
 
-        def item(entry: Column) -> Column:
-            pick = lambda attr, kind: by_entry(
-                entry, {r.kind: getattr(r, attr)(line) for r in rules if getattr(r, attr)}, kind
-            )
-            k2 = by_entry(entry, {r.kind: F.lit(r.k2) for r in rules if r.k2}, "int")
-            return evidence(
-                entry, line=i + 1, n=pick("count", "bigint"), name=pick("name", "string"), text=line,
-                k1=i + 1, k2=F.coalesce(k2, F.lit(0)),
-            )
+        return F.when(F.col(f"on_{INDEX[r.kind]}"), F.array_compact(F.transform("lines", item)))
 
-        return F.transform(hits, item)
-
-    return F.flatten(F.transform("lines", on_line))
+    return F.flatten(F.array_compact(F.array(*map(of_rule, rules))))
 
 
 def fused_evidence(
@@ -92,14 +85,14 @@ def fused_evidence(
         items["file_items"] = F.when(any_of(*map(F.col, kept)), joined)
     if typed:
         items["any_items"] = F.when(F.col("may_any"), tokens.any_items())
-        items["marks"] = F.when(F.col("may_functions"), tokens.function_marks())
-        items["name_marks"] = F.when(F.col("may_unused"), tokens.name_marks())
+        items["marks"] = F.when(F.col("may_functions") & tokens.has_code(tokens.HEADS), tokens.function_marks())
+        items["name_marks"] = F.when(F.col("may_unused") & tokens.has_code(tokens.DECLARING), tokens.name_marks())
     done = [n for n in items if n.endswith("_items")]
-    rows = rows.select(*_FILE, *(["raw", "code", "may_functions"] if typed else []), *[v.alias(k) for k, v in items.items()])
+    rows = rows.select(*_FILE, *(["raw", "code"] if typed else []), *[v.alias(k) for k, v in items.items()])
     if typed:
         rows = rows.select(
-            *_FILE, "raw", "code", *done, F.when(F.col("may_functions"), tokens.function_fold()).alias("found"),
-            F.when(F.col("may_functions"), tokens.offsets()).alias("offsets"),
+            *_FILE, "raw", "code", *done, F.when(F.col("marks").isNotNull(), tokens.function_fold()).alias("found"),
+            F.when(F.col("marks").isNotNull(), tokens.offsets()).alias("offsets"),
             F.when(F.col("name_marks").isNotNull(), tokens.all_names()).alias("names"),
         )
         rows = rows.select(

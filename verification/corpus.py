@@ -42,7 +42,7 @@ def session_folder(spark: SparkSession, name: str) -> str:
 
 
 _written: dict[tuple[str, str], str] = {}
-PIECE = 4 << 20  # bytes of the given tables for each file of the file table
+PIECE = 2 << 20  # bytes of the given tables for each file of the file table
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> int:
