@@ -8,6 +8,7 @@ text is read once and never shuffled, and rules share lines and tokens.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -59,8 +60,17 @@ def fused_evidence(
         "functions": tokens.may_hold_finding(), "unused": tokens.declaring(), "any": tokens.may_hold_any(),
     } if typed else {}
     kept = [f"in_{s}" for s in whole]
+    # A word that several rules ask for is looked up once for a text.
+    asked = Counter((w, r.fold) for r in line_rules for w in set(r.hint))
+    shared = {word: f"word_{k}" for k, word in enumerate(w for w, n in asked.items() if n > 1)}
+    if shared:
+        rows = rows.select("*", *[
+            (any_of(*[F.col(f"in_{s}") for s in dict.fromkeys(r.scope for r in line_rules if r.fold == fold and w in r.hint)])
+             & F.contains("folded" if fold else "content", F.lit(w))).alias(name)
+            for (w, fold), name in shared.items()
+        ])
     rows = rows.select(
-        *_FILE, *kept, *[r.possible().alias(f) for f, r in flags.items()],
+        *_FILE, *kept, *[r.possible(shared).alias(f) for f, r in flags.items()],
         *[(F.col("typed") & c).alias(f"may_{n}") for n, c in may.items()],
     )
 

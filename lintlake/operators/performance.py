@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lintlake.functions.text import ecma
+from lintlake.functions.text import any_of, ecma
 from lintlake.operators.catalogue import (
     API_CALL, HEAVY_DEPENDENCIES, NESTED_LOOP, PAGE_IMPORT,
 )
@@ -93,7 +93,7 @@ FILE_RULES = (
         ("no-duplicate-api-calls",), ("react",), _repeated_calls,
         {
             "calls": lambda: F.when(
-                F.col("in_react"),
+                F.col("in_react") & any_of(*[F.contains("content", F.lit(w)) for w in ("fetch", "axios.")]),
                 sorted_names(F.regexp_extract_all("content", F.lit(ecma(API_CALL)), 1)),
             )
         },

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from lintlake.functions.text import ecma
+from lintlake.functions.text import any_of, ecma
 from lintlake.operators.catalogue import CONSOLE, DEBUGGER, FUNCTION_NAME, TODO
 from lintlake.operators.issues import EVIDENCE_TYPE, evidence, found
 from lintlake.operators.rules import FileRule, LineRule, repeated_evidence, sorted_names
@@ -63,7 +63,7 @@ FILE_RULES = (
         ),
         {
             "functions": lambda: F.when(
-                F.col("in_code"),
+                F.col("in_code") & any_of(*[F.contains("content", F.lit(w)) for w in ("function", "const")]),
                 sorted_names(
                     F.regexp_extract_all("content", F.lit(ecma(FUNCTION_NAME)), 1)
                 ),

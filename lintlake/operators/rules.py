@@ -87,10 +87,14 @@ class LineRule:
     fold: bool = False
     k2: int = 0
 
-    def possible(self) -> Column:
-        """Whether a file can hold a hit at all: its path is in scope and a hint occurs."""
+    def possible(self, looked_up: dict[tuple[str, bool], str] = {}) -> Column:
+        """Whether a file can hold a hit at all: its path is in scope and a hint occurs. `looked_up` names
+        the columns that say so of a word, with whether it is one of the lower-cased text."""
         text = F.col("folded") if self.fold else F.col("content")
-        return F.col(f"in_{self.scope}") & any_of(*[F.contains(text, F.lit(w)) for w in self.hint])
+        held = lambda w: (
+            F.col(looked_up[w, self.fold]) if (w, self.fold) in looked_up else F.contains(text, F.lit(w))
+        )
+        return F.col(f"in_{self.scope}") & any_of(*map(held, self.hint))
 
     def condition(self, line: Column, lines: Column, i: Column) -> Column:
         out = F.col(f"on_{INDEX[self.kind]}") & line.rlike(self.match)

@@ -47,3 +47,25 @@ def test_uses_count_where_many_names_are_declared(make_files):
         text = "".join(f"const {n} = 1;\n" for n in some) + f"log({some[0]}, x.{some[1]});"
         rows = tokens.unused_evidence(make_files({"a.ts": text})).collect()
         assert sorted(r.name for r in rows) == sorted(some[1:])
+
+
+def test_bare_brackets_by_an_arrow_or_its_type_stay_marks(make_files):
+    """Calls without arguments make no marks; brackets that an arrow begins with or opens do."""
+    text = (
+        "const a = () => f();\nconst b = (): T => (g)();\nconst c = x => ();\nfunction d() { e(), h()[0](); }\n"
+        "i(() => j(), [], k());\nconst l = async () : Promise => { m(); };\nn([]);\n"
+    )
+    spans = tokens.function_spans(tokens.typed_sources(make_files({"a.ts": text})))
+    found = {(r.kind, r.name, text[r.start:min(r.stop, len(text))]) for r in spans.collect()}
+    assert {f for f in found if f[0] == "function"} == {("function", "d", "function d() { e(), h()[0](); }")}
+    arrows = {f[2] for f in found if f[0] == "arrow"}
+    assert {"() => f()", "(): T => (g)", "x => ()", "() => j()", "() : Promise => { m(); }"} == arrows
+
+
+def test_names_are_counted_alike_with_few_and_many_declarations(make_files):
+    few = "const a = 1, b = 2;\nlet _c = 3, d;\nuse(a, o.b, { d: 1 });\n"
+    many = few + "".join(f"let n{i} = {i}; use(n{i});\n" for i in range(tokens.FEW_COUNTED + 1))
+    shaded = few + "function s(d) { return d; }\ns(s);\n"
+    rows = tokens.unused_evidence(make_files({"a.ts": few, "b.ts": many, "c.ts": shaded})).collect()
+    found = {p: sorted((r["name"], r["line"], r["k1"]) for r in rows if r["path"] == p) for p in ("a.ts", "b.ts", "c.ts")}
+    assert [n for n, *_ in found["a.ts"]] == ["b", "d"] and found["b.ts"] == found["a.ts"] == found["c.ts"]
