@@ -400,13 +400,76 @@ over_files(
 FILES_A_TASK = 500
 
 
-def _write_one_by_one(rows: DataFrame, root: str) -> None:
+def _write_one_by_one(rows: DataFrame, root: str) -> int:
     """A text file for each `(repo, file)`, written by tasks of FILES_A_TASK files each, which also put
-    them in place: the driver would move one after the other."""
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FILES_A_TASK))
-    rows.repartition(tasks, "repo", "file").write.option(
-        "mapreduce.fileoutputcommitter.algorithm.version", "2"
-    ).partitionBy("repo", "file").text(root)
+    them in place: the driver would move one after the other. Returns how many tasks.
+
+    Hadoop starts a process, chmod, for each file and folder it makes on a local file system, four a
+    row. There the tasks make them by themselves, in a folder of each task below each repository."""
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // FILES_A_TASK))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getScheme() != "file":
+        rows.repartition(tasks, "repo", "file").write.option(
+            "mapreduce.fileoutputcommitter.algorithm.version", "2"
+        ).partitionBy("repo", "file").text(root)
+        return tasks
+    system.mkdirs(folder)
+    pack, write = _local_writer(system.makeQualified(folder).toUri().getPath())
+    texts = rows.select(
+        F.col("repo").cast("string"), F.col("file").cast("string"),
+        F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value"),
+    ).mapInArrow(pack, "repo string, file string, size int, packed binary")
+    texts.repartition(tasks, "repo", "file").sortWithinPartitions("repo", "file").mapInArrow(
+        write, "files long"
+    ).write.format("noop").mode("overwrite").save()
+    return tasks
+
+
+def _local_writer(place: str):
+    """Two steps for tasks: packing texts for the shuffle, and writing sorted rows, those of a key as
+    lines of one file, with the names for keys and the lines of Spark's text writer. A file gets its
+    name when it is whole, the same one in every attempt."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            repo, file, value = batch.columns
+            texts = value.to_pylist()
+            yield pa.RecordBatch.from_pydict({
+                "repo": repo, "file": file, "size": pa.array(map(len, texts), pa.int32()),
+                "packed": pa.array((codec.compress(t, asbytes=True) for t in texts), pa.binary()),
+            })
+
+    def write(batches):
+        import os
+        from contextlib import suppress
+        from itertools import groupby
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, codec, files = TaskContext.get(), pa.Codec("zstd"), 0
+        name = lambda key: "__HIVE_DEFAULT_PARTITION__" if key is None else key
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        for (repo, file), same in groupby(rows, key=lambda row: row[:2]):
+            folder = place
+            for step in (f"repo={name(repo)}", f"part-{task.partitionId():05d}"):
+                folder = f"{folder}/{step}"
+                with suppress(FileExistsError):
+                    os.mkdir(folder)  # fails where the root is not there, so not shared
+            part = f"{folder}/.file={name(file)}-{task.taskAttemptId()}"
+            with open(part, "wb") as out:
+                for _, _, size, packed in same:
+                    out.write(codec.decompress(packed, size, asbytes=True) + b"\n")
+            os.replace(part, f"{folder}/file={name(file)}.txt")
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return pack, write
 
 
 @query(
@@ -420,13 +483,14 @@ def _read_files(spark: SparkSession, sf: str) -> DataFrame:
     again in the paths."""
     root = f"{session_folder(spark, 'walk')}/repo=r1"
     bad = F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("")
-    _write_one_by_one(table(spark, sf, "documents").select(
+    tasks = _write_one_by_one(table(spark, sf, "documents").select(
         F.concat(bad, F.coalesce("text", F.lit(""))).alias("value"),
         F.concat(F.lit("r"), (F.col("doc_id") % 20).cast("string")).alias("repo"),
         F.col("doc_id").alias("file"),
     ), root)
-    return src.read_files(spark, root, path_glob="*.txt").select(
-        "repo_id", F.regexp_extract("path", "^file=([0-9]+)/[^/]+$", 1).alias("file"), "content"
+    # Spark counts 4 MB for opening a file, so a task would read a few, and a result have as many parts.
+    return src.read_files(spark, root, path_glob="*.txt").coalesce(tasks).select(
+        "repo_id", F.regexp_extract("path", "(?:^|/)file=([0-9]+)[./]", 1).alias("file"), "content"
     )
 
 
